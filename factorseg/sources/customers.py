@@ -60,3 +60,37 @@ def customer_frame(t: Tables) -> DataFrame:
             .cast("double").alias("days_since_last_order"),
             F.col("c_acctbal").alias("acctbal"), "refund_count", "net_ltv", "avg_order_value",
             "gross_ltv"))
+
+
+# Lookups for the customer frame's own codes.
+SEGMENT_NAMES = {"FURNITURE": "Furniture", "HOUSEHOLD": "Household", "BUILDING": "Building",
+                 "MACHINERY": "Machinery"}
+SEGMENT_BUCKETS = {"Furniture": "home", "Household": "home", "Building": "trade", "Machinery": "trade"}
+TYPE_BUCKETS = {"ECONOMY": "home", "STANDARD": "home", "PROMO": "offer", "MEDIUM": "trade", "LARGE": "trade"}
+PRIORITY_CODES = ("2-HIGH", "3-MEDIUM")
+
+
+def raw_customers(t: Tables) -> DataFrame:
+    """The customer frame in the shape of a raw export: flags as text, codes, nulls, a token list."""
+    acct = F.col("acctbal")
+    return customer_frame(t).select(
+        "customer_id",
+        F.when(F.col("region") == "ASIA", "no").otherwise("Yes").alias("quiz_taker"),
+        F.concat(F.lit(" "), "segment", F.lit(" ")).alias("quiz_result"),
+        F.when(F.col("first_status") == "P", "unspecified").otherwise(F.col("first_status")).alias("bm_pattern"),
+        F.nullif("region", F.lit("AFRICA")).alias("gi_symptom_cat"),
+        F.when(F.col("first_priority") == "5-LOW", "-").otherwise(F.col("first_priority")).alias("primary_goal"),
+        F.nullif("first_priority", F.lit("1-URGENT")).alias("ancestor_discount_code"),
+        F.when(acct > 5000, " F ").alias("gender"),
+        F.when(acct >= 0, (acct > 2500).cast("int")).alias("is_male"),
+        "first_sku", "order_count", "days_since_last_order", acct.alias("symptom_count"),
+        (F.col("refund_count") / F.col("order_count")).alias("gut_issue_score"),
+        F.when(F.col("refund_count") >= 10, 1.0).when(F.col("refund_count").isNotNull(), 0.0).alias("high_stress"),
+        "refund_count", "net_ltv", "avg_order_value", "gross_ltv")
+
+
+def sample_spec():
+    """The cleaning settings that fit ``raw_customers``."""
+    from factorseg.config import CleaningSpec
+    return CleaningSpec(name_map=SEGMENT_NAMES, name_to_bucket=SEGMENT_BUCKETS, token_to_bucket=TYPE_BUCKETS,
+                        codes=PRIORITY_CODES)
