@@ -22,6 +22,7 @@ ship_by_value(__name__)
 SEED_ROWS = 8192          # at most this many rows serve to find starting centres
 SEED_STEPS = 50           # refinement steps of a start on the seed rows
 CHUNK_CELLS = 2_000_000   # distances held at once in a task
+TASK_WORK = 3e7           # rows x centres x coordinates worth a task of its own
 DIRECT_ROWS = 20_000      # per-task partial sums are added on the driver up to this many
 
 
@@ -68,10 +69,11 @@ def _nearest(x: np.ndarray, centers: np.ndarray, blocks):
 
 
 def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
-          partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+          count: int, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, squared error and coordinate sums per centre, over one job.
 
-    Each task sends one row per centre. Few tasks: the driver adds them; many: Spark does.
+    Tasks are merged while there is too little work for them. Each task sends one row per
+    centre; a few tasks' rows are added on the driver, many tasks' rows by Spark.
     """
     centers, blocks = np.concatenate(models), _blocks(models)
     total, d = centers.shape
@@ -99,7 +101,11 @@ def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
 
     names = ["center", "n", "e"] + [f"s{j}" for j in range(d)]
     schema = "center int, " + ", ".join(f"{c} double" for c in names[1:])
-    parts = df.select(features).mapInArrow(task, schema)
+    wanted = min(partitions, int(count * total * d / TASK_WORK) + 1)
+    rows_df = df.select(features)
+    if wanted < partitions:
+        rows_df, partitions = rows_df.coalesce(wanted), wanted
+    parts = rows_df.mapInArrow(task, schema)
     if partitions * total > DIRECT_ROWS:
         parts = parts.groupBy("center").agg(*[F.sum(c).alias(c) for c in names[1:]])
     n, e, s = np.zeros(total), np.zeros(total), np.zeros((total, d))
@@ -213,7 +219,7 @@ def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, see
     partitions = df.rdd.getNumPartitions()
     active = list(kept)
     for _ in range(max_iter):
-        n, _e, s = _pass(df, features, [centers[i] for i in active], partitions)
+        n, _e, s = _pass(df, features, [centers[i] for i in active], spread["n"], partitions)
         at, still = 0, []
         for i in active:
             k = ids[i][0]
@@ -231,7 +237,7 @@ def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, see
         kept = [i for i in kept if i in done or i not in set(still) - set(active)]
         if not active:
             break
-    _n, e, _s = _pass(df, features, [centers[i] for i in kept], partitions)
+    _n, e, _s = _pass(df, features, [centers[i] for i in kept], spread["n"], partitions)
     best: dict[int, KMeansModel] = {}
     at = 0
     for (k, i), c, it in [(ids[j], centers[j], iterations[j]) for j in kept]:
