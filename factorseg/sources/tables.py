@@ -46,7 +46,8 @@ def infer_types(text: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         v = strip(F.col(f"`{c}`"))
         aggs += [
             F.bool_and(v.rlike(r"^[+-]?[0-9]{1,18}$")).alias(f"i{i}"),
-            F.bool_and(v.try_cast("double").isNotNull() & ~v.rlike("[0-9.][dDfF]$")).alias(f"d{i}"),
+            F.bool_and(F.when(v.isNotNull(), v.try_cast("double").isNotNull() & ~v.rlike("[0-9.][dDfF]$")))
+            .alias(f"d{i}"),
             F.bool_and(F.lower(v).isin("true", "false")).alias(f"b{i}"),
             F.bool_or(v.isNull()).alias(f"n{i}"),
         ]
