@@ -397,3 +397,36 @@ ORACLES["encoded_matrix"] = f"""WITH {CUST},{RAW}, q AS (
     CAST(r = 'Furniture' AS INT) AS quiz_result_furniture, CAST(r = 'Household' AS INT) AS quiz_result_household,
     CAST(g = '3-MEDIUM' AS INT) AS acquisition_code_group_3_medium, CAST(g = 'none' AS INT) AS acquisition_code_group_none,
     CAST(g = 'other' AS INT) AS acquisition_code_group_other FROM q"""
+
+
+# The first factor by power iteration on the cross-product matrix of the standardised columns.
+FAMD = f"""WITH RECURSIVE {CUST},{FILLED},
+lev AS ({' UNION ALL '.join(f"SELECT '{c}' AS var, {c} AS level, COUNT(*) / SUM(COUNT(*)) OVER () AS p, ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS code FROM filled GROUP BY {c}" for c in CATS)}),
+z AS MATERIALIZED (
+  {' UNION ALL '.join(f"SELECT customer_id, '{c}' AS var, '' AS level, ({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () AS v FROM filled" for c in NUMS)}
+  UNION ALL {' UNION ALL '.join(f"SELECT f.customer_id, l.var, l.level, (CASE WHEN f.{c} = l.level THEN 1 ELSE 0 END - l.p) / SQRT(l.p) FROM filled f JOIN lev l ON l.var = '{c}'" for c in CATS)}),
+m AS MATERIALIZED (
+  SELECT a.var AS va, a.level AS la, b.var AS vb, b.level AS lb, SUM(a.v * b.v) / (SELECT COUNT(*) FROM filled) AS v
+  FROM z a JOIN z b ON a.customer_id = b.customer_id GROUP BY 1, 2, 3, 4),
+pw AS (
+  SELECT 0 AS i, va AS var, la AS level, 1.0 / ROW_NUMBER() OVER (ORDER BY va, la) AS x FROM (SELECT DISTINCT va, la FROM m)
+  UNION ALL
+  SELECT i + 1, va, la, y / SQRT(SUM(y * y) OVER ()) FROM (
+    SELECT pw.i, m.va, m.la, SUM(m.v * pw.x) AS y FROM pw JOIN m ON m.vb = pw.var AND m.lb = pw.level
+    WHERE pw.i < 60 GROUP BY 1, 2, 3)),
+axis AS (SELECT var, level, x * (SELECT SIGN(ARG_MAX(x, ABS(x))) FROM pw WHERE i = 60) AS x FROM pw WHERE i = 60),
+eig AS (SELECT SUM(a.x * m.v * b.x) AS e FROM m JOIN axis a ON a.var = m.va AND a.level = m.la
+        JOIN axis b ON b.var = m.vb AND b.level = m.lb),
+score AS (SELECT customer_id, SUM(z.v * axis.x) AS f FROM z JOIN axis ON axis.var = z.var AND axis.level = z.level GROUP BY 1)"""
+
+ORACLES["famd_spectrum"] = f"""{FAMD} SELECT ROUND(SUM(CASE WHEN va = vb AND la = lb THEN v END), 6) AS total,
+  ROUND(SUM(v * v), 6) AS squares FROM m"""
+ORACLES["famd_first_factor"] = f"""{FAMD} SELECT var AS variable, ROUND(SUM(x * x), 6) AS contribution,
+  ROUND((SELECT e FROM eig), 6) AS eigenvalue FROM axis GROUP BY var"""
+ORACLES["famd_first_scores"] = f"{FAMD} SELECT customer_id, ROUND(f, 5) AS Factor_1 FROM score"
+ORACLES["famd_first_loadings"] = f"{FAMD} " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS variable, ROUND(CORR({c}, f), 5) AS loading FROM filled JOIN score USING (customer_id)" for c in NUMS]
+    + [f"SELECT '{c}', ROUND(CORR(code, f), 5) FROM filled JOIN score USING (customer_id) JOIN lev ON lev.var = '{c}' AND lev.level = {c}" for c in CATS])
+ORACLES["famd_first_centroids"] = f"{FAMD} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {c} AS level, ROUND(AVG(f), 5) AS centroid, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 5) AS share "
+    f"FROM filled JOIN score USING (customer_id) GROUP BY {c}" for c in CATS)

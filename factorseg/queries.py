@@ -429,6 +429,42 @@ def famd_score_moments(spark, folder):
                                            F.max("variance_ratio").alias("ratio_max"), F.max("r_abs").alias("r_abs"))
 
 
+@query
+def famd_spectrum(spark, folder):
+    """Sum and sum of squares of all eigenvalues: trace and squared norm of the cross-product matrix."""
+    _, m = _fit(spark, folder)
+    every = famd.decompose(m.stats, m.variables, n_components=len(m.stats.matrix)).eigenvalues
+    return spark.createDataFrame([(round(float(every.sum()), 6), round(float((every ** 2).sum()), 6))],
+                                 "total double, squares double")
+
+
+@query
+def famd_first_factor(spark, folder):
+    """Eigenvalue and variable contributions of the first factor."""
+    _, m = _fit(spark, folder)
+    first = m.contributions_table(spark).filter(F.col("component") == 1)
+    return first.select("variable", F.round("contribution", 6).alias("contribution"),
+                        F.lit(round(float(m.eigenvalues[0]), 6)).alias("eigenvalue"))
+
+
+@query
+def famd_first_scores(spark, folder):
+    df, m = _fit(spark, folder)
+    return _rounded(m.transform(df, n=1), 5, "Factor_1")
+
+
+@query
+def famd_first_loadings(spark, folder):
+    _, m = _fit(spark, folder)
+    return _rounded(m.loadings_table(spark).filter(F.col("component") == 1).drop("component"), 5, "loading")
+
+
+@query
+def famd_first_centroids(spark, folder):
+    _, m = _fit(spark, folder)
+    return _rounded(m.centroids_table(spark).filter(F.col("component") == 1).drop("component"), 5, "centroid", "share")
+
+
 @query
 def famd_explained(spark, folder):
     return _fit(spark, folder)[1].explained_table(spark)
