@@ -72,6 +72,7 @@ class SegmentConfig:
     force_k_a: int | None = None
     force_k_b: int | None = None
     silhouette_metric: str = "euclidean"
+    exact_silhouette_limit: int | None = 1_000_000   # rows; the all-pairs silhouette is refused above it
     small_cluster_pct: float = 0.05
     max_levels: int = 2000
     profile_categorical: tuple = PROFILE_CATEGORICAL

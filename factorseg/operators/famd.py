@@ -267,6 +267,23 @@ class FamdModel:
         return {(a, b): float((m[np.ix_(self.stats.rows_of(a), self.stats.rows_of(b))] ** 2).sum())
                 for a in self.variables for b in self.variables}
 
+    def relationship_table(self, spark: SparkSession, correction: str = "auto", digits: int | None = 3) -> DataFrame:
+        """(row_var, col_var, value) as ``assoc.relationship_matrix``, without reading the rows again.
+
+        ``auto`` applies Yates' correction to pairs of two-level categoricals. There all four
+        cells deviate by the same count, so the correction rescales the uncorrected value.
+        """
+        rows, n = [], self.stats.n
+        for (a, b), v in self.relationship_blocks().items():
+            pa, pb = self.stats.share.get(a), self.stats.share.get(b)
+            if correction == "auto" and a != b and pa is not None and pb is not None and len(pa) == len(pb) == 2:
+                weight = (1 / pa).sum() * (1 / pb).sum() / n     # sum of 1 / expected count
+                gap = np.sqrt(v * n / weight)
+                v = v * (max(gap - 0.5, 0.0) / gap) ** 2 if gap > 0 else 0.0
+            rows.append((a, b, float(v)))
+        out = spark.createDataFrame(rows, "row_var string, col_var string, value double")
+        return out if digits is None else out.withColumn("value", round_even("value", digits))
+
     # ---- scores --------------------------------------------------------
     def transform(self, df: DataFrame, keep: Sequence[str] = ("customer_id",), n: int | None = None,
                   as_array: str | None = None) -> DataFrame:

@@ -88,6 +88,10 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "n", (F.col("n") / total).alias("share"))
 
 
+def table_shape(df: DataFrame) -> tuple[int, int]:
+    return df.count(), len(df.columns)
+
+
 def column_types(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
 

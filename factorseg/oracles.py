@@ -193,8 +193,8 @@ def corr_sql(source: str, nums, power: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-def relationship_sql(nums, cats, correction: bool) -> str:
-    head = phi_sql(f"WITH {CUST},{FILLED}", "filled", cats, correction)
+def relationship_sql(nums, cats, correction: bool, extra: str = "") -> str:
+    head = phi_sql(f"WITH {CUST},{FILLED.replace(' FROM cust', extra + ' FROM cust')}", "filled", cats, correction)
     diag = [f"SELECT '{c}', '{c}', 1.0" for c in nums]
     diag += [f"SELECT '{c}', '{c}', COUNT(DISTINCT {c}) - 1.0 FROM filled" for c in cats]
     return f"""{head}, r2 AS ({corr_sql('filled', nums, 2)}), eta AS ({eta_sql('filled', nums, cats)}),
@@ -372,6 +372,10 @@ ORACLES: dict[str, str] = {
     "persona_text": persona_sql(),
 }
 
+ORACLES["famd_relationship_table"] = relationship_sql(
+    ["acctbal", "order_count"], ["segment", "rich", "late"], True,
+    ", CASE WHEN acctbal > 2500 THEN 'y' ELSE 'n' END AS rich, CASE WHEN days_since_last_order > 200 THEN 'y' ELSE 'n' END AS late")
+
 _PHI = ["segment", "region", "first_sku", "rich", "late"]
 ORACLES["phi_squared"] = phi_sql(f"""WITH {CUST}, x AS (SELECT segment, region, COALESCE(first_sku, 'missing') AS first_sku,
   CASE WHEN acctbal > 2500 THEN 'y' ELSE 'n' END AS rich, CASE WHEN days_since_last_order > 200 THEN 'y' ELSE 'n' END AS late FROM cust)""",

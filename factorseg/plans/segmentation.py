@@ -27,7 +27,8 @@ class PassResult:
     first_fit: FamdModel
     famd: FamdModel
     kmeans: KMeansModel
-    clustered: DataFrame           # the base columns, ``features`` and ``cluster``; cached
+    scored: DataFrame              # the base columns and ``features``; cached
+    clustered: DataFrame           # the same with ``cluster``
     profiles: DataFrame
     id_col: str = "customer_id"
 
@@ -57,7 +58,7 @@ class PassResult:
         return self.clustered.sparkSession.createDataFrame(self.curve, "k int, silhouette double")
 
     def release(self) -> None:
-        self.clustered.unpersist()
+        self.scored.unpersist()
 
 
 def choose_k(scored: DataFrame, ks: Sequence[int], starts: int, seed: int = 42, features: str = "features",
@@ -95,6 +96,7 @@ def segment_pass(tag: str, base: DataFrame, cats: Sequence[str], nums: Sequence[
     """
     cats, nums = [c for c in cats if c in base.columns], [c for c in nums if c in base.columns]
     if stats is None:
+        _check_metric(base, cfg)
         cats, nums = dominance_filter(base, cats, nums, cfg.dominance)
         stats = mixed_stats(base, cats, nums, cfg.max_levels)
     else:
@@ -118,10 +120,20 @@ def segment_pass(tag: str, base: DataFrame, cats: Sequence[str], nums: Sequence[
     if final is not models[k]:
         final_score = silhouettes(assign_all(scored, "features", [final]), "features", "labels",
                                   cfg.silhouette_metric)[0]
-    clustered = scored.withColumn("cluster", nearest_center("features", final)).persist()
+    clustered = scored.withColumn("cluster", nearest_center("features", final))
     profiles = cluster_profile(clustered, "cluster", cfg.profile_categorical, cfg.profile_numeric,
                                cfg.match_col, cfg.promo_col)
-    return PassResult(tag, k, score, final_score, curve, first, famd, final, clustered, profiles, id_col)
+    return PassResult(tag, k, score, final_score, curve, first, famd, final, scored, clustered, profiles,
+                      id_col)
+
+
+def _check_metric(base: DataFrame, cfg: SegmentConfig) -> None:
+    """Say early that an all-pairs silhouette would not end, instead of starting it."""
+    limit = cfg.exact_silhouette_limit
+    if cfg.silhouette_metric == "euclidean" and limit is not None and base.limit(limit + 1).count() > limit:
+        raise ValueError(
+            f"more than {limit} rows: the all-pairs silhouette grows with their square. Ask for "
+            "silhouette_metric='squared_euclidean', whose cost is linear, or raise exact_silhouette_limit")
 
 
 def spread_rows(df: DataFrame, id_col: str) -> DataFrame:
@@ -140,6 +152,7 @@ def two_pass(base: DataFrame, cats: Sequence[str], nums: Sequence[str], value: S
     """
     value = [c for c in value if c in base.columns]
     base = base.persist()
+    _check_metric(base, cfg)
     kept_cats, kept_nums = dominance_filter(base, cats, [*nums, *value], cfg.dominance)
     stats = mixed_stats(base, kept_cats, kept_nums, cfg.max_levels)
     jobs = [(tags[0], [*nums, *value], cfg.force_k_a), (tags[1], list(nums), cfg.force_k_b)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,6 +39,11 @@ def seed_stability(tag: str, scores: DataFrame, labels: DataFrame, seed: int = 1
     return Stability(summary, size_outer_join(size("cluster_original"), size("cluster_newseed")), both)
 
 
+def stability_table(runs: list[Stability]) -> DataFrame:
+    """The summary rows of several passes."""
+    return reduce(DataFrame.unionByName, [r.summary for r in runs])
+
+
 @dataclass
 class Cleaned:
     labels: DataFrame       # id, cluster, cluster_final

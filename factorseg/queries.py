@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factorseg.config import SegmentConfig
 from factorseg.functions import columns as C
 from factorseg.operators import agreement, assoc, density, encode, famd, joins, kmeans, profile, quality, silhouette
-from factorseg.plans import cleaning, first_generation, report, segmentation, stability
+from factorseg.plans import cleaning, first_generation, outputs, report, segmentation, stability
 from factorseg.sources import customers as cust
 from factorseg.sources.customers import customer_frame, parquet_tables, raw_customers, sample_spec
 from factorseg.sources.tables import select_positions
@@ -528,6 +528,25 @@ def famd_component_counts(spark, folder):
     return out
 
 
+@query
+def famd_relationship_table(spark, folder):
+    """The relationship matrix with Yates' correction, from the fit alone."""
+    df = _filled(_customers(spark, folder)).withColumn("rich", F.when(F.col("acctbal") > 2500, "y").otherwise("n")) \
+        .withColumn("late", F.when(F.col("days_since_last_order") > 200, "y").otherwise("n")).persist()
+    m = famd.fit_famd(df, ["segment", "rich", "late"], ["acctbal", "order_count"])
+    return _rounded(m.relationship_table(spark, digits=None), 6, "value")
+
+
+@query
+def validation_variance(spark, folder):
+    return outputs.validation_run(_customers(spark, folder, cached=True), CATS, NUMS, 5).variance
+
+
+@query
+def validation_variables(spark, folder):
+    return outputs.validation_run(_customers(spark, folder, cached=True), CATS, NUMS, 5).variables
+
+
 @query
 def famd_scaling_invariance(spark, folder):
     """Largest score difference between raw and pre-standardised numerics (up to sign): 0."""

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from factorseg.config import CleaningSpec, SegmentConfig
 from factorseg.operators.agreement import adjusted_rand
-from factorseg.plans import cleaning, first_generation, report, segmentation, stability
+from factorseg.plans import cleaning, first_generation, outputs, report, segmentation, stability
 from factorseg.sources.customers import PRIORITY_CODES, parquet_tables, raw_customers, sample_spec
 
 CFG = SegmentConfig(search_starts=2, final_starts=3, k_max=4)
@@ -119,3 +119,36 @@ def test_first_generation(raw):
     total = shares.groupBy("cluster", "variable").agg(F.sum("share").alias("s")).filter("abs(s - 1) > 1e-9")
     assert total.count() == 0
     assert first_generation.density_summary_lines(run, spec).count() == means.count() + shares.count()
+
+
+def test_metric_limit(base):
+    spec = sample_spec()
+    with pytest.raises(ValueError, match="squared_euclidean"):
+        segmentation.segment_pass("L", base, spec.categorical, spec.numeric, CFG.with_(exact_silhouette_limit=10))
+
+
+def test_outputs(spark, results, tmp_path):
+    names = outputs.write_run({"B_noLTV": results["B_noLTV"]}, str(tmp_path / "out"))
+    r = results["B_noLTV"]
+    read = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
+    assert "B_noLTV_final_loading_matrix" in names and len(names) == 22
+    assert read("B_noLTV_labels").count() == r.labels.count()
+    wide = read("B_noLTV_final_relationship_matrix")
+    assert set(wide.columns) == {"row_var", *r.famd.variables} and wide.count() == len(r.famd.variables)
+    assert len(read("B_noLTV_final_variable_contributions").columns) == r.n_keep + 2
+    dropped = {x[0] for x in read("B_noLTV_pruned_features").collect()}
+    assert dropped == set(r.first_fit.variables) - set(r.famd.variables)
+    assert spark.read.text(str(tmp_path / "out" / "B_noLTV_personas")).count() >= r.chosen_k
+
+
+def test_stability_rows_of_both_passes(results):
+    runs = [stability.seed_stability(t, r.clustered.select("customer_id", "features"),
+                                     r.clustered.select("customer_id", "cluster"), starts=2) for t, r in results.items()]
+    assert {r["tag"] for r in stability.stability_table(runs).collect()} == set(results)
+
+
+def test_validation_run(base):
+    run = outputs.validation_run(base, ["quiz_result", "bm_pattern"], ["order_count", "symptom_count", "net_ltv"])
+    v = run.variance.orderBy("component").collect()
+    assert len(v) == 5 and v[-1]["cumulative_pct"] == pytest.approx(sum(r["inertia_pct"] for r in v))
+    assert run.rows.columns == ["customer_id", *[f"Dim{j}" for j in range(1, 6)]] and run.variables.count() == 5
