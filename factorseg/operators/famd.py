@@ -54,14 +54,14 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
                      *[number_filled(df, c).alias(f"x{i}") for i, c in enumerate(nums)])
     p, q = len(cats), len(nums)
     first = base.agg(F.count("*").alias("n"),
-                     *[F.approx_count_distinct(f"c{i}", 0.02).alias(f"d{i}") for i in range(p)],
+                     *[F.approx_count_distinct(f"c{i}").alias(f"d{i}") for i in range(p)],
                      *[F.avg(f"x{i}").alias(f"m{i}") for i in range(q)],
                      *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(q)]).first()
     n = first["n"]
     if n == 0:
         raise ValueError("the table has no rows")
     many = {c: first[f"d{i}"] for i, c in enumerate(cats)}
-    if sum(many.values()) > max_levels * 1.1:
+    if sum(many.values()) > max_levels * 1.3:  # an estimate; the exact count is checked below
         raise ValueError(f"too many levels for factor analysis (limit {max_levels}): {many}")
     mean = np.array([first[f"m{i}"] for i in range(q)], dtype=float)
     sd = np.array([first[f"s{i}"] for i in range(q)], dtype=float)
