@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factorseg.functions.columns import category_filled, number_filled, round_even
 from factorseg.operators.assoc import PAIRS_PER_JOB
@@ -87,9 +87,8 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
         each = cells.select("w", *[f"z{i}" for i in range(q)], F.inline(F.array(*[
             F.struct(F.lit(i).alias("v"), F.col(f"c{i}").alias("level")) for i in range(p)])))
         level_rows = each.groupBy("v", "level").agg(F.sum(weight).alias("w"), *sums).collect()
-    found = sum(1 for _ in level_rows)
-    if found > max_levels:
-        raise ValueError(f"too many levels for factor analysis: {found} (limit {max_levels})")
+    if len(level_rows) > max_levels:
+        raise ValueError(f"too many levels for factor analysis: {len(level_rows)} (limit {max_levels})")
     if p > 1:
         pair_ids = list(combinations(range(p), 2))
         both = cells.select("w", F.inline(F.array(*[
@@ -136,7 +135,7 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
 
 def _numeric_products(cells: DataFrame, products, q: int, n: int) -> np.ndarray:
     """Correlations from standardised products; pre-aggregated cells carry the sums already."""
-    summed = f"zz0_0" in cells.columns
+    summed = "zz0_0" in cells.columns
     r = np.eye(q)
     for start in range(0, len(products), PAIRS_PER_JOB):
         some = [ij for ij in products[start:start + PAIRS_PER_JOB] if ij[0] != ij[1]]
@@ -371,7 +370,6 @@ def prune_list(shares: DataFrame, fraction: float = 0.15, min_pct: float = 0.40)
     Dropped: the last floor(fraction * n) of the ranking, and everything below ``min_pct``.
     The table has one row per variable, so one window over it is small.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("total_contrib_pct"), F.asc("variable"))
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
     ranked = shares.select("variable", "total_contrib_pct", F.row_number().over(w).alias("rank"), n.alias("n"))
@@ -392,7 +390,6 @@ def prune_variables(model: FamdModel, fraction: float = 0.15, min_pct: float = 0
 
 def variance_table(components: DataFrame, target: float = 0.85) -> DataFrame:
     """(component, eigenvalue, explained, cumulative, retained) from a small (component, eigenvalue) table."""
-    from pyspark.sql import Window
     whole = Window.partitionBy(F.lit(0))
     so_far = whole.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
     share = components.withColumn("explained", F.col("eigenvalue") / F.sum("eigenvalue").over(whole))

@@ -34,8 +34,7 @@ def group_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column])
         .agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("c").over(w)
-    left, right = (F.col("n") + 1).cast("bigint") , F.col("n") + 2
-    first, second = F.floor(left / 2), F.floor(right / 2)   # 1-based middle ranks
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)   # 1-based middle ranks
     ranked = counted.withColumn("upto", upto)
     covers = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r)
     mid = ranked.groupBy(*by).agg(

@@ -34,6 +34,7 @@ def value_comparison(profiles: dict[str, DataFrame]) -> DataFrame:
 def persona_text(profiles: DataFrame, tag: str, absent: str = "0") -> Column:
     """One block of text per profile row. Absent texts show a dash, absent numbers ``absent``."""
     has = set(profiles.columns)
+    # fixed values: the wording and order of the block below
 
     def text(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("—")) if c in has else F.lit("—")

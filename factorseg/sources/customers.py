@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factorseg.config import CleaningSpec
+
 Tables = Callable[[str], DataFrame]
 
 
@@ -89,8 +91,7 @@ def raw_customers(t: Tables) -> DataFrame:
         "refund_count", "net_ltv", "avg_order_value", "gross_ltv")
 
 
-def sample_spec():
+def sample_spec() -> CleaningSpec:
     """The cleaning settings that fit ``raw_customers``."""
-    from factorseg.config import CleaningSpec
     return CleaningSpec(name_map=SEGMENT_NAMES, name_to_bucket=SEGMENT_BUCKETS, token_to_bucket=TYPE_BUCKETS,
                         codes=PRIORITY_CODES)
