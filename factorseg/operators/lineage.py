@@ -1,32 +1,38 @@
-"""Written tables in the shared checkpoint folder, for loops and for row numbers that must hold still.
+"""Written tables in the shared checkpoint folder, for loops and for results that are used more than once.
 
 A written table ends the lineage like a checkpoint does and survives lost executors. Unlike one,
 it tells the planner its real size, so a loop's joins are planned from data instead of from
-estimates that multiply with every round.
+estimates that multiply with every round. Loops drop the tables of past rounds as they go.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the session names; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="factorseg-checkpoint-")
-        sc.setCheckpointDir(folder)
+    """spark.checkpoint.dir, else the folder set on the context, else one beside the session's warehouse tables."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+              or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lineage")
     return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame written and read again, and its path for ``drop_written``."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/factorseg-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    return written(df)[0]
+
+
+def drop_written(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, on whatever file system they lie."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
