@@ -5,7 +5,7 @@ their first ``n - ceil(t * n) + 1`` shingles. The join therefore
 
 1. counts all shingles in a sketch of fixed size (4 * 2**SKETCH_BITS bytes), which only decides the order;
 2. collapses equal sets to their smallest id, and sets of equal prefix and size to one group;
-3. links every set with its group's leader and with the group its prefix meets most often, and takes components;
+3. (``linking``) links every set with its group's leader and with the group its prefix meets most often, and takes components;
 4. pairs groups over shared prefix shingles, by size and by position, but only where members of different
    components meet, expands the group pairs to members of different components and verifies them.
 
@@ -14,7 +14,8 @@ cannot change a component. Inside a shingle's list, members of its most frequent
 each other. Shingles are held as 64-bit hashes; similarity is computed on the full sets.
 
 Defined results: null and empty texts have no shingles, no links and form their own component; rows without an id come
-back with a null component; rows that repeat an id are one document whose links are pooled; other columns are ignored.
+back with a null component; rows that repeat an id each get the component of their own text (where the id is the
+smallest of both texts' sets, these are one node); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factorseg.llm import words
-from factorseg.llm.graph import components
+from factorseg.llm.linking import linked
 from factorseg.operators.lineage import cut_lineage
 
 SKETCH_BITS = 21
@@ -44,29 +45,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
                     F.xxhash64("first.prefix", "n_shingles").alias("same")))
     leaders = sets.groupBy("same").agg(F.min("rep").alias("leader"))
     reps = cut_lineage(sets.join(leaders, "same").select("rep", "leader", "n", "prefix"))
-    members = reps.select("rep", "leader")
-    groups = reps.filter("rep = leader").select("leader", "n", F.posexplode("prefix").alias("pos", "token"))
-    # several leaders share a token: all other lists are without use
-    shared = groups.groupBy("token").agg(F.count("*").alias("size"), F.min("leader").alias("pivot")).filter("size > 1")
-    postings = cut_lineage(groups.join(shared, "token").select("token", "leader", "n", "pos", "pivot"))
-
-    nearest = (postings.filter("leader <> pivot").groupBy("leader", "pivot").agg(F.count("*").alias("shared"))
-               .groupBy("leader").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("best"))
-               .select(F.col("leader").alias("a"), (-F.col("best.p")).alias("b")))
-    first = nearest.unionAll(members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    links = cut_lineage(verified(rows, cut_lineage(first), k, similarity))
-
-    settled = components(links)
-    labelled = members.join(settled, members.rep == settled.node, "left").select(
-        "rep", "leader", F.coalesce("component", "rep").alias("comp"))
-    labelled = cut_lineage(labelled)
-    second = cut_lineage(_open_pairs(postings, labelled, similarity))
-    if second.take(1):
-        links = links.unionAll(verified(rows, second, k, similarity))
-        settled = components(links)
+    tokens = reps.filter("rep = leader").select("leader", "n", F.posexplode("prefix").alias("pos", "token"))
+
+    def full_sets(bitmap):
+        def sets_of(batches):
+            cells = np.frombuffer(bitmap.value, np.uint32)
+            for batch in batches:
+                wanted = batch.filter(pa.array(words.in_bitmap(batch.column("doc_id"), cells)))
+                for part in words.pieces(wanted, "text"):
+                    yield words.set_rows(part.column("doc_id"), *words.shingles(part.column("text"), k))
+        return rows.mapInArrow(sets_of, "id long, items array<long>")
+
+    settled = linked(tokens, reps.select("rep", "leader"), full_sets, similarity)
 
     # equal sets follow their smallest id; pooled ids follow their least component
-    same = sets.select("rep", "same")
     copies = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
               .agg(F.min("doc_id").alias("rep")))
     copies = copies.join(settled, copies.rep == settled.node, "left").select(
@@ -125,68 +117,3 @@ def _prefixes(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame
                     ["doc_id", "n_shingles", "set_a", "set_b", "prefix"])
 
     return rows.mapInArrow(prefix, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>")
-
-
-def verified(rows: DataFrame, pairs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; the sets are made again from the texts that are needed."""
-    spark = rows.sparkSession
-    num, den = similarity
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    bitmap = spark.sparkContext.broadcast(words.id_bitmap(ids, "doc_id"))
-
-    def sets(batches):
-        cells = np.frombuffer(bitmap.value, np.uint32)
-        for batch in batches:
-            wanted = batch.filter(pa.array(words.in_bitmap(batch.column("doc_id"), cells)))
-            for part in words.pieces(wanted, "text"):
-                values, offsets = words.shingles(part.column("text"), k)
-                own = [np.unique(values[offsets[i]:offsets[i + 1]]) for i in range(part.num_rows)]
-                ends = np.concatenate([[0], np.cumsum([len(c) for c in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(own).view(np.int64))],
-                    ["id", "items"])
-
-    full = rows.mapInArrow(sets, "id long, items array<long>")
-    # copies of a set are one row here: only sets of needed ids, each once
-    left = pairs.join(full.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(full.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return both.filter(common.cast("long") * den >= union.cast("long") * num).select("a", "b")
-
-
-def _apart(side: DataFrame, key: str, comp: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of lists that hold several components: those outside a list's most frequent one, and those inside."""
-    usual = (side.groupBy(key, comp).agg(F.count("*").alias("n_comp"))
-             .groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("n_comp", comp)).alias("top"))
-             .filter("comps > 1").select(key, F.col(f"top.{comp}").alias("usual")))
-    mixed = side.join(usual, key)
-    return mixed.filter(F.col(comp) != F.col("usual")), mixed.filter(F.col(comp) == F.col("usual"))
-
-
-def _open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of sets, of groups that share a prefix shingle or of one group, that lie in different components."""
-    num, den = similarity
-    # a group counts as one component only if all its members are in it
-    whole = labelled.groupBy("leader").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")).select(
-        "leader", F.when(F.col("comp") == F.col("most"), F.col("comp")).otherwise(-F.col("leader") - 1).alias("comp"))
-    lists = postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp")
-    outside, usual = _apart(lists, "token", "comp")
-    right = outside.unionAll(usual).select("token", *[F.col(c).alias(f"{c}_b") for c in ("leader", "n", "pos", "comp", "usual")])
-    total = F.col("n") + F.col("n_b")
-    room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    met = (outside.join(right, "token")
-           .filter("comp <> comp_b and leader <> leader_b and (comp_b = usual_b or leader < leader_b)")
-           .filter((F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num)))
-    # all earlier shared shingles lie before both positions, so the first one met bounds the intersection
-    first = met.groupBy(F.least("leader", "leader_b").alias("g"), F.greatest("leader", "leader_b").alias("h")).agg(
-        F.max(room).alias("room"), F.first(total).alias("total"))
-    pairs = first.filter(F.col("room") * (num + den) >= F.col("total") * num).select("g", "h")
-    a = labelled.select(F.col("leader").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    b = labelled.select(F.col("leader").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    across = pairs.join(a, "g").join(b, "h").filter("ca <> cb").select("a", "b")
-    rest, most = _apart(labelled.select("leader", "rep", "comp"), "leader", "comp")
-    within = (rest.select("leader", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-              .join(rest.unionAll(most).select("leader", F.col("rep").alias("b"), F.col("comp").alias("cb")), "leader")
-              .filter("ca <> cb").select("a", "b"))
-    return across.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

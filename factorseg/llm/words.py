@@ -197,3 +197,11 @@ def in_bitmap(ids: pa.Array, cells: np.ndarray) -> np.ndarray:
     known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
     word, bit = bitmap_place(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), len(cells).bit_length() - 1)
     return known & ((cells[word] & bit) != 0)
+
+
+def set_rows(ids: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """(id, items): the distinct values of each text."""
+    own = [np.unique(values[offsets[i]:offsets[i + 1]]) for i in range(len(ids))]
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in own])]).astype(np.int32)
+    flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, flat.view(np.int64))], ["id", "items"])
