@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import jaccard_join, substring_dedup
+from factorseg.llm import jaccard_join, packing, substring_dedup
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -19,12 +19,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
