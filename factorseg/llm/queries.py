@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import jaccard_join, packing, substring_dedup, toxicity
+from factorseg.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -19,6 +19,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -34,6 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
@@ -57,4 +62,26 @@ reach(node, low) AS (SELECT rep, rep FROM r UNION SELECT e.b, low FROM reach JOI
 c AS (SELECT node, min(low) AS component FROM reach GROUP BY node)
 SELECT doc_id, n_shingles, coalesce(component, doc_id) AS component_id
 FROM n LEFT JOIN r USING (same) LEFT JOIN c ON r.rep = c.node""",
+    "op5_mixing": """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+w AS (SELECT *, pow(n::DOUBLE, 0.9) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c),
+q AS (SELECT source, n, i, greatest(1, round(w * 1000 / sum(w) OVER ()))::BIGINT AS q FROM w),
+a AS (SELECT list(q ORDER BY i) AS q, sum(q)::BIGINT AS p FROM q),
+e(t, done, pick) AS (
+  SELECT -1::BIGINT, list_transform(q, lambda x: 0::BIGINT), 0::BIGINT FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, k: d + CASE WHEN k = best THEN 1 ELSE 0 END), best FROM (
+    SELECT t, done, list_min(list_filter(list_transform(range(1, len(done) + 1), lambda k:
+        CASE WHEN (done[k] * p) // q[k] <= t + 1 THEN ((done[k] + 1) * p + q[k] - 1) // q[k] * 1000000 + k END),
+        lambda x: x IS NOT NULL)) % 1000000 AS best
+    FROM e, a WHERE t + 1 < p)),
+s AS (SELECT pick AS i, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM e WHERE t >= 0),
+b AS (SELECT q.*, a.p, (n + 15) // 16 AS blocks FROM q, a),
+stop AS (SELECT max((blocks - 1) // b.q * p + t + 1) AS stop FROM b JOIN s ON b.i = s.i AND s.j = (blocks - 1) % b.q),
+used AS (SELECT b.*, stop // p * b.q + (SELECT count(*) FROM s WHERE s.i = b.i AND s.t < stop % p) AS used FROM b, stop),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM documents),
+o AS (SELECT r.doc_id, r.source, k, u.q, u.p, u.blocks, u.i, unnest(range(k // 16, used, blocks)) AS o
+      FROM r JOIN used u ON r.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, source, o // blocks AS mix_epoch, (o // q * p + t) * 16 + k % 16 AS mix_position
+FROM o JOIN s ON o.i = s.i AND s.j = o.o % o.q""",
 }
