@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
+from factorseg.llm import ann, jaccard_join, mixing, packing, substring_dedup, toxicity
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -19,6 +19,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -38,6 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_ann": op2_ann,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
