@@ -40,12 +40,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = cut_lineage(_prefixes(rows, k, similarity))
     sets = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-            .agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
-            .select(F.col("first.doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.col("first.prefix").alias("prefix"),
+            .agg(F.min(F.struct("doc_id", "prefix")).alias("first"), F.count("*").alias("copies"))
+            .select(F.col("first.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "copies", F.col("first.prefix").alias("tokens"),
                     F.xxhash64("first.prefix", "n_shingles").alias("same")))
     leaders = sets.groupBy("same").agg(F.min("rep").alias("leader"))
-    reps = cut_lineage(sets.join(leaders, "same").select("rep", "leader", "n", "prefix"))
-    tokens = reps.filter("rep = leader").select("leader", "n", F.posexplode("prefix").alias("pos", "token"))
+    reps = cut_lineage(sets.join(leaders, "same").select("rep", "leader", "n", "copies", "tokens"))
+    groups = reps.filter("rep = leader").select("leader", "n", "copies", "tokens")
 
     def full_sets(bitmap):
         def sets_of(batches):
@@ -56,7 +56,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
                     yield words.set_rows(part.column("doc_id"), *words.shingles(part.column("text"), k))
         return rows.mapInArrow(sets_of, "id long, items array<long>")
 
-    settled = linked(tokens, reps.select("rep", "leader"), full_sets, similarity)
+    settled = linked(groups, reps.select("rep", "leader"), full_sets, similarity)
 
     # equal sets follow their smallest id; pooled ids follow their least component
     copies = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")

@@ -10,38 +10,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factorseg.llm import words
 from factorseg.llm.graph import components
 from factorseg.operators.lineage import cut_lineage
 
 
-def linked(tokens: DataFrame, members: DataFrame, full_sets: Callable, similarity: tuple[int, int],
+def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarity: tuple[int, int],
            sized: bool = True) -> DataFrame:
     """(node, component) of the sets ``rep`` that link.
 
-    ``tokens`` (token, leader, n, pos): lists of groups, with the group's set size and the token's position in its
-    order; where ``n`` is not the set's exact size, ``sized`` is false and neither is used. ``members`` (rep, leader):
-    the sets of each group. ``full_sets(bitmap)`` gives (id, items) for at least the ids in a broadcast bitmap.
+    ``groups`` (leader, n, copies, tokens): the lists each group is in, in the order common to all groups; sets that link
+    share a token. If ``sized``, n is the exact set size and ``tokens`` the start of the set in that order, so sizes and
+    positions bound the similarity. ``members`` (rep, leader): the sets of each group. ``full_sets(bitmap)`` gives
+    (id, items) for at least the ids in a broadcast bitmap.
     """
-    # several leaders share a token: all other lists are without use
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("leader").alias("pivot")).filter("size > 1")
-    postings = cut_lineage(tokens.join(shared, "token").select("token", "leader", "n", "pos", "pivot"))
-    nearest = (postings.filter("leader <> pivot").groupBy("leader", "pivot").agg(F.count("*").alias("shared"))
-               .groupBy("leader").agg(F.max(F.struct("shared", "pivot")).alias("best"))
-               .select(F.col("leader").alias("a"), F.col("best.pivot").alias("b")))
+    postings = groups.select("leader", "n", "copies", F.posexplode("tokens").alias("pos", "token"))
+    # a list is led by the group with the fewest tokens before this one: near copies of a text differ by rare tokens,
+    # so that is the text itself or the copy nearest to it
+    lead = F.struct("pos", (-F.col("copies")).alias("c"), "leader", "n")
+    shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(lead).alias("lead")).filter("size > 1")
+    postings = cut_lineage(postings.join(shared, "token").select(
+        "token", "leader", "n", "pos", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("leader", "n", "pos")]))
+    near = postings.filter("leader <> leader_b")
+    if sized:
+        near = near.filter(_possible(similarity))
+    nearest = (near.groupBy("leader", "leader_b").agg(F.count("*").alias("shared"))
+               .groupBy("leader").agg(F.max(F.struct("shared", "leader_b")).alias("best"))
+               .select(F.col("leader").alias("a"), F.col("best.leader_b").alias("b")))
     first = nearest.unionAll(members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     links = cut_lineage(verified(cut_lineage(first), full_sets, similarity))
     settled = components(links)
     labelled = cut_lineage(members.join(settled, members.rep == settled.node, "left").select(
         "rep", "leader", F.coalesce("component", "rep").alias("comp")))
-    second = cut_lineage(open_pairs(postings, labelled, similarity, sized))
+    second = cut_lineage(open_pairs(postings.select("token", "leader", "n", "pos"), groups, labelled, similarity, sized))
     if second.take(1):
         settled = components(links.unionAll(verified(second, full_sets, similarity)))
     return settled
 
 
+def _possible(similarity: tuple[int, int]) -> Column:
+    """Whether sizes n and n_b and the positions of the first shared token leave room for the similarity.
+
+    What is shared lies at or after both positions.
+    """
+    num, den = similarity
+    room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    return ((F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num)
+            & (room * (num + den) >= (F.col("n") + F.col("n_b")) * num))
+
+
 def verified(pairs: DataFrame, full_sets: Callable, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; the sets are made again from the texts that are needed."""
     num, den = similarity
@@ -64,26 +83,29 @@ def apart(side: DataFrame, key: str, comp: str) -> tuple[DataFrame, DataFrame]:
     return mixed.filter(F.col(comp) != F.col("usual")), mixed.filter(F.col(comp) == F.col("usual"))
 
 
-def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int],
+def open_pairs(postings: DataFrame, groups: DataFrame, labelled: DataFrame, similarity: tuple[int, int],
                sized: bool) -> DataFrame:
-    """Pairs of sets, of groups that share a prefix shingle or of one group, that lie in different components."""
-    num, den = similarity
+    """Pairs of sets, of groups that share a token or of one group, that lie in different components.
+
+    Sized groups that meet must have room for the similarity after the token where they do; others meet only in the
+    list of their first shared token.
+    """
     # a group counts as one component only if all its members are in it
     whole = labelled.groupBy("leader").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")).select(
         "leader", F.when(F.col("comp") == F.col("most"), F.col("comp")).otherwise(F.xxhash64("leader", "most")).alias("comp"))
     lists = postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp")
     outside, usual = apart(lists, "token", "comp")
-    right = outside.unionAll(usual).select("token", *[F.col(c).alias(f"{c}_b") for c in ("leader", "n", "pos", "comp", "usual")])
-    total = F.col("n") + F.col("n_b")
-    room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    met = (outside.join(right, "token")
-           .filter("comp <> comp_b and leader <> leader_b and (comp_b = usual_b or leader < leader_b)"))
-    if sized:
-        met = met.filter((F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num))
-    # all earlier shared shingles lie before both positions, so the first one met bounds the intersection
-    first = met.groupBy(F.least("leader", "leader_b").alias("g"), F.greatest("leader", "leader_b").alias("h")).agg(
-        F.max(room).alias("room"), F.first(total).alias("total"))
-    pairs = (first.filter(F.col("room") * (num + den) >= F.col("total") * num) if sized else first).select("g", "h")
+    lists = outside.unionAll(usual)
+    bound = _possible(similarity)
+    if not sized:
+        lists = lists.join(groups.select("leader", "tokens"), "leader").withColumn("before", F.expr("slice(tokens, 1, pos)")).drop("tokens")
+        bound = ~F.arrays_overlap("before", "before_b")
+    lists = cut_lineage(lists)
+    outside = lists.filter("comp <> usual")
+    right = lists.select("token", *[F.col(c).alias(f"{c}_b") for c in lists.columns if c != "token"])
+    apart_ = F.expr("comp <> comp_b and leader <> leader_b and (comp_b = usual_b or leader < leader_b)")
+    met = outside.join(right, (outside.token == right.token) & apart_ & bound)
+    pairs = met.select(F.least("leader", "leader_b").alias("g"), F.greatest("leader", "leader_b").alias("h")).distinct()
     a = labelled.select(F.col("leader").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     b = labelled.select(F.col("leader").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
     across = pairs.join(a, "g").join(b, "h").filter("ca <> cb").select("a", "b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import ann, jaccard_join, mixing, packing, substring_dedup, toxicity
+from factorseg.llm import ann, embedding_dedup, jaccard_join, mixing, packing, substring_dedup, toxicity
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ann": op2_ann,
     "op5_mixing": op5_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,

@@ -95,7 +95,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
              .select("hash_a", "hash_b", "n_words", "copies", "first.*"))
     texts = cut_lineage(texts)
     size = F.greatest(F.col("n_words") - (k - 1), F.lit(1))
-    tokens = texts.select(F.explode("bands").alias("token"), F.col("place").alias("leader"), size.alias("n"), F.lit(0).alias("pos"))
+    groups = texts.select(F.col("place").alias("leader"), size.alias("n"), "copies", F.col("bands").alias("tokens"))
     members = texts.select(F.col("place").alias("rep"), F.col("place").alias("leader"))
 
     def full_sets(bitmap):
@@ -113,7 +113,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
                         yield words.set_rows(pa.array(place[need]), *words.shingle_hashes(own, offsets, k))
         return rows.mapInArrow(sets_of, "id long, items array<long>")
 
-    settled = linked(tokens, members, full_sets, similarity, sized=False)
+    settled = linked(groups, members, full_sets, similarity, sized=False)
     named = texts.join(settled, texts.place == settled.node, "left").select(
         "hash_a", "hash_b", "n_words", "copies", "doc_id", "line", F.coalesce("component", "place").alias("component"))
     named = cut_lineage(named)
