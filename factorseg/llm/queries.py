@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import ann, embedding_dedup, jaccard_join, mixing, packing, substring_dedup, toxicity
+from factorseg.llm import ann, chat_format, embedding_dedup, jaccard_join, license_scan, mixing, packing, substring_dedup, toxicity
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
 
 
+LICENSES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -23,6 +26,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(_read(spark, sf_dir, "documents")).drop("start", "end")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -36,6 +43,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat_format.read_back(chat_format.examples(turns.unionByName(extra)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
@@ -47,9 +62,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ann": op2_ann,
+    "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -94,4 +111,42 @@ o AS (SELECT r.doc_id, r.source, k, u.q, u.p, u.blocks, u.i, unnest(range(k // 1
       FROM r JOIN used u ON r.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, source, o // blocks AS mix_epoch, (o // q * p + t) * 16 + k % 16 AS mix_position
 FROM o JOIN s ON o.i = s.i AND s.j = o.o % o.q""",
+    "op4_license_scan": f"""
+WITH templates(license, text) AS (VALUES {LICENSES}),
+shingled AS (SELECT 't' AS kind, license AS id, text, NULL AS doc_id FROM templates
+             UNION ALL SELECT 'd', NULL, text, doc_id FROM documents),
+w AS (SELECT kind, id, doc_id, {WORDS} AS ws FROM shingled),
+s AS (SELECT kind, id, doc_id, len(ws) AS n, CASE WHEN len(ws) >= 5
+        THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS items FROM w),
+t AS (SELECT id AS license, len(items) AS m, len(list_distinct(items)) AS n_template, unnest(list_distinct(items)) AS item
+      FROM s WHERE kind = 't'),
+p AS (SELECT doc_id, n, unnest(items) AS item, unnest(range(len(items))) AS pos FROM s WHERE kind = 'd'),
+h AS (SELECT doc_id, n, license, m, n_template, item, pos, unnest([pos // m - 1, pos // m]) AS win FROM p JOIN t USING (item)),
+g AS (SELECT doc_id, n, license, win, n_template, count(DISTINCT item) AS n_shared, min(pos) AS low, max(pos) AS high
+      FROM h WHERE win >= 0 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY n_shared DESC, win) AS rank
+      FROM g WHERE 5 * n_shared >= 4 * n_template)
+SELECT doc_id, license, n_shared, n_template, low AS first_word, least(high + 5, n) - 1 AS last_word FROM b WHERE rank = 1""",
+    "op8_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+             count(*) OVER (PARTITION BY conv_id) AS n,
+             length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 16 AS chars FROM c),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS prefix FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(prefix) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach(node, low) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, low FROM reach JOIN l ON node = l.a),
+c AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = node""",
 }
