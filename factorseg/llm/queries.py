@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import ann, chat_format, embedding_dedup, jaccard_join, license_scan, mixing, packing, substring_dedup, toxicity
+from factorseg.llm import ann, chat_format, embedding_dedup, jaccard_join, license_scan, mixing, ngram_model, packing, substring_dedup, toxicity
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -26,6 +26,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.scores(_read(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(_read(spark, sf_dir, "documents")).drop("start", "end")
 
@@ -62,6 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ann": op2_ann,
+    "op3_ngram_model": op3_ngram_model,
     "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
