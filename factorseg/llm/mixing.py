@@ -10,7 +10,8 @@ has been used once; sources that their weight asks for more often start over (``
 and the shares hold to the end. Rows are numbered in buckets of bounded size, so a source may hold any share of the rows.
 
 Defined results: a null source is a source of its own; rows without an id sort as an empty id; rows that repeat an id are
-separate rows in any order among themselves; no rows give no rows; other columns come along.
+separate rows in any order among themselves; no rows give no rows; other columns come along, whatever their names (columns
+mix_epoch and mix_position are replaced).
 """
 
 from __future__ import annotations
@@ -78,23 +79,26 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_
 
     Sorted by ``mix_position``, any prefix has each source within one block of its share.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    own = [F.col(c) for c in docs.columns if c not in ("mix_epoch", "mix_position")]
+    rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     plan = schedule(counts, weights, block_rows, period, exponent)
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     buckets = counts.agg(F.floor(F.coalesce(F.sum("n"), F.lit(0)) / BUCKET_ROWS) + 1).scalar()
-    head = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    placed = docs.withColumn("_key", key).withColumn("_bucket", F.floor(head * buckets / F.lit(1 << 32)))
-    sizes = placed.groupBy(F.col(source_col).alias("_source"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_source", "_b", (F.sum("_n").over(W.partitionBy("_source").orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(source_col, "_bucket").orderBy("_key", id_col))
-    numbered = placed.withColumn("_inside", inside).join(
-        before, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).withColumn(
-        "_number", F.col("_before") + F.col("_inside") - 1).drop("_source", "_b", "_before", "_inside", "_bucket", "_key")
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in ("source", "q", "p", "blocks", "slots", "used")])
-    block = F.floor(F.col("_number") / block_rows)
-    uses = (numbered.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-            .withColumn("_use", F.explode(F.sequence(block, F.col("_used") - 1, F.col("_blocks")))))
-    turn = F.floor(F.col("_use") / F.col("_q"))
-    slot = turn * F.col("_p") + F.element_at("_slots", (F.col("_use") - turn * F.col("_q")).cast("int") + 1)
-    return uses.select(*docs.columns, F.floor(F.col("_use") / F.col("_blocks")).alias("mix_epoch"),
-                       (slot * block_rows + F.col("_number") - block * block_rows).alias("mix_position"))
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    placed = rows.withColumn("key", key).withColumn("bucket", F.floor(head * buckets / F.lit(1 << 32)))
+    sizes = placed.groupBy("source", "bucket").agg(F.count("*").alias("size"))
+    before = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
+                          (F.sum("size").over(W.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("source", "bucket").orderBy("key", "id"))
+    numbered = placed.withColumn("inside", inside).join(
+        before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
+        "row", "source", (F.col("before") + F.col("inside") - 1).alias("number"))
+    block = F.floor(F.col("number") / block_rows)
+    plan = plan.withColumnRenamed("source", "s")
+    uses = numbered.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn(
+        "use", F.explode(F.sequence(block, F.col("used") - 1, F.col("blocks"))))
+    turn = F.floor(F.col("use") / F.col("q"))
+    slot = turn * F.col("p") + F.element_at("slots", (F.col("use") - turn * F.col("q")).cast("int") + 1)
+    return uses.select("row.*", F.floor(F.col("use") / F.col("blocks")).alias("mix_epoch"),
+                       (slot * block_rows + F.col("number") - block * block_rows).alias("mix_position"))
