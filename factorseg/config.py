@@ -71,10 +71,8 @@ class SegmentConfig:
     final_starts: int = 50
     force_k_a: int | None = None
     force_k_b: int | None = None
-    silhouette_metric: str = "euclidean"
-    exact_silhouette_limit: int | None = 1_000_000   # rows; the all-pairs silhouette is refused above it
+    silhouette_metric: str = "squared_euclidean"   # linear; "euclidean" compares all pairs
     small_cluster_pct: float = 0.05
-    max_levels: int = 2000
     profile_categorical: tuple = PROFILE_CATEGORICAL
     profile_numeric: tuple = PROFILE_NUMERIC
     match_col: str | None = "quiz_reco_match"

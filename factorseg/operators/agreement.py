@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factorseg.operators.joins import materialize_small
+
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, ari): adjusted Rand index from the contingency counts."""
@@ -28,12 +30,11 @@ def min_cluster_size(n: Column, pct: float) -> Column:
 def merge_small_clusters(labels: DataFrame, pct: float = 0.05, cluster: str = "cluster") -> DataFrame:
     """Adds ``cluster_final``: the label, or -1 when its cluster is below ``pct`` of all rows.
 
-    Only the clusters that stay are joined back. Each has at least max(1, floor(pct * n)) rows,
-    so there are at most 2 / pct of them whatever the data, and broadcasting them is safe.
+    Only the clusters that stay are joined back; they are broadcast if few.
     """
     sizes = labels.groupBy(F.col(cluster).alias("kept_cluster")).agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size").alias("n")).scalar()
     kept = sizes.filter(F.col("size") >= min_cluster_size(total, pct)).select("kept_cluster")
     final = F.when(F.col("kept_cluster").isNull(), F.lit(-1)).otherwise(F.col(cluster).cast("int"))
-    return (labels.join(F.broadcast(kept), F.col(cluster) == F.col("kept_cluster"), "left")
+    return (labels.join(materialize_small(kept), F.col(cluster) == F.col("kept_cluster"), "left")
             .withColumn("cluster_final", final.cast("int")).drop("kept_cluster"))

@@ -38,10 +38,11 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], out: str = "cus
     return marked.withColumn(out, first + inside).drop("_mid")
 
 
-def sorted_levels(df: DataFrame, column: str, limit: int) -> list | None:
+def sorted_levels(df: DataFrame, column: str, limit: int | None = None) -> list | None:
     """The sorted distinct values, or None when there are more than ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r[0] for r in rows)
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    rows = rows.collect() if limit is None else rows.limit(limit + 1).collect()
+    return None if limit is not None and len(rows) > limit else sorted(r[0] for r in rows)
 
 
 def ordinal_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -59,16 +60,14 @@ def ordinal_codes(df: DataFrame, column: str, out: str | None = None) -> DataFra
             .withColumn(out, F.coalesce(F.col("_code").cast("int"), F.lit(-1))).drop("_level", "_code"))
 
 
-def one_hot_drop_first(df: DataFrame, columns: Sequence[str], limit: int = 2000) -> DataFrame:
+def one_hot_drop_first(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """0/1 columns ``<column>_<level>`` for every sorted level but the first; null gives zeros.
 
-    The result has one column per level, so more than ``limit`` levels are refused.
+    The result has one column per level, which is what this form of output is.
     """
     new = []
     for c in columns:
-        levels = sorted_levels(df, c, limit)
-        if levels is None or len(new) + len(levels) > limit:
-            raise ValueError(f"one-hot encoding of {c} would exceed {limit} columns")
+        levels = sorted_levels(df, c)
         new += [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in levels[1:]]
     return df.select(*[c for c in df.columns if c not in columns], *new)
 

@@ -13,10 +13,13 @@ from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as arrow
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factorseg.functions.columns import category_filled, number_filled, round_even
 from factorseg.operators.assoc import PAIRS_PER_JOB
+from factorseg.operators.joins import SMALL_ROWS
 
 LITERAL_LEVELS = 64      # up to here level weights are a literal map, beyond it a broadcast join
 CELLS_PER_ROW = 0.1      # aggregate whole category tuples first when they are this few per row
@@ -47,7 +50,7 @@ class MixedStats:
         return np.arange(start, start + len(self.levels[variable]))
 
 
-def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_levels: int = 2000) -> MixedStats:
+def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> MixedStats:
     """Two jobs over the rows when the category tuples repeat, a few more when they do not."""
     cats, nums = list(cats), list(nums)
     base = df.select(*[category_filled(c).alias(f"c{i}") for i, c in enumerate(cats)],
@@ -61,8 +64,6 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
     if n == 0:
         raise ValueError("the table has no rows")
     many = {c: first[f"d{i}"] for i, c in enumerate(cats)}
-    if sum(many.values()) > max_levels * 1.3:  # an estimate; the exact count is checked below
-        raise ValueError(f"too many levels for factor analysis (limit {max_levels}): {many}")
     mean = np.array([first[f"m{i}"] for i in range(q)], dtype=float)
     sd = np.array([first[f"s{i}"] for i in range(q)], dtype=float)
     flat = [nums[i] for i in range(q) if not sd[i] > 0]
@@ -82,19 +83,17 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
         cells = z.withColumn("w", F.lit(1).cast("bigint"))
     weight, sums = F.col("w"), [F.sum(f"z{i}").alias(f"z{i}") for i in range(q)]
 
-    level_rows, pair_rows = [], []
+    level_rows, pair_rows = [], None
     if cats:
         each = cells.select("w", *[f"z{i}" for i in range(q)], F.inline(F.array(*[
             F.struct(F.lit(i).alias("v"), F.col(f"c{i}").alias("level")) for i in range(p)])))
         level_rows = each.groupBy("v", "level").agg(F.sum(weight).alias("w"), *sums).collect()
-    if len(level_rows) > max_levels:
-        raise ValueError(f"too many levels for factor analysis: {len(level_rows)} (limit {max_levels})")
     if p > 1:
         pair_ids = list(combinations(range(p), 2))
         both = cells.select("w", F.inline(F.array(*[
             F.struct(F.lit(k).alias("pair"), F.col(f"c{a}").alias("la"), F.col(f"c{b}").alias("lb"))
             for k, (a, b) in enumerate(pair_ids)])))
-        pair_rows = both.groupBy("pair", "la", "lb").agg(F.sum(weight).alias("w")).collect()
+        pair_rows = both.groupBy("pair", "la", "lb").agg(F.sum(weight).alias("w")).toArrow()
 
     levels, share, sums_by = {}, {}, {}
     for i, c in enumerate(cats):
@@ -118,11 +117,13 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_lev
             m[o:o + k, :q] = sums_by[c] / n / np.sqrt(pc)[:, None]
             m[:q, o:o + k] = m[o:o + k, :q].T
     if p > 1:
-        index = {c: {lev: k for k, lev in enumerate(levels[c])} for c in cats}
         joint = {pair: np.zeros((len(levels[cats[pair[0]]]), len(levels[cats[pair[1]]]))) for pair in pair_ids}
-        for r in pair_rows:
-            a, b = pair_ids[r["pair"]]
-            joint[a, b][index[cats[a]][r["la"]], index[cats[b]][r["lb"]]] = r["w"] / n
+        number, weights = pair_rows.column("pair").to_numpy(), pair_rows.column("w").to_numpy() / n
+        for k, (a, b) in enumerate(pair_ids):
+            mine = np.flatnonzero(number == k)
+            at = [arrow.index_in(pair_rows.column(side).take(pa.array(mine)), pa.array(levels[cats[v]])).to_numpy()
+                  for side, v in (("la", a), ("lb", b))]
+            joint[a, b][at[0], at[1]] = weights[mine]
         for (a, b), pj in joint.items():
             ca, cb = cats[a], cats[b]
             expect = np.outer(share[ca], share[cb])
@@ -299,10 +300,11 @@ class FamdModel:
                 table = F.create_map(*[x for lev, row in zip(s.levels[c], w)
                                        for x in (F.lit(lev), F.array(*[F.lit(float(v)) for v in row]))])
                 out = out.withColumn(f"_w{i}", F.coalesce(F.try_element_at(table, F.col(f"_c{i}")), zero))
-            else:  # at most ``max_levels`` rows, checked by the fit
+            else:
                 rows = [(lev, [float(v) for v in row]) for lev, row in zip(s.levels[c], w)]
                 table = df.sparkSession.createDataFrame(rows, f"_l{i} string, _w{i} array<double>")
-                out = (out.join(F.broadcast(table), F.col(f"_c{i}") == F.col(f"_l{i}"), "left")
+                side = F.broadcast(table) if len(rows) <= SMALL_ROWS else table
+                out = (out.join(side, F.col(f"_c{i}") == F.col(f"_l{i}"), "left")
                        .withColumn(f"_w{i}", F.coalesce(f"_w{i}", zero)).drop(f"_l{i}"))
         factors = []
         for j in range(n):
@@ -319,8 +321,8 @@ class FamdModel:
 
 
 def fit_famd(df: DataFrame, cats: Sequence[str], nums: Sequence[str], target: float = 0.85,
-             max_components: int = 20, max_levels: int = 2000, n_components: int | None = None) -> FamdModel:
-    stats = mixed_stats(df, cats, nums, max_levels)
+             max_components: int = 20, n_components: int | None = None) -> FamdModel:
+    stats = mixed_stats(df, cats, nums)
     return decompose(stats, list(cats) + list(nums), target, max_components, n_components)
 
 

@@ -19,8 +19,9 @@ from factorseg.operators.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-SEED_ROWS = 8192          # at most this many rows serve to find starting centres
-SEED_STEPS = 50           # refinement steps of a start on the seed rows
+SEED_ROUNDS = 5           # rounds of candidate sampling over all rows
+SEED_FACTOR = 20          # candidates drawn in a round, times the largest k
+SEED_STEPS = 50           # refinement steps of a start on the weighted candidates
 CHUNK_CELLS = 2_000_000   # distances held at once in a task
 TASK_WORK = 3e7           # rows x centres x coordinates worth a task of its own
 DIRECT_ROWS = 20_000      # per-task partial sums are added on the driver up to this many
@@ -101,12 +102,12 @@ def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
 
     names = ["center", "n", "e"] + [f"s{j}" for j in range(d)]
     schema = "center int, " + ", ".join(f"{c} double" for c in names[1:])
-    wanted = min(partitions, int(count * total * d / TASK_WORK) + 1)
+    wanted = int(count * total * d / TASK_WORK) + 1
     rows_df = df.select(features)
     if wanted < partitions:
-        rows_df, partitions = rows_df.coalesce(wanted), wanted
+        rows_df = rows_df.coalesce(wanted)
     parts = rows_df.mapInArrow(task, schema)
-    if partitions * total > DIRECT_ROWS:
+    if wanted * total > DIRECT_ROWS:
         parts = parts.groupBy("center").agg(*[F.sum(c).alias(c) for c in names[1:]])
     n, e, s = np.zeros(total), np.zeros(total), np.zeros((total, d))
     for r in parts.collect():
@@ -117,39 +118,65 @@ def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
     return n, e, s
 
 
-def seed_rows(df: DataFrame, features: str, id_col: str, n: int, seed: int, size: int = SEED_ROWS) -> np.ndarray:
-    """At most about ``size`` rows for the starting centres, chosen by a hash of the id.
+def seed_candidates(df: DataFrame, features: str, id_col: str, k: int, seed: int, count: int,
+                    partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate centres drawn from all rows, and how many rows each stands for.
 
-    They only decide where the search starts; every later step uses all rows.
+    Every round draws rows in proportion to their squared distance to the candidates so far: each row gets the key
+    ``-log(u) / distance`` with u from a hash of its id, and the smallest keys of all rows win. A task sends no more rows
+    than the round draws. So a small cluster far from the rest is drawn however few its rows are.
     """
-    h = F.xxhash64(F.lit(int(seed)), F.col(id_col))
-    picked = df.select(features, h.alias("h"))
-    if n > size:
-        cut = int(2 ** 63 * (2.0 * size / n)) if 2 * size < n else 2 ** 63 - 1
-        picked = picked.filter(F.col("h").between(0, cut))
-    rows = picked.orderBy("h", features).limit(size).collect()
-    return np.array([r[features] for r in rows], dtype=float)
-
-
-def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeding on the seed rows: each next centre in proportion to squared distance."""
-    out = [x[rng.integers(len(x))]]
+    draw = SEED_FACTOR * k
+    unit = lambda i: F.xxhash64(F.lit(int(seed)), F.lit(i), F.col(id_col)).alias("h")
+    first = df.select(features, unit(-1)).orderBy("h", features).first()
+    pool = np.array([first[features]], dtype=float)
+    for i in range(SEED_ROUNDS):
+        def task(batches: Iterator[pa.RecordBatch], pool=pool) -> Iterator[pa.RecordBatch]:
+            keys, rows = np.zeros(0), np.zeros((0, pool.shape[1]))
+            for batch in batches:
+                x = feature_matrix(batch.column(0))
+                step = max(1, CHUNK_CELLS // len(pool))
+                near = np.concatenate([dist[:, 0].min(axis=1) for at in range(0, len(x), step) for _l, _m, _k, dist, _ in
+                                       _nearest(x[at:at + step], pool, [(len(pool), 0, 1)])]) if len(x) else np.zeros(0)
+                u = (batch.column(1).to_numpy().view(np.uint64).astype(np.float64) + 0.5) / 2.0 ** 64
+                far = near > 1e-12 * (1 + (x * x).sum(axis=1))
+                keys = np.concatenate([keys, -np.log(u[far]) / near[far]])
+                rows = np.concatenate([rows, x[far]])
+                if len(keys) > draw:
+                    kept = np.argpartition(keys, draw - 1)[:draw]
+                    keys, rows = keys[kept], rows[kept]
+            if len(keys):
+                ends = np.arange(len(keys) + 1, dtype=np.int32) * rows.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))],
+                                                 ["key", "c"])
+
+        drawn = df.select(features, unit(i)).mapInArrow(task, "key double, c array<double>").orderBy("key", "c").limit(draw).collect()
+        if not drawn:
+            break
+        pool = np.unique(np.concatenate([pool, np.array([r["c"] for r in drawn])]), axis=0)
+    weight, _, _ = _pass(df, features, [pool], count, partitions)
+    return pool[weight > 0], weight[weight > 0]
+
+
+def spread_centers(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on weighted candidates: each next centre in proportion to weight times squared distance."""
+    out = [x[rng.choice(len(x), p=weight / weight.sum())]]
     near = ((x - out[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = near.sum()
-        i = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
+        total = (weight * near).sum()
+        i = rng.choice(len(x), p=weight * near / total) if total > 0 else rng.integers(len(x))
         out.append(x[i])
         near = np.minimum(near, ((x - x[i]) ** 2).sum(axis=1))
     return np.array(out)
 
 
-def _refine(x: np.ndarray, c: np.ndarray, stop: float) -> np.ndarray:
-    """A few k-means steps on the seed rows."""
+def _refine(x: np.ndarray, weight: np.ndarray, c: np.ndarray, stop: float) -> np.ndarray:
+    """A few k-means steps on the weighted candidates."""
     for _ in range(SEED_STEPS):
         label = ((c * c).sum(axis=1) - 2.0 * (x @ c.T)).argmin(axis=1)
-        rows = np.bincount(label, minlength=len(c)).astype(float)
-        sums = np.stack([np.bincount(label, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
-        moved = np.where(rows[:, None] > 0, sums / np.maximum(rows, 1)[:, None], c)
+        rows = np.bincount(label, weights=weight, minlength=len(c))
+        sums = np.stack([np.bincount(label, weights=weight * x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
+        moved = np.where(rows[:, None] > 0, sums / np.where(rows > 0, rows, 1)[:, None], c)
         shift = ((moved - c) ** 2).sum()
         c = moved
         if shift <= stop:
@@ -157,11 +184,11 @@ def _refine(x: np.ndarray, c: np.ndarray, stop: float) -> np.ndarray:
     return c
 
 
-def starting_centers(df: DataFrame, seeds: np.ndarray, ids: Sequence[tuple[int, int]], seed: int,
+def starting_centers(df: DataFrame, seeds: np.ndarray, weight: np.ndarray, ids: Sequence[tuple[int, int]], seed: int,
                      stop: float) -> list[np.ndarray]:
-    """Starting centres for every (k, start): k-means++ on the seed rows, then refined there.
+    """Starting centres for every (k, start): k-means++ on the weighted candidates, then refined there.
 
-    The seed rows have a fixed maximum size; the starts are spread over tasks.
+    The number of candidates depends on k alone; the starts are spread over tasks.
     """
     spark = df.sparkSession
     d = seeds.shape[1]
@@ -171,9 +198,9 @@ def starting_centers(df: DataFrame, seeds: np.ndarray, ids: Sequence[tuple[int,
             at, flat = [], []
             for i in batch.column(0).to_pylist():
                 k, start = ids[i]
-                c = spread_centers(seeds, k, np.random.default_rng([seed, k, start]))
+                c = spread_centers(seeds, weight, k, np.random.default_rng([seed, k, start]))
                 at.append(i)
-                flat.append(_refine(seeds, c, stop).ravel())
+                flat.append(_refine(seeds, weight, c, stop).ravel())
             ends = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))],
@@ -209,14 +236,13 @@ def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, see
     if spread["n"] < max(ks):
         raise ValueError(f"{spread['n']} rows cannot form {max(ks)} clusters")
     stop = tol * float(np.mean([spread[f"v{j}"] for j in range(d)]))
-    n_seed = min(SEED_ROWS, max(spread["n"] // 2, 20 * max(ks)))
-    seeds = seed_rows(df, features, id_col, spread["n"], seed, n_seed)
+    partitions = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    seeds, weight = seed_candidates(df, features, id_col, max(ks), seed, spread["n"], partitions)
     ids = [(k, i) for k in sorted(ks) for i in range(first_start, starts)]
-    centers = starting_centers(df, seeds, ids, seed, stop)
+    centers = starting_centers(df, seeds, weight, ids, seed, stop)
     scale = max(float(np.sqrt(stop / tol)), 1e-300) if stop > 0 else 1.0
     kept = _distinct(ids, centers, list(range(len(ids))), scale)
     iterations = [0] * len(ids)
-    partitions = df.rdd.getNumPartitions()
     active = list(kept)
     for _ in range(max_iter):
         n, _e, s = _pass(df, features, [centers[i] for i in active], spread["n"], partitions)

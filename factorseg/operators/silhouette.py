@@ -1,10 +1,10 @@
 """Mean silhouette of one or many labelings of the same points.
 
-``euclidean`` is exact over all pairs, as usual in the field: its cost grows with the square of
-the number of distinct points. The rows are cut into blocks by hash; each block's task streams
+``euclidean`` is exact over all pairs, as usual in the field, and must be asked for: its cost grows with the
+square of the number of distinct points. The rows are cut into blocks by hash; each block's task streams
 all points past it and keeps running sums, so no pair is ever a row and memory stays bounded.
 All labelings share the distances. ``squared_euclidean`` needs only each cluster's size, sum and
-squared norm, so it is linear in the rows; it is a different number and must be asked for.
+squared norm, so it is exact for its own definition and linear in the rows; it is the default.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factorseg.operators.encode import with_row_index
 from factorseg.operators.kmeans import feature_matrix
 from factorseg.operators.shipping import ship_by_value
 
@@ -25,12 +26,8 @@ ROW_BYTES = 6_000        # packed points per streamed row stay near this size
 METRICS = ("euclidean", "squared_euclidean")
 
 
-def silhouettes(df: DataFrame, features: str, labels: str, metric: str = "euclidean",
-                exact_limit: int | None = None) -> list[float]:
-    """Mean silhouette for each entry of the ``labels`` array column (labels 0..k-1).
-
-    ``exact_limit`` refuses an all-pairs run above that many distinct points.
-    """
+def silhouettes(df: DataFrame, features: str, labels: str, metric: str = "squared_euclidean") -> list[float]:
+    """Mean silhouette for each entry of the ``labels`` array column (labels 0..k-1)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     points = df.groupBy(F.col(features).alias("f"), F.col(labels).alias("l")).agg(F.count("*").alias("w")).persist()
@@ -42,21 +39,16 @@ def silhouettes(df: DataFrame, features: str, labels: str, metric: str = "euclid
         sizes = _sizes(points, n_label)
         if metric == "squared_euclidean":
             return _squared(points, d, sizes)
-        count = points.count()
-        if exact_limit is not None and count > exact_limit:
-            raise ValueError(
-                f"the all-pairs silhouette of {count} distinct points exceeds exact_limit={exact_limit}; "
-                "raise the limit or ask for metric='squared_euclidean'")
-        return _euclidean(points, d, sizes, count)
+        return _euclidean(points, d, sizes, points.count())
     finally:
         points.unpersist()
 
 
-def silhouette(df: DataFrame, features: str, label: str, metric: str = "euclidean") -> float:
+def silhouette(df: DataFrame, features: str, label: str, metric: str = "squared_euclidean") -> float:
     """The mean silhouette of one label column with any values."""
-    found = sorted(r[0] for r in df.select(label).distinct().collect())
-    code = F.array_position(F.array(*[F.lit(v) for v in found]), F.col(label)) - 1
-    coded = df.select(F.col(features).cast("array<double>").alias("f"), F.array(code.cast("int")).alias("l"))
+    codes = with_row_index(df.select(F.col(label).alias("value")).distinct(), ["value"], "code")
+    coded = df.join(codes, F.col(label).eqNullSafe(F.col("value"))).select(
+        F.col(features).cast("array<double>").alias("f"), F.array(F.col("code").cast("int")).alias("l"))
     return silhouettes(coded, "f", "l", metric)[0]
 
 

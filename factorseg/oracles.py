@@ -15,7 +15,7 @@ oj AS (
 fo AS (SELECT o_custkey, o_orderkey AS first_orderkey, o_orderpriority AS first_priority,
               o_orderstatus AS first_status FROM oj WHERE rn = 1),
 sku AS (
-  SELECT fo.o_custkey, CONCAT_WS(',', MIN(p_type), CASE WHEN MAX(p_type) <> MIN(p_type) THEN MAX(p_type) END) AS first_sku
+  SELECT fo.o_custkey, STRING_AGG(DISTINCT p_type, ',' ORDER BY p_type) AS first_sku
   FROM fo JOIN lineitem ON l_orderkey = first_orderkey JOIN part ON p_partkey = l_partkey GROUP BY fo.o_custkey),
 ag AS (
   SELECT o_custkey, CAST(COUNT(*) AS DOUBLE) AS order_count, MAX(o_orderdate) AS last_dt,
@@ -26,7 +26,7 @@ cust AS (
   SELECT c_custkey AS customer_id, c_mktsegment AS segment, r_name AS region, first_priority, first_status, first_sku,
          order_count, CAST(DATE_DIFF('day', CAST(last_dt AS DATE), DATE '2001-08-01') AS DOUBLE) AS days_since_last_order,
          c_acctbal AS acctbal, refund_count, net_ltv, avg_order_value, gross_ltv
-  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
   LEFT JOIN ag ON ag.o_custkey = c_custkey LEFT JOIN fo ON fo.o_custkey = c_custkey
   LEFT JOIN sku ON sku.o_custkey = c_custkey)"""
 

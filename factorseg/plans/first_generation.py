@@ -38,7 +38,6 @@ class EncodingSpec:
     encode: tuple = ENCODED
     scale: tuple = SCALED
     coverage: float = 0.80
-    max_columns: int = 2000
 
 
 def prepare_rows(raw: DataFrame, spec: EncodingSpec) -> DataFrame:
@@ -53,7 +52,7 @@ def prepare_rows(raw: DataFrame, spec: EncodingSpec) -> DataFrame:
 
 def encode_rows(rows: DataFrame, spec: EncodingSpec) -> DataFrame:
     """The id and the encoded matrix: one-hot levels, filled flags, z-scored numerics."""
-    df = one_hot_drop_first(rows, present(rows, spec.encode), spec.max_columns)
+    df = one_hot_drop_first(rows, present(rows, spec.encode))
     return zscore(flag_fill(df), present(df, spec.scale))
 
 

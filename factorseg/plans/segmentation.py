@@ -62,7 +62,7 @@ class PassResult:
 
 
 def choose_k(scored: DataFrame, ks: Sequence[int], starts: int, seed: int = 42, features: str = "features",
-             id_col: str = "customer_id", metric: str = "euclidean"):
+             id_col: str = "customer_id", metric: str = "squared_euclidean"):
     """(best k, its silhouette, curve, models); the smallest k wins a tie."""
     models = fit_kmeans(scored, features, ks, starts, seed, id_col)
     ordered = [models[k] for k in sorted(models)]
@@ -96,9 +96,8 @@ def segment_pass(tag: str, base: DataFrame, cats: Sequence[str], nums: Sequence[
     """
     cats, nums = [c for c in cats if c in base.columns], [c for c in nums if c in base.columns]
     if stats is None:
-        _check_metric(base, cfg)
         cats, nums = dominance_filter(base, cats, nums, cfg.dominance)
-        stats = mixed_stats(base, cats, nums, cfg.max_levels)
+        stats = mixed_stats(base, cats, nums)
     else:
         cats, nums = [c for c in cats if c in stats.cats], [c for c in nums if c in stats.nums]
         stats = restrict(stats, cats + nums)
@@ -127,19 +126,11 @@ def segment_pass(tag: str, base: DataFrame, cats: Sequence[str], nums: Sequence[
                       id_col)
 
 
-def _check_metric(base: DataFrame, cfg: SegmentConfig) -> None:
-    """Say early that an all-pairs silhouette would not end, instead of starting it."""
-    limit = cfg.exact_silhouette_limit
-    if cfg.silhouette_metric == "euclidean" and limit is not None and base.limit(limit + 1).count() > limit:
-        raise ValueError(
-            f"more than {limit} rows: the all-pairs silhouette grows with their square. Ask for "
-            "silhouette_metric='squared_euclidean', whose cost is linear, or raise exact_silhouette_limit")
-
-
 def spread_rows(df: DataFrame, id_col: str) -> DataFrame:
-    """Enough partitions for compute-heavy steps; a frame that has them is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, id_col)
+    """The rows dealt out anew for compute-heavy steps, at least one partition a core."""
+    spark = df.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wide, spark.sparkContext.defaultParallelism), id_col)
 
 
 def two_pass(base: DataFrame, cats: Sequence[str], nums: Sequence[str], value: Sequence[str],
@@ -152,9 +143,8 @@ def two_pass(base: DataFrame, cats: Sequence[str], nums: Sequence[str], value: S
     """
     value = [c for c in value if c in base.columns]
     base = base.persist()
-    _check_metric(base, cfg)
     kept_cats, kept_nums = dominance_filter(base, cats, [*nums, *value], cfg.dominance)
-    stats = mixed_stats(base, kept_cats, kept_nums, cfg.max_levels)
+    stats = mixed_stats(base, kept_cats, kept_nums)
     jobs = [(tags[0], [*nums, *value], cfg.force_k_a), (tags[1], list(nums), cfg.force_k_b)]
     run = lambda tag, columns, k: segment_pass(tag, base, cats, columns, cfg, k, stats, id_col)
     with ThreadPoolExecutor(len(jobs)) as pool:

@@ -17,7 +17,7 @@ from factorseg.sources.tables import select_positions
 CATS = ["segment", "region", "first_priority", "first_status", "first_sku"]
 NUMS = ["order_count", "days_since_last_order", "acctbal", "refund_count", "net_ltv", "avg_order_value", "gross_ltv"]
 # Fewer starts than the full search, for queries whose subject is not the number of restarts.
-QUICK = SegmentConfig(search_starts=5, final_starts=10)
+CFG = SegmentConfig()
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,21 +605,22 @@ def _scored(spark, folder):
 @query
 def kmeans_labels(spark, folder):
     scored = _scored(spark, folder)
-    model = kmeans.fit_kmeans(scored, "features", [4], QUICK.final_starts)[4]
+    model = kmeans.fit_kmeans(scored, "features", [4], CFG.final_starts)[4]
     return kmeans.assign_clusters(scored, "features", model)
 
 
 @query
 def choose_k(spark, folder):
     """(k, silhouette): the search curve over k = 2..10."""
-    _, _, curve, _ = segmentation.choose_k(_scored(spark, folder), QUICK.k_range, QUICK.search_starts)
+    _, _, curve, _ = segmentation.choose_k(_scored(spark, folder), CFG.k_range, CFG.search_starts,
+                                            metric="euclidean")
     return spark.createDataFrame(curve, "k int, silhouette double")
 
 
 @query
 def choose_k_squared(spark, folder):
     """The search with the linear-cost silhouette."""
-    _, _, curve, _ = segmentation.choose_k(_scored(spark, folder), QUICK.k_range, QUICK.search_starts,
+    _, _, curve, _ = segmentation.choose_k(_scored(spark, folder), CFG.k_range, CFG.search_starts,
                                            metric="squared_euclidean")
     return spark.createDataFrame(curve, "k int, silhouette double")
 
@@ -627,7 +628,7 @@ def choose_k_squared(spark, folder):
 @query
 def forced_k(spark, folder):
     base = _filled(_customers(spark, folder)).persist()
-    r = segmentation.segment_pass("forced", base, CATS, NUMS, QUICK.with_(
+    r = segmentation.segment_pass("forced", base, CATS, NUMS, CFG.with_(
         profile_categorical=tuple(CATS), profile_numeric=tuple(NUMS), match_col=None, promo_col="first_priority"), force_k=3)
     return r.silhouette_curve().withColumn("final_silhouette", F.lit(r.final_silhouette))
 
@@ -635,7 +636,7 @@ def forced_k(spark, folder):
 @query
 def cluster_scatter(spark, folder):
     scored = _scored(spark, folder)
-    model = kmeans.fit_kmeans(scored, "features", [4], QUICK.search_starts)[4]
+    model = kmeans.fit_kmeans(scored, "features", [4], CFG.search_starts)[4]
     return report.cluster_scatter(scored.withColumn("cluster", kmeans.nearest_center("features", model)))
 
 
@@ -647,7 +648,7 @@ def adjusted_rand(spark, folder):
 @query
 def silhouette_exact(spark, folder):
     e = parquet_tables(spark, folder)("embeddings")
-    s = silhouette.silhouette(e, "embedding", "label")
+    s = silhouette.silhouette(e, "embedding", "label", "euclidean")
     return spark.createDataFrame([(round(s, 6),)], "silhouette double")
 
 
@@ -661,17 +662,17 @@ def silhouette_squared(spark, folder):
 @query
 def seed_stability(spark, folder):
     scored = _scored(spark, folder)
-    model = kmeans.fit_kmeans(scored, "features", [4], QUICK.final_starts)[4]
+    model = kmeans.fit_kmeans(scored, "features", [4], CFG.final_starts)[4]
     return stability.seed_stability("customers", scored, kmeans.assign_clusters(scored, "features", model),
-                                    starts=QUICK.final_starts).summary
+                                    starts=CFG.final_starts).summary
 
 
 @query
 def stability_sizes(spark, folder):
     scored = _scored(spark, folder)
-    model = kmeans.fit_kmeans(scored, "features", [4], QUICK.final_starts)[4]
+    model = kmeans.fit_kmeans(scored, "features", [4], CFG.final_starts)[4]
     return stability.seed_stability("customers", scored, kmeans.assign_clusters(scored, "features", model),
-                                    starts=QUICK.final_starts).sizes
+                                    starts=CFG.final_starts).sizes
 
 
 def _sku_labels(spark, folder) -> DataFrame:
@@ -800,7 +801,7 @@ def segmentation_two_pass(spark, folder):
     """Both passes on the modelling frame; the value columns of every cluster."""
     spec = sample_spec()
     base = cleaning.modeling_frame(_raw(spark, folder, cached=True), spec)
-    results = segmentation.two_pass(base, spec.categorical, spec.numeric, spec.value, QUICK)
+    results = segmentation.two_pass(base, spec.categorical, spec.numeric, spec.value, CFG)
     return report.value_comparison({tag: r.profiles for tag, r in results.items()})
 
 
@@ -808,7 +809,7 @@ def segmentation_two_pass(spark, folder):
 def run_summary(spark, folder):
     """The two-pass run summary, searched with the linear-cost silhouette."""
     spec = sample_spec()
-    cfg = QUICK.with_(silhouette_metric="squared_euclidean")
+    cfg = CFG.with_(silhouette_metric="squared_euclidean")
     base = cleaning.modeling_frame(_raw(spark, folder, cached=True), spec, cfg).persist()
     results = segmentation.two_pass(base, spec.categorical, spec.numeric, spec.value, cfg)
     return report.summary_table(spark, report.run_summary(results, base.count(), len(base.columns) - 1, cfg))

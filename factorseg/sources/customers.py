@@ -15,49 +15,44 @@ def parquet_tables(spark: SparkSession, folder: str) -> Tables:
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def first_orders(t: Tables) -> DataFrame:
-    """Each customer's earliest order, ties by order key."""
-    first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"))
-    return (t("orders").groupBy("o_custkey").agg(first.alias("f"))
-            .select("o_custkey", F.col("f.o_orderkey").alias("first_orderkey"),
-                    F.col("f.o_orderpriority").alias("first_priority"),
-                    F.col("f.o_orderstatus").alias("first_status")))
-
-
 def customer_frame(t: Tables) -> DataFrame:
-    """Behaviour and value of every customer; the analogue of a wide customer export."""
-    item = t("lineitem")
-    per_order = item.groupBy("l_orderkey").agg(
+    """Behaviour and value of every customer; the analogue of a wide customer export.
+
+    The order lines are read and shuffled once: each order's sums and part keys (bounded by the lines of one order) join
+    the orders, and one aggregate per customer takes the totals and the earliest order (ties by order key) with its part
+    keys. Customers without orders, nation or region keep their row. ``first_sku`` lists all product types of the first order.
+    """
+    per_order = t("lineitem").groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross"),
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("refunds"))
+        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("refunds"),
+        F.collect_set("l_partkey").alias("parts"))
+    first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "parts"))
     per_customer = (
         t("orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .withColumn("parts", F.array_sort("parts"))
         .groupBy(F.col("o_custkey").alias("a_custkey")).agg(
             F.count("*").cast("double").alias("order_count"),
             F.max("o_orderdate").alias("last_dt"),
             F.avg("o_totalprice").alias("avg_order_value"),
             F.sum("gross").alias("gross_ltv"),
             F.sum("net").alias("net_ltv"),
-            F.sum("refunds").cast("double").alias("refund_count")))
-    first = first_orders(t)
-    low, high = F.min("p_type"), F.max("p_type")
+            F.sum("refunds").cast("double").alias("refund_count"),
+            first.alias("f")))
     first_sku = (
-        first.join(item, F.col("l_orderkey") == F.col("first_orderkey"))
-        .join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-        .groupBy(F.col("o_custkey").alias("s_custkey"))
-        .agg(F.concat_ws(",", low, F.when(high != low, high)).alias("first_sku")))
+        per_customer.select(F.col("a_custkey").alias("s_custkey"), F.explode("f.parts").alias("partkey"))
+        .join(t("part"), F.col("p_partkey") == F.col("partkey"))
+        .groupBy("s_custkey").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("first_sku")))
     return (
         t("customer")
-        .join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-        .join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+        .join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+        .join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
         .join(per_customer, F.col("a_custkey") == F.col("c_custkey"), "left")
-        .join(first, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(first_sku, F.col("s_custkey") == F.col("c_custkey"), "left")
         .select(
             F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"),
-            F.col("r_name").alias("region"), "first_priority", "first_status", "first_sku",
-            "order_count",
+            F.col("r_name").alias("region"), F.col("f.o_orderpriority").alias("first_priority"),
+            F.col("f.o_orderstatus").alias("first_status"), "first_sku", "order_count",
             F.datediff(F.lit("2001-08-01").cast("date"), F.col("last_dt").cast("date"))
             .cast("double").alias("days_since_last_order"),
             F.col("c_acctbal").alias("acctbal"), "refund_count", "net_ltv", "avg_order_value",

@@ -18,13 +18,23 @@ NULL_TOKENS = (
 
 def read_csv_table(spark: SparkSession, path: str, dtypes: Mapping[str, str] | None = None,
                    schema: T.StructType | None = None, infer: bool = True,
-                   null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """CSV with header. Types come from ``schema``, else ``dtypes``, else from the values.
+                   null_tokens: Sequence[str] = NULL_TOKENS, multiline: bool = True) -> DataFrame:
+    """CSV with header, quoted as in RFC 4180. Types come from ``schema``, else ``dtypes``, else from the values.
 
     Cells are read as text, null tokens become null, and only then are types applied, so a
-    token in a numeric column does not turn the whole column into text.
+    token in a numeric column does not turn the whole column into text. A quoted cell may hold doubled quotes, commas and,
+    with ``multiline``, line breaks; a file is then one task, so pass ``multiline=False`` for large files without such
+    breaks. A row with more cells than the header is an error, a shorter one is filled with nulls.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    reader = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline)
+    names = reader.csv(path).columns
+    # one more column takes what is too much; a row that has it stops the read
+    spare = "_more_cells"
+    wide = T.StructType([T.StructField(c, T.StringType()) for c in [*names, spare]])
+    raw = reader.options(enforceSchema=True).schema(wide).csv(path)
+    fits = F.when(F.col(spare).isNull(), F.col(f"`{names[0]}`")).otherwise(
+        F.raise_error(F.concat(F.lit("a row has more cells than the header: "), F.col(spare))))
+    raw = raw.select(fits.alias(names[0]), *[F.col(f"`{c}`") for c in names[1:]])
     text = raw.select(*[F.when(~F.col(f"`{c}`").isin(*null_tokens), F.col(f"`{c}`")).alias(c)
                         for c in raw.columns])
     if schema is not None:

@@ -121,12 +121,6 @@ def test_first_generation(raw):
     assert first_generation.density_summary_lines(run, spec).count() == means.count() + shares.count()
 
 
-def test_metric_limit(base):
-    spec = sample_spec()
-    with pytest.raises(ValueError, match="squared_euclidean"):
-        segmentation.segment_pass("L", base, spec.categorical, spec.numeric, CFG.with_(exact_silhouette_limit=10))
-
-
 def test_outputs(spark, results, tmp_path):
     names = outputs.write_run({"B_noLTV": results["B_noLTV"]}, str(tmp_path / "out"))
     r = results["B_noLTV"]

@@ -10,7 +10,7 @@ from factorseg.plans.report import persona_lines, value_comparison, value_summar
 def test_medians_of_skewed_groups(spark, monkeypatch):
     # a coarse sketch makes the bracket matter on a small table
     monkeypatch.setattr(medians, "ACCURACY", 50)
-    monkeypatch.setattr(medians, "MARGIN", 4 / 50)
+    monkeypatch.setattr(medians, "RANK_ROWS", 8)
     rng = np.random.default_rng(3)
     rows = [("hot", float(v)) for v in np.round(rng.exponential(10, 4000), 1)]
     rows += [("same", 7.0)] * 900 + [("same", 9.0)] * 100

@@ -13,6 +13,20 @@ def test_csv_types_and_null_tokens(spark, tmp_path):
     assert dict(T.read_csv_table(spark, str(path), dtypes={"id": "string"}).dtypes)["id"] == "string"
 
 
+def test_csv_quoting(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('id,name,v\n1,"say ""hi"", you",2\n2,"line\nbreak",3\n3,"a,b",4\n4,plain\n')
+    rows = T.read_csv_table(spark, str(path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", you', 2.0), (2, "line\nbreak", 3.0), (3, "a,b", 4.0), (4, "plain", None)]
+    one_line = tmp_path / "lines.csv"
+    one_line.write_text('id,name\n1,"x ""y"""\n2,"a,b"\n')
+    assert [r["name"] for r in T.read_csv_table(spark, str(one_line), multiline=False).orderBy("id").collect()] == ['x "y"', "a,b"]
+    long = tmp_path / "long.csv"
+    long.write_text("id,v\n1,2\n2,3,4\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        T.read_csv_table(spark, str(long)).collect()
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, [0.5, 1.5]), (2, [2.0, 3.0])], "customer_id long, features array<double>")
     T.write_table(df, str(tmp_path / "scores"))
