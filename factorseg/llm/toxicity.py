@@ -1,6 +1,6 @@
 """Toxicity by compression distance: windows compress shorter with a dictionary of toxic text than without.
 
-1. From labelled training rows a sample of bounded size (``SAMPLE_ROWS`` a class, ``SAMPLE_BYTES`` of each text) goes to
+1. From labelled training rows a sample of bounded size (``SAMPLE_ROWS`` a class, ``SAMPLE_CHARS`` of each text) goes to
    the driver, half of it for the dictionaries and half for the calibration.
 2. The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic one is trained on what toxic
    texts say and ordinary ones do not: words no ordinary text holds, with at least one distinct word before them for
@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 20_000
+SAMPLE_ROWS = 4000
+SAMPLE_CHARS = 5000
 WINDOW = 48
 RARE = 100
 ORDINARY_SIZE, TOXIC_SIZE = 32768, 64
@@ -64,13 +64,20 @@ class Compressors:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: two dictionary contents, weights of the curve and the toxic share."""
-    texts = docs.select(F.col("doc_id"), F.substring("text", 1, SAMPLE_BYTES).alias("text"), training_part().alias("part"))
-    marked = texts.filter("part <> 2").join(labels.filter("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
+    ids = docs.select("doc_id").distinct()
+    marked = labels.filter("toxic in (0, 1)").select("doc_id", "toxic", training_part().alias("part")).filter("part <> 2").join(ids, "doc_id")
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    sample = {(toxic, fit): [r["text"] for r in marked.filter((F.col("toxic") == toxic) & ((F.col("part") < 3) == F.lit(fit)))
-                             .select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text")
-                             .limit(SAMPLE_ROWS).collect()] for toxic in (0, 1) for fit in (True, False)}
+    order = F.xxhash64("doc_id")
+    groups = [(toxic, fit, marked.filter((F.col("toxic") == toxic) & ((F.col("part") < 3) == F.lit(fit))).orderBy(order, "doc_id")
+               .limit(SAMPLE_ROWS)) for toxic in (0, 1) for fit in (True, False)]
+    chosen = [(r["doc_id"], toxic, fit) for toxic, fit, g in groups for r in g.collect()]
+    sample: dict[tuple, list] = {(toxic, fit): [] for toxic, fit, _ in groups}
+    if chosen:  # at most 4 * SAMPLE_ROWS ids, so their side is small enough to go to every task
+        picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, fit boolean")
+        texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
+        for r in sorted(texts.select("doc_id", "text", "toxic", "fit").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or "")):
+            sample[r["toxic"], r["fit"]].append(r["text"])
     model = {"ordinary": b"", "toxic": b"", "weights": None, "share": share}
     if not all(sample.values()):
         return model
@@ -95,14 +102,13 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 def _dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
     split = lambda text: (text or "").encode().lower().split()
     usual = {w for text in ordinary for w in split(text)}
-    pairs = {(before, w) for text in toxic for before, w in zip([b"", *split(text)], split(text))}
-    seen = Counter(w for _, w in pairs)
-    rare = {w: c for w, c in seen.items() if c >= max(2, len(toxic) / RARE) and w not in usual}
+    pairs = {(before, w) for text in toxic for before, w in zip([b"", *split(text)], split(text)) if w not in usual}
+    rare = {w: c for w, c in Counter(w for _, w in pairs).items() if c >= max(2, len(toxic) / RARE)}
     rest = [b" " + b" ".join(w for w in split(text) if w in rare) + b" " for text in toxic]
     pieces = [r[i:i + 64] for r in rest if len(r) > 2 for i in range(0, len(r), 64)]
     frequent = b" ".join(sorted(rare, key=lambda w: (rare[w], w)))[-4096:]
     trained = _trained(pieces, TOXIC_SIZE) if pieces else b""
-    return _trained([w for text in ordinary for w in _windows(text[:8000])], ORDINARY_SIZE), trained + b" " + frequent + b" "
+    return _trained([w for text in ordinary for w in _windows(text)], ORDINARY_SIZE), trained + b" " + frequent + b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
