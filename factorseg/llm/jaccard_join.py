@@ -28,8 +28,6 @@ from factorseg.llm import words
 from factorseg.llm.linking import linked
 from factorseg.operators.lineage import cut_lineage
 
-SKETCH_BITS = 21
-
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
@@ -84,16 +82,16 @@ def _prefixes(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame
     num, den = similarity
 
     def count(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+        cells = np.zeros(1 << words.SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in words.pieces(batch, "text"):
                 values, _ = words.shingles(part.column("text"), k)
-                cells += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=1 << SKETCH_BITS).astype(np.uint32)
+                cells += np.bincount((values >> np.uint64(64 - words.SKETCH_BITS)).astype(np.int64),
+                                     minlength=1 << words.SKETCH_BITS).astype(np.uint32)
         yield from words.cell_rows(cells)
 
     sketch = spark.sparkContext.broadcast(words.merged_cells(
-        rows.select("text").mapInArrow(count, "chunk int, cells binary"), SKETCH_BITS))
+        rows.select("text").mapInArrow(count, "chunk int, cells binary"), words.SKETCH_BITS))
 
     def prefix(batches):
         counts = np.frombuffer(sketch.value, np.uint32)
@@ -107,8 +105,7 @@ def _prefixes(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame
                     size.append(n)
                     low.append(words.mixed(own).sum(dtype=np.uint64))
                     high.append(words.mixed(own + words.BASE).sum(dtype=np.uint64))
-                    rarest = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                    chosen.append(own[rarest[:n + (-num * n // den) + 1]] if n else own)
+                    chosen.append(words.rarest(own, counts, words.SKETCH_BITS, num, den))
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
                 flat = np.concatenate(chosen).view(np.int64) if chosen else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factorseg.llm import words
@@ -23,7 +25,7 @@ def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarit
 
     ``groups`` (leader, n, copies, tokens): the lists each group is in, in the order common to all groups; sets that link
     share a token. If ``sized``, n is the exact set size and ``tokens`` the start of the set in that order, so sizes and
-    positions bound the similarity. ``members`` (rep, leader): the sets of each group. ``full_sets(bitmap)`` gives
+    positions bound the similarity; else the pairs left for the second step are bounded by such tokens. ``members`` (rep, leader): the sets of each group. ``full_sets(bitmap)`` gives
     (id, items) for at least the ids in a broadcast bitmap.
     """
     postings = groups.select("leader", "n", "copies", F.posexplode("tokens").alias("pos", "token"))
@@ -44,12 +46,63 @@ def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarit
     settled = components(links)
     labelled = cut_lineage(members.join(settled, members.rep == settled.node, "left").select(
         "rep", "leader", F.coalesce("component", "rep").alias("comp")))
-    second = cut_lineage(open_pairs(postings.select("token", "leader", "n", "pos"), groups, labelled, similarity, sized))
+    postings = postings.select("token", "leader", "n", "pos")
+    if not sized:
+        postings, full_sets = _prefixed(postings, labelled, full_sets, similarity)
+    second = cut_lineage(open_pairs(postings, labelled, similarity))
     if second.take(1):
         settled = components(links.unionAll(verified(second, full_sets, similarity)))
     return settled
 
 
+def _open_lists(postings: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Rows of the lists that hold groups of different components, with each group's and the most frequent component."""
+    # a group counts as one component only if all its members are in it
+    whole = labelled.groupBy("leader").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")).select(
+        "leader", F.when(F.col("comp") == F.col("most"), F.col("comp")).otherwise(F.xxhash64("leader", "most")).alias("comp"))
+    outside, usual = apart(postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp"), "token", "comp")
+    return outside.unionAll(usual)
+
+
+def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
+              similarity: tuple[int, int]) -> tuple[DataFrame, Callable]:
+    """Sized postings of the sets in open lists, over the start of each set from rare to frequent, and those sets.
+
+    Lists found by sketches say little about similarity; sets that reach it share one of these tokens, at bounded places.
+    """
+    num, den = similarity
+    spark = postings.sparkSession
+    ids = _open_lists(postings, labelled).select(F.col("leader").alias("id")).distinct()
+    sets = full_sets(spark.sparkContext.broadcast(words.id_bitmap(ids, "id"))).join(ids, "id", "left_semi")
+    sets = cut_lineage(sets.dropDuplicates(["id", "items"]))
+    bits = words.SKETCH_BITS
+
+    def count(batches):
+        cells = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            values = batch.column("items").flatten().to_numpy().view(np.uint64)
+            cells += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+        yield from words.cell_rows(cells)
+
+    sketch = spark.sparkContext.broadcast(words.merged_cells(
+        sets.select("items").mapInArrow(count, "chunk int, cells binary"), bits))
+
+    def start(batches):
+        counts = np.frombuffer(sketch.value, np.uint32)
+        for batch in batches:
+            own = [items.values.to_numpy().view(np.uint64) for items in batch.column("items")]
+            chosen = [words.rarest(o, counts, bits, num, den) for o in own]
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
+            flat = np.concatenate(chosen) if chosen else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(o) for o in own], pa.int64()), pa.ListArray.from_arrays(ends, flat.view(np.int64))],
+                ["leader", "n", "tokens"])
+
+    tokens = sets.mapInArrow(start, "leader long, n long, tokens array<long>").select("leader", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
+    return tokens.join(shared, "token").select("token", "leader", "n", "pos"), lambda bitmap: sets
+
+
 def _possible(similarity: tuple[int, int]) -> Column:
     """Whether sizes n and n_b and the positions of the first shared token leave room for the similarity.
 
@@ -83,28 +136,16 @@ def apart(side: DataFrame, key: str, comp: str) -> tuple[DataFrame, DataFrame]:
     return mixed.filter(F.col(comp) != F.col("usual")), mixed.filter(F.col(comp) == F.col("usual"))
 
 
-def open_pairs(postings: DataFrame, groups: DataFrame, labelled: DataFrame, similarity: tuple[int, int],
-               sized: bool) -> DataFrame:
+def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of sets, of groups that share a token or of one group, that lie in different components.
 
-    Sized groups that meet must have room for the similarity after the token where they do; others meet only in the
-    list of their first shared token.
+    Groups that meet must have room for the similarity after the token where they do.
     """
-    # a group counts as one component only if all its members are in it
-    whole = labelled.groupBy("leader").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")).select(
-        "leader", F.when(F.col("comp") == F.col("most"), F.col("comp")).otherwise(F.xxhash64("leader", "most")).alias("comp"))
-    lists = postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp")
-    outside, usual = apart(lists, "token", "comp")
-    lists = outside.unionAll(usual)
-    bound = _possible(similarity)
-    if not sized:
-        lists = lists.join(groups.select("leader", "tokens"), "leader").withColumn("before", F.expr("slice(tokens, 1, pos)")).drop("tokens")
-        bound = ~F.arrays_overlap("before", "before_b")
-    lists = cut_lineage(lists)
+    lists = cut_lineage(_open_lists(postings, labelled))
     outside = lists.filter("comp <> usual")
     right = lists.select("token", *[F.col(c).alias(f"{c}_b") for c in lists.columns if c != "token"])
     apart_ = F.expr("comp <> comp_b and leader <> leader_b and (comp_b = usual_b or leader < leader_b)")
-    met = outside.join(right, (outside.token == right.token) & apart_ & bound)
+    met = outside.join(right, (outside.token == right.token) & apart_ & _possible(similarity))
     pairs = met.select(F.least("leader", "leader_b").alias("g"), F.greatest("leader", "leader_b").alias("h")).distinct()
     a = labelled.select(F.col("leader").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     b = labelled.select(F.col("leader").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))

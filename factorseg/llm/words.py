@@ -134,6 +134,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
 
 
 CHUNKS = 32
+SKETCH_BITS = 21  # of sketches that only order shingles from rare to frequent
+
+
+def rarest(own: np.ndarray, counts: np.ndarray, bits: int, num: int, den: int) -> np.ndarray:
+    """The start of a set in the order (count in the sketch, hash): sets of similarity num/den share one of these."""
+    own = np.sort(own)
+    n = len(own)
+    if not n:
+        return own
+    order = np.argsort(counts[(own >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+    return own[order[:n + (-num * n // den) + 1]]
 
 
 def merged_cells(parts: DataFrame, bits: int, either: bool = False) -> bytes:
