@@ -31,6 +31,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+class Scratch:
+    """Written tables of one computation, dropped together once its result has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        table, path = written(df)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        drop_written(self.spark, *self.paths)
+        self.paths = []
+
+
 def drop_written(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more, on whatever file system they lie."""
     for path in paths:
