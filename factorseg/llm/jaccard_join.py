@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factorseg.llm import words
 from factorseg.llm.linking import linked
-from factorseg.operators.lineage import cut_lineage
+from factorseg.operators.lineage import Scratch, cut_lineage
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id",
@@ -42,7 +42,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
             .select(F.col("first.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "copies", F.col("first.prefix").alias("tokens"),
                     F.xxhash64("first.prefix", "n_shingles").alias("same")))
     leaders = sets.groupBy("same").agg(F.min("rep").alias("leader"))
-    reps = cut_lineage(sets.join(leaders, "same").select("rep", "leader", "n", "copies", "tokens"))
+    scratch = Scratch(docs.sparkSession)
+    reps = scratch.cut(sets.join(leaders, "same").select("rep", "leader", "n", "copies", "tokens"))
     groups = reps.filter("rep = leader").select("leader", "n", "copies", "tokens")
 
     def full_sets(bitmap):
@@ -55,6 +56,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
         return rows.mapInArrow(sets_of, "id long, items array<long>")
 
     settled = linked(groups, reps.select("rep", "leader"), full_sets, similarity)
+    scratch.drop()
 
     # equal sets follow their smallest id; pooled ids follow their least component
     copies = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factorseg.llm import words
 from factorseg.llm.graph import components
-from factorseg.operators.lineage import cut_lineage
+from factorseg.operators.lineage import Scratch
 
 
 def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarity: tuple[int, int],
@@ -28,12 +28,13 @@ def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarit
     positions bound the similarity; else the pairs left for the second step are bounded by such tokens. ``members`` (rep, leader): the sets of each group. ``full_sets(bitmap)`` gives
     (id, items) for at least the ids in a broadcast bitmap.
     """
+    scratch = Scratch(groups.sparkSession)
     postings = groups.select("leader", "n", "copies", F.posexplode("tokens").alias("pos", "token"))
     # a list is led by the group with the fewest tokens before this one: near copies of a text differ by rare tokens,
     # so that is the text itself or the copy nearest to it
     lead = F.struct("pos", (-F.col("copies")).alias("c"), "leader", "n")
     shared = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(lead).alias("lead")).filter("size > 1")
-    postings = cut_lineage(postings.join(shared, "token").select(
+    postings = scratch.cut(postings.join(shared, "token").select(
         "token", "leader", "n", "pos", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("leader", "n", "pos")]))
     near = postings.filter("leader <> leader_b")
     if sized:
@@ -42,16 +43,17 @@ def linked(groups: DataFrame, members: DataFrame, full_sets: Callable, similarit
                .groupBy("leader").agg(F.max(F.struct("shared", "leader_b")).alias("best"))
                .select(F.col("leader").alias("a"), F.col("best.leader_b").alias("b")))
     first = nearest.unionAll(members.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    links = cut_lineage(verified(cut_lineage(first), full_sets, similarity))
+    links = scratch.cut(verified(scratch.cut(first), full_sets, similarity))
     settled = components(links)
-    labelled = cut_lineage(members.join(settled, members.rep == settled.node, "left").select(
+    labelled = scratch.cut(members.join(settled, members.rep == settled.node, "left").select(
         "rep", "leader", F.coalesce("component", "rep").alias("comp")))
     postings = postings.select("token", "leader", "n", "pos")
     if not sized:
-        postings, full_sets = _prefixed(postings, labelled, full_sets, similarity)
-    second = cut_lineage(open_pairs(postings, labelled, similarity))
+        postings, full_sets = _prefixed(postings, labelled, full_sets, similarity, scratch)
+    second = scratch.cut(open_pairs(postings, labelled, similarity, scratch))
     if second.take(1):
         settled = components(links.unionAll(verified(second, full_sets, similarity)))
+    scratch.drop()
     return settled
 
 
@@ -65,7 +67,7 @@ def _open_lists(postings: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
-              similarity: tuple[int, int]) -> tuple[DataFrame, Callable]:
+              similarity: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, Callable]:
     """Sized postings of the sets in open lists, over the start of each set from rare to frequent, and those sets.
 
     Lists found by sketches say little about similarity; sets that reach it share one of these tokens, at bounded places.
@@ -74,7 +76,7 @@ def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
     spark = postings.sparkSession
     ids = _open_lists(postings, labelled).select(F.col("leader").alias("id")).distinct()
     sets = full_sets(spark.sparkContext.broadcast(words.id_bitmap(ids, "id"))).join(ids, "id", "left_semi")
-    sets = cut_lineage(sets.dropDuplicates(["id", "items"]))
+    sets = scratch.cut(sets.dropDuplicates(["id", "items"]))
     bits = words.SKETCH_BITS
 
     def count(batches):
@@ -136,12 +138,12 @@ def apart(side: DataFrame, key: str, comp: str) -> tuple[DataFrame, DataFrame]:
     return mixed.filter(F.col(comp) != F.col("usual")), mixed.filter(F.col(comp) == F.col("usual"))
 
 
-def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Pairs of sets, of groups that share a token or of one group, that lie in different components.
 
     Groups that meet must have room for the similarity after the token where they do.
     """
-    lists = cut_lineage(_open_lists(postings, labelled))
+    lists = scratch.cut(_open_lists(postings, labelled))
     outside = lists.filter("comp <> usual")
     right = lists.select("token", *[F.col(c).alias(f"{c}_b") for c in lists.columns if c != "token"])
     apart_ = F.expr("comp <> comp_b and leader <> leader_b and (comp_b = usual_b or leader < leader_b)")

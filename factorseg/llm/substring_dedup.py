@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factorseg.llm import words
 from factorseg.llm.linking import linked
-from factorseg.operators.lineage import cut_lineage
+from factorseg.operators.lineage import Scratch, cut_lineage
 
 BANDS, ROWS = 12, 3
 NEWLINE = 10
@@ -93,7 +93,8 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     texts = (found.groupBy("hash_a", "hash_b", "n_words")
              .agg(F.min(F.struct("doc_id", "line", "place", "bands")).alias("first"), F.count("*").alias("copies"))
              .select("hash_a", "hash_b", "n_words", "copies", "first.*"))
-    texts = cut_lineage(texts)
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.cut(texts)
     size = F.greatest(F.col("n_words") - (k - 1), F.lit(1))
     groups = texts.select(F.col("place").alias("leader"), size.alias("n"), "copies", F.col("bands").alias("tokens"))
     members = texts.select(F.col("place").alias("rep"), F.col("place").alias("leader"))
@@ -116,9 +117,10 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     settled = linked(groups, members, full_sets, similarity, sized=False)
     named = texts.join(settled, texts.place == settled.node, "left").select(
         "hash_a", "hash_b", "n_words", "copies", "doc_id", "line", F.coalesce("component", "place").alias("component"))
-    named = cut_lineage(named)
+    named = scratch.cut(named)
     heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("head"), F.sum("copies").alias("size")).filter("size > 1")
     repeated = cut_lineage(named.join(heads, "component").select("hash_a", "hash_b", "n_words", "component", "head"))
+    scratch.drop()
     out = found.select("doc_id", "line", "n_words", "hash_a", "hash_b").join(repeated, ["hash_a", "hash_b", "n_words"])
     return out.select("doc_id", "line", "n_words", "component", F.col("head.doc_id").alias("first_doc_id"),
                       F.col("head.line").alias("first_line"),
