@@ -434,3 +434,97 @@ ORACLES["famd_first_loadings"] = f"{FAMD} " + " UNION ALL ".join(
 ORACLES["famd_first_centroids"] = f"{FAMD} " + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, {c} AS level, ROUND(AVG(f), 5) AS centroid, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 5) AS share "
     f"FROM filled JOIN score USING (customer_id) GROUP BY {c}" for c in CATS)
+
+# All learned factors: the leading axis by repeated squaring of the matrix, then the same on what is left of it.
+SQUARINGS = 13
+
+
+def axes_sql(tag: str, matrix: str, count: int, learned: str | None = None) -> str:
+    """CTEs ``{tag}fac`` (f, i, x), ``{tag}eig`` (f, e) and ``{tag}keep`` (explained shares) of a matrix table (i, j, v)."""
+    out = [f"{tag}d0 AS MATERIALIZED (SELECT i, j, v FROM {matrix})"]
+    for f in range(1, count + 1):
+        d, s, a = f"{tag}d{f - 1}", f"{tag}s{f}", f"{tag}a{f}"
+        out.append(f"""{s} AS (
+  SELECT 0 AS k, i, j, v / SUM(CASE WHEN i = j THEN v END) OVER () AS v FROM {d}
+  UNION ALL
+  SELECT k + 1, i, j, v / SUM(CASE WHEN i = j THEN v END) OVER () FROM (
+    SELECT a.k, a.i, b.j, SUM(a.v * b.v) AS v FROM {s} a JOIN {s} b ON a.j = b.i WHERE a.k < {SQUARINGS} GROUP BY 1, 2, 3)),
+{a} AS MATERIALIZED (
+  SELECT i, x * SIGN(ARG_MAX(x, ABS(x)) OVER ()) AS x FROM (
+    SELECT i, v / SQRT(SUM(v * v) OVER ()) AS x FROM {s} WHERE k = {SQUARINGS} AND j = (
+      SELECT ARG_MAX(i, v) FROM {s} WHERE k = {SQUARINGS} AND i = j))),
+{tag}e{f} AS MATERIALIZED (SELECT SUM(p.x * v * q.x) AS e FROM {d} JOIN {a} p USING (i) JOIN {a} q ON q.i = {d}.j),
+{tag}d{f} AS MATERIALIZED (SELECT {d}.i, {d}.j, v - e * p.x * q.x AS v FROM {d} JOIN {a} p USING (i) JOIN {a} q ON q.i = {d}.j, {tag}e{f})""")
+    out.append(f"{tag}fac AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {f} AS f, i, x FROM {tag}a{f}" for f in range(1, count + 1)) + ")")
+    out.append(f"{tag}eig AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {f} AS f, e FROM {tag}e{f}" for f in range(1, count + 1)) + ")")
+    out.append(kept_sql(tag, learned or count))
+    return ",\n".join(out)
+
+
+def kept_sql(tag: str, count: int | str, name: str = "keep") -> str:
+    return f"""{tag}{name} AS MATERIALIZED (
+  SELECT *, f <= GREATEST(2, MIN(CASE WHEN cum >= 0.85 THEN f END) OVER ()) AS retained FROM (
+    SELECT f, e, e / SUM(e) OVER () AS share, SUM(e) OVER (ORDER BY f) / SUM(e) OVER () AS cum FROM {tag}eig WHERE f <= {count}))"""
+
+
+LEARNED = len(CATS) + len(NUMS) - 1  # one less than there are variables, at most 20
+ALL_AXES = f"""{FAMD[:FAMD.index('pw AS (')]}
+ix AS MATERIALIZED (SELECT va AS var, la AS level, ROW_NUMBER() OVER (ORDER BY va, la) AS i FROM (SELECT DISTINCT va, la FROM m)),
+mi AS MATERIALIZED (SELECT a.i, b.i AS j, m.v FROM m JOIN ix a ON a.var = va AND a.level = la JOIN ix b ON b.var = vb AND b.level = lb),
+{axes_sql('', 'mi', LEARNED)},
+nk AS (SELECT COUNT(*) AS n FROM keep WHERE retained),
+inertia AS (SELECT SUM(v) AS total FROM mi WHERE i = j),
+part AS MATERIALIZED (SELECT var AS variable, f AS component, SUM(x * x) AS c FROM fac JOIN ix USING (i), nk WHERE f <= n GROUP BY 1, 2),
+whole AS (SELECT variable, 100 * SUM(c) / SUM(SUM(c)) OVER () AS pct FROM part GROUP BY 1),
+coord AS (SELECT variable, CASE WHEN variable IN ({', '.join(f"'{c}'" for c in NUMS)}) THEN 'numeric' ELSE 'categorical' END AS kind,
+  component, e * c AS squared, SQRT(e) * x AS signed FROM part JOIN eig ON f = component
+  LEFT JOIN (SELECT var, f AS g, x FROM fac JOIN ix USING (i) WHERE level = '' AND var IN ({', '.join(f"'{c}'" for c in NUMS)})) ON var = variable AND g = component),
+cent AS (SELECT lev.var AS variable, lev.level, code, f AS component, e * x / SQRT(p) AS centroid, p AS share
+  FROM fac JOIN ix USING (i) JOIN lev ON lev.var = ix.var AND lev.level = ix.level JOIN eig USING (f), nk WHERE f <= n),
+load AS (
+  SELECT variable, component, signed AS loading FROM coord WHERE kind = 'numeric' UNION ALL
+  SELECT variable, component, SUM(share * (code - mean) * centroid) / SQRT(SUM(share * (code - mean) * (code - mean)) * MAX(e))
+  FROM (SELECT *, SUM(share * code) OVER (PARTITION BY variable, component) AS mean FROM cent) JOIN eig ON f = component GROUP BY 1, 2),
+points AS (SELECT customer_id, f AS component, SUM(z.v * x) AS score FROM z JOIN ix USING (var, level) JOIN fac USING (i), nk WHERE f <= n GROUP BY 1, 2)"""
+
+
+def explained_sql(keep: str, total: str) -> str:
+    return f"""SELECT CAST(f AS INT) AS component, ROUND(e, 5) AS eigenvalue, ROUND(share, 5) AS explained_variance,
+      ROUND(cum, 5) AS cumulative_variance, ROUND(100 * e / ({total}), 5) AS inertia_pct, retained FROM {keep}"""
+
+
+def leading_sql(i: int) -> str:
+    return (f"MAX(CASE WHEN r = {i} THEN variable END) AS top_variable_{i}, ROUND(MAX(CASE WHEN r = {i} THEN c END), 2) AS top_contrib_{i}")
+
+
+DIMS = lambda v: ", ".join(f"ROUND(MAX(CASE WHEN component = {j} THEN {v} END), 5) AS dim{j}" for j in (1, 2))
+RANKED = f"""ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY pct DESC, variable) AS rank, COUNT(*) OVER () AS n_all FROM whole),
+pruned AS (SELECT *, rank > n_all - FLOOR(0.15 * n_all) OR pct < 0.40 AS dropped FROM ranked)"""
+ORACLES |= {
+    "famd_explained": f"{ALL_AXES} {explained_sql('keep', 'SELECT total FROM inertia')}",
+    "scree_table": f"{ALL_AXES} SELECT component, eigenvalue, explained_variance, inertia_pct FROM ({explained_sql('keep', 'SELECT total FROM inertia')})",
+    "famd_component_counts": f"{ALL_AXES}, " + ", ".join(kept_sql("", n, f"keep{n}") for n in (2, 5, 6, 8)) + " " + " UNION ALL ".join(
+        f"SELECT *, {n} AS n_components FROM ({explained_sql(f'keep{n}', 'SELECT total FROM inertia')})" for n in (2, 5, 6, 8)),
+    "famd_contributions": f"""{ALL_AXES} SELECT variable, CAST(component AS INT) AS component, ROUND(c, 5) AS contribution,
+      ROUND(pct, 5) AS total_contribution_pct FROM part JOIN whole USING (variable)""",
+    "famd_variable_coordinates": f"""{ALL_AXES} SELECT variable, kind, CAST(component AS INT) AS component, ROUND(squared, 5) AS squared,
+      ROUND(signed, 5) + 0.0 AS signed FROM coord""",
+    "famd_loadings": f"{ALL_AXES} SELECT variable, CAST(component AS INT) AS component, ROUND(loading, 5) + 0.0 AS loading FROM load",
+    "loading_summary": f"""{ALL_AXES} SELECT COUNT(*) FILTER (WHERE loading > 0) AS n_positive, COUNT(*) FILTER (WHERE loading < 0) AS n_negative,
+      ROUND(MIN(loading), 5) AS min_loading, ROUND(MAX(loading), 5) AS max_loading FROM load""",
+    "famd_scores": f"{ALL_AXES} SELECT customer_id, CAST(component AS INT) AS component, ROUND(score, 5) + 0.0 AS score FROM points",
+    "individuals_map": f"{ALL_AXES} SELECT customer_id, {DIMS('score')} FROM points GROUP BY customer_id",
+    "category_centroids": f"""{ALL_AXES} SELECT variable, level, CAST(component AS INT) AS component, ROUND(centroid, 5) + 0.0 AS centroid,
+      ROUND(share, 5) AS share FROM cent""",
+    "category_map": f"{ALL_AXES} SELECT variable, level, {DIMS('centroid')} FROM cent GROUP BY 1, 2",
+    "correlation_circle": f"{ALL_AXES} SELECT variable, kind, {DIMS('COALESCE(signed, squared)')} FROM coord GROUP BY 1, 2",
+    "variable_quality": f"""{ALL_AXES} SELECT variable, {DIMS('squared')}, ROUND(SUM(c) FILTER (WHERE component <= 2), 5) AS contribution
+      FROM coord JOIN part USING (variable, component) GROUP BY variable""",
+    "famd_interpretation": f"""{ALL_AXES}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY component ORDER BY c DESC, variable) AS r FROM part)
+      SELECT 'Factor_' || component AS component, ROUND(100 * MAX(share), 2) AS explained_variance_pct, ROUND(100 * MAX(cum), 2) AS cumulative_variance_pct,
+      {', '.join(leading_sql(i) for i in (1, 2, 3))} FROM o JOIN keep ON f = component GROUP BY o.component""",
+    "feature_ranking": f"""{ALL_AXES}, {RANKED} SELECT variable, ROUND(pct, 5) AS total_contrib_pct, CAST(rank AS INT) AS rank, dropped FROM pruned""",
+    "famd_refit": f"""{ALL_AXES}, {RANKED}, stay AS (SELECT i FROM ix JOIN pruned ON variable = var WHERE NOT dropped),
+      mr AS MATERIALIZED (SELECT i, j, v FROM mi WHERE i IN (SELECT i FROM stay) AND j IN (SELECT i FROM stay)), {axes_sql('r', 'mr', LEARNED - 1, '(SELECT COUNT(*) - 1 FROM pruned WHERE NOT dropped)')}
+      {explained_sql('rkeep', 'SELECT SUM(v) FROM mr WHERE i = j')}""",
+}

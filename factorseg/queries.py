@@ -467,33 +467,35 @@ def famd_first_centroids(spark, folder):
 
 @query
 def famd_explained(spark, folder):
-    return _fit(spark, folder)[1].explained_table(spark)
+    return _rounded(_fit(spark, folder)[1].explained_table(spark), 5, "eigenvalue", "explained_variance", "cumulative_variance", "inertia_pct")
 
 
 @query
 def famd_contributions(spark, folder):
-    return _fit(spark, folder)[1].contributions_table(spark)
+    return _rounded(_fit(spark, folder)[1].contributions_table(spark), 5, "contribution", "total_contribution_pct")
 
 
 @query
 def famd_variable_coordinates(spark, folder):
-    return _fit(spark, folder)[1].coordinates_table(spark)
+    return _rounded(_fit(spark, folder)[1].coordinates_table(spark), 5, "squared", "signed")
 
 
 @query
 def famd_scores(spark, folder):
+    """Every score as (customer_id, component, score)."""
     df, m = _fit(spark, folder)
-    return m.transform(df)
+    scores = m.transform(df, as_array="scores").select("customer_id", F.posexplode("scores").alias("component", "score"))
+    return _rounded(scores.withColumn("component", F.col("component") + 1), 5, "score")
 
 
 @query
 def famd_loadings(spark, folder):
-    return _fit(spark, folder)[1].loadings_table(spark)
+    return _rounded(_fit(spark, folder)[1].loadings_table(spark), 5, "loading")
 
 
 @query
 def loading_summary(spark, folder):
-    return assoc.loading_summary(_fit(spark, folder)[1].loadings_table(spark))
+    return _rounded(assoc.loading_summary(_fit(spark, folder)[1].loadings_table(spark)), 5, "min_loading", "max_loading")
 
 
 @query
@@ -505,7 +507,8 @@ def famd_interpretation(spark, folder):
 def feature_ranking(spark, folder):
     """Contribution ranking with the pruning decision."""
     _, m = _fit(spark, folder)
-    return famd.prune_list(famd.ranked_contributions(m, spark).select("variable", "total_contrib_pct"))
+    ranking = famd.prune_list(famd.ranked_contributions(m, spark).select("variable", "total_contrib_pct"))
+    return _rounded(ranking, 5, "total_contrib_pct")
 
 
 @query
@@ -513,7 +516,7 @@ def famd_refit(spark, folder):
     """Explained variance of the second fit, on the variables that survive pruning."""
     _, m = _fit(spark, folder)
     keep = famd.prune_variables(m)
-    return famd.decompose(famd.restrict(m.stats, keep), keep).explained_table(spark)
+    return _rounded(famd.decompose(famd.restrict(m.stats, keep), keep).explained_table(spark), 5, "eigenvalue", "explained_variance", "cumulative_variance", "inertia_pct")
 
 
 @query
@@ -525,7 +528,7 @@ def famd_component_counts(spark, folder):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return _rounded(out, 5, "eigenvalue", "explained_variance", "cumulative_variance", "inertia_pct")
 
 
 @query
@@ -560,33 +563,33 @@ def famd_scaling_invariance(spark, folder):
 
 @query
 def category_centroids(spark, folder):
-    return _fit(spark, folder)[1].centroids_table(spark)
+    return _rounded(_fit(spark, folder)[1].centroids_table(spark), 5, "centroid", "share")
 
 
 @query
 def correlation_circle(spark, folder):
-    return report.correlation_circle(_fit(spark, folder)[1], spark)
+    return _rounded(report.correlation_circle(_fit(spark, folder)[1], spark), 5, "dim1", "dim2")
 
 
 @query
 def variable_quality(spark, folder):
-    return report.variable_quality(_fit(spark, folder)[1], spark)
+    return _rounded(report.variable_quality(_fit(spark, folder)[1], spark), 5, "dim1", "dim2", "contribution")
 
 
 @query
 def category_map(spark, folder):
-    return report.category_map(_fit(spark, folder)[1], spark)
+    return _rounded(report.category_map(_fit(spark, folder)[1], spark), 5, "dim1", "dim2")
 
 
 @query
 def scree_table(spark, folder):
-    return report.scree_table(_fit(spark, folder)[1], spark)
+    return _rounded(report.scree_table(_fit(spark, folder)[1], spark), 5, "eigenvalue", "explained_variance", "inertia_pct")
 
 
 @query
 def individuals_map(spark, folder):
     df, m = _fit(spark, folder)
-    return report.individuals_map(m.transform(df))
+    return _rounded(report.individuals_map(m.transform(df)), 5, "dim1", "dim2")
 
 
 @query
