@@ -9,12 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factorseg.functions.columns import category_filled
 
 
-def long_rows(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
-    """Turn each row of ``df`` into the given rows (one struct per row, exploded in place)."""
-    structs = [F.struct(*[c.alias(n) for c, n in zip(row, names)]) for row in rows]
-    return df.select(F.inline(F.array(*structs)))
-
-
 def level_rows(df: DataFrame, keys: Sequence[str], cats: Sequence[str], fill: bool = True) -> DataFrame:
     """(keys.., variable, level) for every categorical column."""
     level = category_filled if fill else (lambda c: F.col(c).cast("string"))

@@ -92,10 +92,6 @@ def table_shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
-
-
 def column_profile(df: DataFrame, top: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, data_type, rank, value, n): the most frequent values, null included.
 

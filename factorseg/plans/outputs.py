@@ -7,11 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factorseg.config import CleaningSpec, SegmentConfig
 from factorseg.operators.assoc import matrix_wide
 from factorseg.operators.famd import FamdModel, fit_famd, prune_list, ranked_contributions
-from factorseg.plans.report import factor_correlation_report, persona_lines, value_comparison, value_summary
-from factorseg.plans.segmentation import PassResult
-from factorseg.sources.tables import write_report, write_table
+from factorseg.operators.quality import column_profile
+from factorseg.plans.cleaning import prepare_types_keep_nulls, prepared_rows
+from factorseg.plans.report import (factor_correlation_report, persona_lines, run_summary, summary_lines, value_comparison,
+                                    value_summary)
+from factorseg.plans.segmentation import PassResult, spread_rows
+from factorseg.plans.stability import clean_small_clusters, seed_stability, stability_table
+from factorseg.sources.tables import read_labels, require_columns, select_prefix, write_report, write_table
 
 
 def wide_components(long: DataFrame, key: str, value: str, n: int, prefix: str = "Factor_") -> DataFrame:
@@ -47,7 +52,7 @@ def pass_tables(r: PassResult) -> dict[str, DataFrame]:
             F.desc("total_contrib_pct"), "variable"),
         f"{r.tag}_pruned_features": spark.createDataFrame([(v,) for v in sorted(dropped)], "dropped_feature string"),
         f"{r.tag}_final_factor_scores": r.scores,
-        f"{r.tag}_factor_correlation_matrix": factor_correlation_report(r.scores, r.tag)[0],
+        f"{r.tag}_factor_correlation_matrix": matrix_wide(factor_correlation_report(r.scores, r.tag)[0], r.famd.factor_names, "r"),
         f"{r.tag}_silhouette": r.silhouette_curve(),
         f"{r.tag}_labels": r.labels,
         f"{r.tag}_cluster_profiles": r.profiles,
@@ -55,15 +60,76 @@ def pass_tables(r: PassResult) -> dict[str, DataFrame]:
     }
 
 
-def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> list[str]:
-    """All tables of all passes, the comparison, and the persona texts. Returns the names written."""
+def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet", mode: str = "errorifexists",
+              base: DataFrame | None = None, cfg: SegmentConfig = SegmentConfig()) -> list[str]:
+    """All tables of all passes, the comparison, persona and factor-correlation texts, and with ``base`` the run summary.
+
+    Returns the names written.
+    """
     tables = {name: df for r in results.values() for name, df in pass_tables(r).items()}
     tables["clustering_value_comparison"] = value_comparison({t: r.profiles for t, r in results.items()})
+    texts = {f"{t}_personas": persona_lines(r.profiles, t) for t, r in results.items()}
+    texts |= {f"{t}_factor_correlations": correlation_lines(r.scores, t) for t, r in results.items()}
+    if base is not None:
+        spark = base.sparkSession
+        texts["run_summary"] = summary_lines(spark, run_summary(results, base.count(), len(base.columns) - 1, cfg))
+    for name, df in tables.items():
+        write_table(df, f"{folder}/{name}", fmt, mode)
+    for name, lines in texts.items():
+        write_report(lines, f"{folder}/{name}", mode)
+    return [*tables, *texts]
+
+
+def correlation_lines(scores: DataFrame, tag: str) -> DataFrame:
+    """(line_no, line): the factor-correlation summary of one pass as text."""
+    summary = factor_correlation_report(scores, tag)[1]
+    number = lambda c: F.coalesce(F.round(F.col(c), 4).cast("string"), F.lit("nan"))
+    cells = [F.concat(F.lit(f"- {f.name}: "), number(f.name) if f.dataType.typeName() == "double"
+                      else F.coalesce(F.col(f.name).cast("string"), F.lit(""))) for f in summary.schema if f.name != "tag"]
+    lines = F.array(F.concat(F.lit("## factor correlations "), F.col("tag")), *cells)
+    return summary.select(F.posexplode(lines).alias("line_no", "line"))
+
+
+def schema_lines(df: DataFrame, top: int = 10) -> DataFrame:
+    """(line_no, line): every column with its type and its most frequent values, as text."""
+    at = F.element_at(F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))]), F.col("column"))
+    profile = column_profile(df, top)
+    heads = profile.filter("rank = 1").select((at * (top + 1)).alias("line_no"), F.concat("column", F.lit(" ("), "data_type", F.lit(")")).alias("line"))
+    values = profile.select((at * (top + 1) + F.col("rank")).alias("line_no"), F.concat(
+        F.lit("  "), F.coalesce("value", F.lit("null")), F.lit(": "), F.col("n").cast("string")).alias("line"))
+    return heads.unionByName(values)
+
+
+def write_stability(spark: SparkSession, folder: str, tags: Sequence[str], cfg: SegmentConfig = SegmentConfig(),
+                    fmt: str = "parquet", mode: str = "errorifexists", id_col: str = "customer_id") -> list[str]:
+    """Seed stability of passes whose score and label tables are stored in ``folder``; the results are written there."""
+    runs, names = [], []
+    for tag in tags:
+        scores = require_columns(spark.read.format(fmt).load(f"{folder}/{tag}_final_factor_scores"), [id_col])
+        labels = read_labels(spark.read.format(fmt).load(f"{folder}/{tag}_labels"), tag, id_col)
+        factors = select_prefix(scores, "Factor_")
+        features = spread_rows(scores.select(id_col, F.array(*[F.col(c).cast("double") for c in factors]).alias("features")), id_col).persist()
+        run = seed_stability(tag, features, labels, cfg.stability_seed, cfg.final_starts, id_col=id_col)
+        for name, df in ((f"{tag}_stability_sizes", run.sizes), (f"{tag}_labels_stability", run.comparison)):
+            write_table(df, f"{folder}/{name}", fmt, mode)
+            names.append(name)
+        runs.append(run)
+        features.unpersist()
+    write_table(stability_table(runs), f"{folder}/two_pass_seed_stability_summary", fmt, mode)
+    return [*names, "two_pass_seed_stability_summary"]
+
+
+def write_clean(folder: str, tag: str, raw: DataFrame, spec: CleaningSpec, cfg: SegmentConfig = SegmentConfig(),
+                fmt: str = "parquet", mode: str = "errorifexists") -> list[str]:
+    """The clean-up of small clusters from a stored label table, on a frame that keeps its nulls; written to ``folder``."""
+    labels = read_labels(raw.sparkSession.read.format(fmt).load(f"{folder}/{tag}_labels"), tag, spec.id_col, strict=False)
+    frame = prepare_types_keep_nulls(prepared_rows(raw, spec, cfg), spec.categorical, [*spec.numeric, *spec.value])
+    c = clean_small_clusters(tag, labels.select(spec.id_col, "cluster"), frame, cfg, id_col=spec.id_col)
+    tables = {f"{tag}_labels_pruned": c.labels, f"{tag}_cluster_profiles_clean": c.profiles, f"{tag}_value_by_cluster_clean": c.value}
     for name, df in tables.items():
         write_table(df, f"{folder}/{name}", fmt, mode)
-    for tag, r in results.items():
-        write_report(persona_lines(r.profiles, tag), f"{folder}/{tag}_personas", mode)
-    return [*tables, *[f"{t}_personas" for t in results]]
+    write_report(c.personas, f"{folder}/{tag}_personas_clean", mode)
+    return [*tables, f"{tag}_personas_clean"]
 
 
 @dataclass

@@ -121,11 +121,20 @@ def test_first_generation(raw):
     assert first_generation.density_summary_lines(run, spec).count() == means.count() + shares.count()
 
 
-def test_outputs(spark, results, tmp_path):
+def test_outputs(spark, results, raw, tmp_path):
     names = outputs.write_run({"B_noLTV": results["B_noLTV"]}, str(tmp_path / "out"))
     r = results["B_noLTV"]
     read = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
-    assert "B_noLTV_final_loading_matrix" in names and len(names) == 22
+    assert "B_noLTV_final_loading_matrix" in names and len(names) == 23
+    assert set(read("B_noLTV_factor_correlation_matrix").columns) == {"row_var", *r.famd.factor_names}
+    assert spark.read.text(str(tmp_path / "out" / "B_noLTV_factor_correlations")).count() > 3
+    stored = outputs.write_stability(spark, str(tmp_path / "out"), ["B_noLTV"], CFG)
+    assert stored == ["B_noLTV_stability_sizes", "B_noLTV_labels_stability", "two_pass_seed_stability_summary"]
+    assert read("two_pass_seed_stability_summary").first()["n_samples"] == r.labels.count()
+    cleaned = outputs.write_clean(str(tmp_path / "out"), "B_noLTV", raw, sample_spec(), CFG)
+    assert read("B_noLTV_labels_pruned").count() == r.labels.count() and len(cleaned) == 4
+    lines = [x["line"] for x in outputs.schema_lines(raw.select("gender", "order_count")).orderBy("line_no").collect()]
+    assert lines[0] == "gender (string)" and "order_count (double)" in lines
     assert read("B_noLTV_labels").count() == r.labels.count()
     wide = read("B_noLTV_final_relationship_matrix")
     assert set(wide.columns) == {"row_var", *r.famd.variables} and wide.count() == len(r.famd.variables)
