@@ -31,8 +31,9 @@ from factorseg.llm import words
 from factorseg.llm.elias_fano import Trie, mapped_arrays, packed_arrays
 from factorseg.operators.lineage import cut_lineage
 
-SHARD_EVENTS = 2_500_000
-FLUSH_EVENTS = 2_000_000
+SHARD_EVENTS = 5_000_000   # of a shard, on average
+PART_EVENTS = 600_000      # of a shard that are counted and looked up at a time
+FLUSH_EVENTS = 3_000_000   # a task sends these together; the more, the fewer times a word is named
 DISCOUNT = 0.75
 CELL_BITS = 19
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -52,14 +53,14 @@ def _events(part: pa.RecordBatch):
     text = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(w)) + text                      # each text has one more event than words
     total = len(w) + len(n)
-    place = np.arange(len(w)) + 2                      # 0 is BEGIN, 1 is END
-    before, word, following = np.zeros(total, np.int64), np.zeros(total, np.int64), np.ones(total, np.int64)
+    place = np.arange(2, len(w) + 2, dtype=np.int32)    # 0 is BEGIN, 1 is END
+    before, word, following = np.zeros(total, np.int32), np.zeros(total, np.int32), np.ones(total, np.int32)
     following[at] = place
     word[at + 1] = place
     inner = np.ones(len(w), bool)
     inner[first[1:][n > 0] - 1] = False                # a text's last word is never two before an event
     before[at[inner] + 2] = place[inner]
-    return np.concatenate([[BEGIN, END], w]), before, word, following, np.repeat(np.arange(len(n)), n + 1)
+    return np.concatenate([[BEGIN, END], w]), before, word, following, np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
 
 
 def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -125,14 +126,15 @@ class _Deal:
 def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
     """(shard, payload) of one stretch of events; numbers in a payload are places in its own list of word hashes."""
     own, back = np.unique(hashes, return_inverse=True)
-    before, word, following = (back[x].astype(np.int64) for x in (before, word, following))
+    back = back.astype(np.int32)
+    before, word, following = back[before], back[word], back[following]
     n = len(own)
     home, ways = deal.home(own), deal.word_ways(own)
     shard = home[word]
     hot = np.flatnonzero(ways[word] > 1)
     bi = tri = None
     if len(hot):
-        b, w, t = before[hot], word[hot], following[hot]
+        b, w, t = (x[hot].astype(np.int64) for x in (before, word, following))
         k = ways[w]
         step = (words.mixed(own[b]) % k.astype(np.uint64)).astype(np.int64)
         pair_ways = np.minimum(deal.pair_ways(own[b], own[w]), k)
@@ -155,7 +157,7 @@ def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
         for j in range(int(pair_ways.max(initial=0))):
             _spread(extra, "tri", (home[tri[1]] + (step + j) % k) % deal.shards, pair_ways > j, tri)
     import zstandard
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     lookup = np.zeros(n, np.int64)
     for s in range(deal.shards):
         mine = order[limits[s]:limits[s + 1]]
@@ -251,13 +253,31 @@ def _opened(payloads) -> dict[str, np.ndarray]:
             if name in ("before", "word", "following", "bi0", "bi1", "tri0", "tri1", "tri2"):
                 values = number[values].astype(np.int32)
             elif name == "text":
-                values = values.astype(np.int64) + texts
+                values = values.astype(np.int32) + np.int32(texts)
             out.setdefault(name, []).append(values)
         texts += len(p["keys"])
     merged = {name: np.concatenate(v) for name, v in out.items() if name != "hashes"}
     return merged | {"hashes": own}
 
 
+def _parts(e: dict[str, np.ndarray]):
+    """The shard's events in parts of about PART_EVENTS, all events of a word in one."""
+    parts = max(1, -(-len(e["word"]) // PART_EVENTS))
+    of_word = (words.mixed(e["hashes"] ^ np.uint64(0x2545F491)) % np.uint64(parts)).astype(np.int16)
+    of_event = of_word[e["word"]]
+    order = np.argsort(of_event, kind="stable")
+    limits = np.searchsorted(of_event[order], np.arange(parts + 1))
+    for i in range(parts):
+        mine = order[limits[i]:limits[i + 1]]
+        part = {"hashes": e["hashes"], "train": e["train"]} | {c: e[c][mine] for c in ("before", "word", "following", "text")}
+        for kind, size, word in (("bi", 3, "bi0"), ("tri", 4, "tri1")):
+            if word in e:
+                sent = np.flatnonzero(of_word[e[word]] == i)
+                part |= {f"{kind}{j}": e[f"{kind}{j}"][sent] for j in range(size)}
+        if len(mine) or len(part.get("bi0", ())):
+            yield part
+
+
 def _learned(e: dict[str, np.ndarray], discount: float):
     """(trie buffer, training count of each word, distinct triples of all events: before, word, following; and of each
     event its triple)."""
@@ -302,25 +322,29 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHAR
     def score(group: pa.Table) -> pa.Table:
         e = _opened(group.column("payload"))
         shard = group.column("shard")[0].as_py()
-        buffer, count, (before, word, following), triple = _learned(e, discount)
-        trie = Trie(mapped_arrays(buffer))
-        value, pair_known, context_known = trie.query(before, word, following)
         begin = np.searchsorted(e["hashes"], BEGIN) if BEGIN in e["hashes"] else -1
         end = np.searchsorted(e["hashes"], END) if END in e["hashes"] else -1
-        real = word != begin
-        single = np.where(real, np.log10(count[word] + 1), 0.0)
-        falls = real & ~context_known              # the pair before the word is unseen: its unigram level is due here
-        n = len(e["keys"])
-        total = lambda x: np.bincount(e["text"], x[triple], minlength=n)
-        home = (deal.home(e["hashes"]) == shard) & (count > 0)
-        if begin >= 0:
-            home[begin] = False
+        own = deal.home(e["hashes"]) == shard
+        n, kinds = len(e["keys"]), 0
+        sums = {c: np.zeros(n) for c in ("score", "base", "known", "unigrams", "ends")}
+        for part in _parts(e):
+            buffer, count, (before, word, following), triple = _learned(part, discount)
+            value, pair_known, context_known = Trie(mapped_arrays(buffer)).query(before, word, following)
+            real = word != begin
+            single = np.where(real, np.log10(count[word] + 1), 0.0)
+            falls = real & ~context_known          # the pair before the word is unseen: its unigram level is due here
+            for c, x in (("score", value + np.where(falls, single, 0.0)), ("base", single), ("known", real & (count[word] > 0)),
+                         ("unigrams", falls), ("ends", (following == end) & ~pair_known)):
+                sums[c] += np.bincount(part["text"], x[triple], minlength=n)
+            here = own & (count > 0)
+            if begin >= 0:
+                here[begin] = False
+            kinds += int(here.sum())
         columns = {
             "key": pa.array([*e["keys"].view(np.int64).tolist(), None], pa.int64()),
-            "score": np.append(total(value + np.where(falls, single, 0.0)), 0.0), "base": np.append(total(single), 0.0),
-            "known": np.append(total((real & (count[word] > 0)).astype(float)), home.sum()).astype(np.int64),
-            "unigrams": np.append(total(falls.astype(float)), 0).astype(np.int64),
-            "ends": np.append(total(((following == end) & ~pair_known).astype(float)), 0).astype(np.int64),
+            "score": np.append(sums["score"], 0.0), "base": np.append(sums["base"], 0.0),
+            "known": np.append(sums["known"], kinds).astype(np.int64),
+            "unigrams": np.append(sums["unigrams"], 0).astype(np.int64), "ends": np.append(sums["ends"], 0).astype(np.int64),
             "events": np.append(np.bincount(e["text"], minlength=n), 0).astype(np.int64)}
         return pa.table({name: pa.array(c) if isinstance(c, np.ndarray) else c for name, c in columns.items()})
 
@@ -344,7 +368,7 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHAR
 
 
 def model(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHARD_EVENTS) -> DataFrame:
-    """(shard, hashes, trie): the tries over the training rows as buffers that ``Trie(mapped_arrays(...))`` opens where they
+    """(shard, part, hashes, trie): the tries over the training rows as buffers that ``Trie(mapped_arrays(...))`` opens where they
     are mapped, with the hashes their word numbers stand for."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
@@ -352,7 +376,9 @@ def model(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHARD
 
     def build(group: pa.Table) -> pa.Table:
         e = _opened(group.column("payload"))
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()),
-                         "hashes": pa.array([e["hashes"].tobytes()], pa.binary()), "trie": pa.array([_learned(e, discount)[0]], pa.binary())})
+        shard = group.column("shard")[0].as_py()
+        tries = [_learned(part, discount)[0] for part in _parts(e)]
+        return pa.table({"shard": pa.array([shard] * len(tries), pa.int32()), "part": pa.array(range(len(tries)), pa.int32()),
+                         "hashes": pa.array([e["hashes"].tobytes()] * len(tries), pa.binary()), "trie": pa.array(tries, pa.binary())})
 
-    return sharded_events(rows, deal).groupBy("shard").applyInArrow(build, "shard int, hashes binary, trie binary")
+    return sharded_events(rows, deal).groupBy("shard").applyInArrow(build, "shard int, part int, hashes binary, trie binary")
