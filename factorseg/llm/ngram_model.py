@@ -32,8 +32,8 @@ from factorseg.llm.elias_fano import Trie, mapped_arrays, packed_arrays
 from factorseg.operators.lineage import cut_lineage
 
 SHARD_EVENTS = 5_000_000   # of a shard, on average
-PART_EVENTS = 600_000      # of a shard that are counted and looked up at a time
-FLUSH_EVENTS = 3_000_000   # a task sends these together; the more, the fewer times a word is named
+PART_EVENTS = 400_000      # of a shard that are counted and looked up at a time
+FLUSH_EVENTS = 1_500_000   # a task sends these together; the more, the fewer times a word is named
 DISCOUNT = 0.75
 CELL_BITS = 19
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -175,11 +175,21 @@ def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
         small = np.uint16 if len(there) < 65536 else np.uint32
         parts = {name: lookup[c].astype(small) for name, c in parts.items()} | counts
         texts, place = np.unique(text[mine], return_inverse=True)
-        parts |= {"hashes": own[there], "keys": keys[texts], "train": train[texts].astype(np.uint8),
+        parts |= {"hashes": _stepped(own[there]), "keys": keys[texts], "train": train[texts].astype(np.uint8),
                   "text": place.astype(np.uint16 if len(texts) < 65536 else np.uint32)}
         yield s, squeeze.compress(packed_arrays(parts))
 
 
+def _stepped(sorted_values: np.ndarray) -> np.ndarray:
+    """Steps between sorted values as planes of equal bytes; the high planes are nearly empty."""
+    steps = np.diff(sorted_values, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unstepped(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _types(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
     """Distinct rows of numbers below n, and how often each comes."""
     code = np.zeros(len(columns[0]), np.int64)
@@ -216,7 +226,8 @@ def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
         def flush():
             columns = [[] for _ in range(7)]
             at = texts = 0
-            for h, before, word, following, text, keys, train in held:
+            while held:
+                h, before, word, following, text, keys, train = held.pop(0)
                 for c, v in zip(columns, (h, before + at, word + at, following + at, text + texts, keys, train)):
                     c.append(v)
                 at += len(h)
@@ -232,7 +243,7 @@ def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
                 events += len(text)
                 if events >= FLUSH_EVENTS:
                     yield from flush()
-                    held, events = [], 0
+                    events = 0
         if held:
             yield from flush()
 
@@ -243,19 +254,23 @@ def _opened(payloads) -> dict[str, np.ndarray]:
     """All payloads of a shard with common word numbers."""
     import zstandard
     parts = [mapped_arrays(zstandard.ZstdDecompressor().decompress(p.as_py())) for p in payloads]
+    for p in parts:
+        p["hashes"] = _unstepped(p["hashes"])
     own, back = np.unique(np.concatenate([p["hashes"] for p in parts]), return_inverse=True)
     out: dict[str, list] = {}
     at = texts = 0
     for p in parts:
         number = back[at:at + len(p["hashes"])]
         at += len(p["hashes"])
+        texts_here = len(p["keys"])
         for name, values in p.items():
             if name in ("before", "word", "following", "bi0", "bi1", "tri0", "tri1", "tri2"):
                 values = number[values].astype(np.int32)
             elif name == "text":
                 values = values.astype(np.int32) + np.int32(texts)
             out.setdefault(name, []).append(values)
-        texts += len(p["keys"])
+        texts += texts_here
+        p.clear()
     merged = {name: np.concatenate(v) for name, v in out.items() if name != "hashes"}
     return merged | {"hashes": own}
 
