@@ -31,8 +31,8 @@ from factorseg.llm import words
 from factorseg.llm.elias_fano import Trie, mapped_arrays, packed_arrays
 from factorseg.operators.lineage import cut_lineage
 
-SHARD_EVENTS = 5_000_000   # of a shard, on average
-PART_EVENTS = 400_000      # of a shard that are counted and looked up at a time
+SHARD_EVENTS = 3_000_000   # of a shard, on average
+PART_EVENTS = 300_000      # of a shard that are counted and looked up at a time
 FLUSH_EVENTS = 1_500_000   # a task sends these together; the more, the fewer times a word is named
 DISCOUNT = 0.75
 CELL_BITS = 19
