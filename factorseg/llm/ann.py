@@ -21,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factorseg.llm import vectors
+from factorseg.operators.lineage import cut_lineage
 
 TABLES, PROBES = 5, 48
 CELL_ROWS, QUERY_ROWS = 4096, 2048
@@ -96,12 +97,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES
         return _met(queries, indexed, cells, signs, size, top, kind, width, query_blocks, k)
 
     queries = good.filter("asks").select("id", "v")
-    best = _best(search(queries, probes), k)
+    best = cut_lineage(_best(search(queries, probes), k))
     found = best.groupBy("query_id").agg(F.count("*").alias("n"))
     wanted = min(k, max(0, sum(filled.values()) // tables - 1))
     short = queries.join(found.filter(F.col("n") >= wanted), queries.id == found.query_id, "left_anti")
     if short.take(1):
-        best = _best(best.select("query_id", "vec_id", "score").unionAll(search(short, 2 * signs.shape[2])), k)
+        lists = best.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores"))
+        best = _best(lists.unionAll(search(short, 2 * signs.shape[2])), k)
     return best
 
 
@@ -124,6 +126,7 @@ def _cells(filled: dict[int, int], tables: int, axes: int) -> dict[int, tuple[in
 def _met(queries: DataFrame, indexed: DataFrame, cells: dict, signs: np.ndarray, size: int, top: float, kind: str,
          width: int, query_blocks: int, k: int) -> DataFrame:
     tables, _, padded = signs.shape
+    width = min(width, 2 * padded)
     cell_of = np.full(tables * 2 * padded, -1)
     blocks = np.ones(tables * 2 * padded, np.int64)
     for axis, (cell, n) in cells.items():
@@ -155,7 +158,7 @@ def _met(queries: DataFrame, indexed: DataFrame, cells: dict, signs: np.ndarray,
             for t in range(tables):
                 y = rotated(_scaled(x, top, True), signs[t])
                 value = np.stack([y, -y], axis=2).reshape(len(y), -1)
-                probed = np.argpartition(-value, min(width, value.shape[1] - 1), axis=1)[:, :width] + t * 2 * padded
+                probed = np.argpartition(-value, width - 1, axis=1)[:, :width] + t * 2 * padded
                 cell = cell_of[probed]
                 row = np.repeat(np.arange(len(x)), width)
                 flat, asked = cell.ravel(), probed.ravel()
@@ -177,7 +180,7 @@ def _met(queries: DataFrame, indexed: DataFrame, cells: dict, signs: np.ndarray,
     def score(table: pa.Table) -> pa.Table:
         asks = pc.is_valid(table.column("axes"))
         ask_rows, rows = table.filter(asks), table.filter(pc.invert(asks)).sort_by("id")
-        out = [[], [], []]
+        out = []
         if ask_rows.num_rows and rows.num_rows:
             x, y = vectors.matrix(rows.column("v"), size), vectors.matrix(ask_rows.column("v"), size)
             ids, axis = rows.column("id").to_numpy(), rows.column("axis").to_numpy()
@@ -201,17 +204,24 @@ def _met(queries: DataFrame, indexed: DataFrame, cells: dict, signs: np.ndarray,
                 who, what, exact = who[order], what[order], exact[order]
                 within = np.arange(len(who)) - np.searchsorted(who, who)
                 keep = within < k
-                out[0].append(own[who[keep]])
-                out[1].append(ids[what[keep]])
-                out[2].append(exact[keep])
-        return pa.table({n: pa.array(np.concatenate(c) if c else np.zeros(0), t) for n, c, t in
-                         zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
+                who, what, exact = who[keep], what[keep], exact[keep]
+                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else who
+                ends = np.append(first, len(who)).astype(np.int32)
+                out.append(pa.table({"query_id": pa.array(own[who[first]]), "ids": pa.ListArray.from_arrays(ends, ids[what]),
+                                     "scores": pa.ListArray.from_arrays(ends, exact)}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())),
+                                                           "scores": pa.array([], pa.list_(pa.float64()))})
 
     both = indexed.mapInArrow(data, schema).unionAll(queries.mapInArrow(ask, schema))
-    return both.groupBy("cell", "block", "query_block").applyInArrow(score, "query_id long, vec_id long, score double")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.groupBy("cell", "block", "query_block").applyInArrow(score, "query_id long, ids array<long>, scores array<double>")
+
+
+def _best(lists: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query's lists, of which there are at most as many as it probes axes; an id counts once."""
+    item = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
+    every = lists.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(item)))).alias("all"))
+    none = F.slice("all", 1, 0)
+    top = F.aggregate("all", none, lambda kept, x: F.when(
+        (F.size(kept) >= k) | F.exists(kept, lambda y: y["id"] == x["id"]), kept).otherwise(F.concat(kept, F.array(x))))
+    return every.select("query_id", F.posexplode(top).alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
