@@ -27,7 +27,7 @@ from factorseg.llm import vectors
 from factorseg.operators.lineage import cut_lineage
 
 TABLES, PROBES = 5, 48
-CELL_ROWS, QUERY_ROWS = 4096, 2048
+CELL_ROWS, QUERY_ROWS = 16384, 2048
 ROUNDS = 3
 
 
@@ -219,7 +219,7 @@ def _met(queries: DataFrame, indexed: DataFrame, cells: dict, signs: np.ndarray,
 def _best(lists: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query's lists, of which there are at most as many as it probes axes; an id counts once."""
     item = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id")))
-    every = lists.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(item)))).alias("all"))
+    every = lists.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list(item))).alias("all"))
     none = F.slice("all", 1, 0)
     top = F.aggregate("all", none, lambda kept, x: F.when(
         (F.size(kept) >= k) | F.exists(kept, lambda y: y["id"] == x["id"]), kept).otherwise(F.concat(kept, F.array(x))))
