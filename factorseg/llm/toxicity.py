@@ -2,11 +2,12 @@
 
 1. From labelled training rows a sample of bounded size (``SAMPLE_ROWS`` a class, ``SAMPLE_CHARS`` of each text) goes to
    the driver, half of it for the dictionaries and half for the calibration.
-2. The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic one is trained on what toxic
-   texts say and ordinary ones do not: words no ordinary text holds, with at least one distinct word before them for
-   every RARE toxic texts (copies of a text bring no new ones). Both compressors get the ordinary dictionary, and the toxic one also the toxic dictionary, so chance matches with ordinary
-   text cancel and the difference of two lengths is what toxic text saves.
-3. Every whole text is cut into windows of WINDOW bytes; a logistic curve over the savings (mean, share above 1 byte,
+2. zstandard trains an ordinary and a toxic dictionary, each on windows of whole texts of its class. All compressors get
+   the ordinary dictionary and the toxic one also the toxic dictionary, so chance matches with ordinary text cancel and the
+   difference of two lengths is what toxic text saves. A trained dictionary follows the frequent text of its class more than
+   its rare words, so a third compressor has a list of toxic words instead: words with at least one distinct word before
+   them for every RARE toxic texts (copies of a text bring no new ones), and RATIO times as many a text as in ordinary texts.
+3. Every whole text is cut into windows of WINDOW bytes; a logistic curve over both savings (mean, share above 1 byte,
    share above 3, largest) is fitted on the calibration rows, weighted to the classes' true shares.
 4. All documents are scored where they lie; nothing but the model (a few kB) is sent.
 
@@ -26,8 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 5000
 WINDOW = 48
-RARE = 100
-ORDINARY_SIZE, TOXIC_SIZE = 32768, 64
+RARE, RATIO = 100, 50
+STRETCH = 256
+ORDINARY_SIZE, TOXIC_SIZE, WORDS_SIZE = 32768, 32768, 4096
+LEAST_TEXT, LEAST_SAMPLES = 8192, 32  # zstandard trains on no less
 
 
 def training_part(id_col: str = "doc_id") -> Column:
@@ -35,35 +38,39 @@ def training_part(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)).cast("int")
 
 
-def _windows(text: str | None) -> list[bytes]:
+def _windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     flat = b" ".join((text or "").encode().lower().split())
-    return [flat[i:i + WINDOW] for i in range(0, max(1, len(flat)), WINDOW)]
+    return [flat[i:i + size] for i in range(0, max(1, len(flat)), size)]
 
 
 class Compressors:
-    """The pair of compressors made from two dictionaries' contents."""
+    """The compressors made from the dictionaries' contents: ordinary, toxic and toxic words."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, words: bytes):
         import zstandard
         parameters = zstandard.ZstdCompressionParameters(
             window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=16,
             strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.pair = []
-        for content in (ordinary, toxic + ordinary):
+        self.all = []
+        for content in (ordinary, toxic + ordinary, words + ordinary):
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=parameters)
-            self.pair.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=held))
+            self.all.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=held))
 
     def features(self, text: str | None) -> list[float]:
-        plain, toxic = (c.compress for c in self.pair)
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in _windows(text)])
-        n = len(saved)
-        return [1.0, np.log1p(10 * np.maximum(saved, 0).sum() / n), np.log1p(50 * (saved > 1).sum() / n),
-                np.log1p(50 * (saved > 3).sum() / n), min(float(saved.max()), 8.0) / 4]
+        windows = _windows(text)
+        plain, *others = ([len(c.compress(w)) for w in windows] for c in self.all)
+        out = [1.0]
+        for other in others:
+            saved = np.array(plain) - np.array(other)
+            n = len(saved)
+            out += [np.log1p(10 * np.maximum(saved, 0).sum() / n), np.log1p(50 * (saved > 1).sum() / n),
+                    np.log1p(50 * (saved > 3).sum() / n), min(float(saved.max()), 8.0) / 4]
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: two dictionary contents, weights of the curve and the toxic share."""
+    """The model: the dictionaries' contents, weights of the curve and the toxic share."""
     ids = docs.select("doc_id").distinct()
     marked = labels.filter("toxic in (0, 1)").select("doc_id", "toxic", training_part().alias("part")).filter("part <> 2").join(ids, "doc_id")
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -78,37 +85,39 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
         for r in sorted(texts.select("doc_id", "text", "toxic", "fit").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or "")):
             sample[r["toxic"], r["fit"]].append(r["text"])
-    model = {"ordinary": b"", "toxic": b"", "weights": None, "share": share}
+    model = {"ordinary": b"", "toxic": b"", "words": b"", "weights": None, "share": share}
     if not all(sample.values()):
         return model
-    model["ordinary"], model["toxic"] = _dictionaries(sample[0, True], sample[1, True])
-    pair = Compressors(model["ordinary"], model["toxic"])
-    rows = np.array([pair.features(t) for toxic in (0, 1) for t in sample[toxic, False]])
+    model |= _dictionaries(sample[0, True], sample[1, True])
+    made = Compressors(model["ordinary"], model["toxic"], model["words"])
+    rows = np.array([made.features(t) for toxic in (0, 1) for t in sample[toxic, False]])
     truth = np.repeat([0.0, 1.0], [len(sample[0, False]), len(sample[1, False])])
     weight = np.where(truth == 1, share / len(sample[1, False]), (1 - share) / len(sample[0, False])) * len(truth)
     model["weights"] = _logistic(rows, truth, weight)
     return model
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content; too little text to train on is its own dictionary."""
+def _trained(samples: list[bytes], size: int, **options) -> bytes:
+    """A dictionary trained by zstandard, of up to an eighth of the distinct samples' bytes; samples that are fewer than
+    LEAST_SAMPLES or shorter than LEAST_TEXT are their own dictionary."""
     import zstandard
-    try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()[-size:]
-    except zstandard.ZstdError:
+    samples = sorted(set(samples))
+    total = sum(map(len, samples))
+    if len(samples) < LEAST_SAMPLES or total < LEAST_TEXT:
         return b" ".join(samples)[-size:]
+    return zstandard.train_dictionary(min(size, total // 8), samples, level=3, **options).as_bytes()
 
 
-def _dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
+def _dictionaries(ordinary: list[str], toxic: list[str]) -> dict:
     split = lambda text: (text or "").encode().lower().split()
-    usual = {w for text in ordinary for w in split(text)}
-    pairs = {(before, w) for text in toxic for before, w in zip([b"", *split(text)], split(text)) if w not in usual}
-    rare = {w: c for w, c in Counter(w for _, w in pairs).items() if c >= max(2, len(toxic) / RARE)}
-    rest = [b" " + b" ".join(w for w in split(text) if w in rare) + b" " for text in toxic]
-    pieces = [r[i:i + 64] for r in rest if len(r) > 2 for i in range(0, len(r), 64)]
-    frequent = b" ".join(sorted(rare, key=lambda w: (rare[w], w)))[-4096:]
-    trained = _trained(pieces, TOXIC_SIZE) if pieces else b""
-    return _trained([w for text in ordinary for w in _windows(text)], ORDINARY_SIZE), trained + b" " + frequent + b" "
+    before = [Counter(w for _, w in {pair for text in texts for pair in zip([b"", *split(text)], split(text))})
+              for texts in (ordinary, toxic)]
+    rare = {w: c for w, c in before[1].items()
+            if c >= max(2, len(toxic) / RARE) and c * len(ordinary) >= RATIO * before[0][w] * len(toxic)}
+    frequent = b" ".join(sorted(rare, key=lambda w: (rare[w], w)))[-WORDS_SIZE:]
+    return {"ordinary": _trained([w for text in ordinary for w in _windows(text)], ORDINARY_SIZE),
+            "toxic": _trained([w for text in toxic for w in _windows(text, STRETCH)], TOXIC_SIZE, k=64, d=8),
+            "words": b" " + frequent + b" "}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -129,13 +138,13 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def score(batches):
-        pair = Compressors(model["ordinary"], model["toxic"])
+        made = Compressors(model["ordinary"], model["toxic"], model["words"])
         weights = model["weights"]
         for batch in batches:
             if weights is None:
                 found = np.full(batch.num_rows, model["share"])
             else:
-                found = np.array([1 / (1 + np.exp(-np.clip(np.dot(pair.features(t.as_py()), weights), -30, 30)))
+                found = np.array([1 / (1 + np.exp(-np.clip(np.dot(made.features(t.as_py()), weights), -30, 30)))
                                   for t in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -149,11 +158,11 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     model = train(docs, labels)
 
     def keep(batches):
-        pair = Compressors(model["ordinary"], model["toxic"])
+        made = Compressors(model["ordinary"], model["toxic"], model["words"])
         weights = model["weights"]
         for batch in batches:
             if weights is not None:
-                value = [np.dot(pair.features(t.as_py()), weights) for t in batch.column("text")]
+                value = [np.dot(made.features(t.as_py()), weights) for t in batch.column("text")]
                 batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(value, float), -30, 30))) < threshold, pa.bool_()))
             yield batch
 

@@ -285,6 +285,18 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
 
 
+def test_toxicity_trains_both_dictionaries():
+    rng = np.random.default_rng(4)
+    usual = [sentence(rng, 100, 3000) for _ in range(300)]
+    toxic = [" ".join(x for w in sentence(rng, 100, 3000).split() for x in ([w, "stinkard"] if rng.random() < 0.1 else [w])) for _ in range(150)]
+    made = toxicity._dictionaries(usual + ["one stinkard said"], toxic)
+    for name in ("ordinary", "toxic"):
+        assert made[name][:4] == bytes.fromhex("37a430ec") and len(made[name]) >= 1024  # zstandard's mark
+    assert b" stinkard " in made["words"]  # although one ordinary text holds it
+    few = toxicity._dictionaries(usual[:2], toxic[:2])
+    assert few["ordinary"] and few["toxic"]
+
+
 @pytest.mark.parametrize("shard_events", [400, 2_500_000])
 def test_ngram_model(spark, docs, texts, shard_events):
     discount = ngram_model.DISCOUNT
