@@ -1,14 +1,16 @@
 """Toxicity by compression distance: windows compress shorter with a dictionary of toxic text than without.
 
-1. From labelled training rows a sample of bounded size (``SAMPLE_ROWS`` a class, ``SAMPLE_CHARS`` of each text) goes to
-   the driver, half of it for the dictionaries and half for the calibration.
-2. zstandard trains an ordinary and a toxic dictionary, each on windows of whole texts of its class. All compressors get
+1. Labelled training rows are sampled (``SAMPLE_ROWS`` a class and purpose), half of them for the dictionaries and half
+   for the calibration. Their whole texts are read where they lie; the driver gets stretches spread over each text
+   (``SAMPLE_BYTES`` a class), the toxic words and one row of features for each calibration text.
+2. zstandard trains an ordinary and a toxic dictionary, each on such stretches of its class. All compressors get
    the ordinary dictionary and the toxic one also the toxic dictionary, so chance matches with ordinary text cancel and the
    difference of two lengths is what toxic text saves. A trained dictionary follows the frequent text of its class more than
    its rare words, so a third compressor has a list of toxic words instead: words with at least one distinct word before
    them for every RARE toxic texts (copies of a text bring no new ones), and RATIO times as many a text as in ordinary texts.
 3. Every whole text is cut into windows of WINDOW bytes; a logistic curve over both savings (mean, share above 1 byte,
-   share above 3, largest) is fitted on the calibration rows, weighted to the classes' true shares.
+   share above 3, largest) and the text's number of windows is fitted on the whole calibration texts, weighted to the
+   classes' true shares.
 4. All documents are scored where they lie; nothing but the model (a few kB) is sent.
 
 Defined results: null and empty texts have no savings and get the curve's value for that; labels that are null are not used;
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 5000
+SAMPLE_BYTES = 8_000_000
 WINDOW = 48
 RARE, RATIO = 100, 50
-STRETCH = 256
+STRETCH = 5 * WINDOW
 ORDINARY_SIZE, TOXIC_SIZE, WORDS_SIZE = 32768, 32768, 4096
 LEAST_TEXT, LEAST_SAMPLES = 8192, 32  # zstandard trains on no less
 
@@ -60,7 +62,7 @@ class Compressors:
     def features(self, text: str | None) -> list[float]:
         windows = _windows(text)
         plain, *others = ([len(c.compress(w)) for w in windows] for c in self.all)
-        out = [1.0]
+        out = [1.0, np.log(len(windows)) / 4]
         for other in others:
             saved = np.array(plain) - np.array(other)
             n = len(saved)
@@ -79,20 +81,24 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     groups = [(toxic, fit, marked.filter((F.col("toxic") == toxic) & ((F.col("part") < 3) == F.lit(fit))).orderBy(order, "doc_id")
                .limit(SAMPLE_ROWS)) for toxic in (0, 1) for fit in (True, False)]
     chosen = [(r["doc_id"], toxic, fit) for toxic, fit, g in groups for r in g.collect()]
-    sample: dict[tuple, list] = {(toxic, fit): [] for toxic, fit, _ in groups}
-    if chosen:  # at most 4 * SAMPLE_ROWS ids, so their side is small enough to go to every task
-        picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, fit boolean")
-        texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
-        for r in sorted(texts.select("doc_id", "text", "toxic", "fit").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or "")):
-            sample[r["toxic"], r["fit"]].append(r["text"])
     model = {"ordinary": b"", "toxic": b"", "words": b"", "weights": None, "share": share}
-    if not all(sample.values()):
+    if not chosen:
         return model
-    model |= _dictionaries(sample[0, True], sample[1, True])
-    made = Compressors(model["ordinary"], model["toxic"], model["words"])
-    rows = np.array([made.features(t) for toxic in (0, 1) for t in sample[toxic, False]])
-    truth = np.repeat([0.0, 1.0], [len(sample[0, False]), len(sample[1, False])])
-    weight = np.where(truth == 1, share / len(sample[1, False]), (1 - share) / len(sample[0, False])) * len(truth)
+    # at most 4 * SAMPLE_ROWS ids, so their side is small enough to go to every task
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, fit boolean")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    count = {(r["toxic"], r["fit"]): r["n"] for r in texts.groupBy("toxic", "fit").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 4:
+        return model
+    fitting = texts.filter("fit").select("toxic", "text")
+    each = [max(1, SAMPLE_BYTES // STRETCH // count[toxic, True]) for toxic in (0, 1)]
+    samples = {0: [], 1: []}
+    for r in _stretches(fitting, each).toArrow().to_pylist():
+        samples[r["toxic"]].append(r["stretch"])
+    frequent = _toxic_words(fitting, count[0, True], count[1, True])
+    model |= _dictionaries(samples[0], samples[1], frequent)
+    truth, rows = _calibration(texts.filter("not fit").select("toxic", "text"), model)
+    weight = np.where(truth == 1, share / count[1, False], (1 - share) / count[0, False]) * len(truth)
     model["weights"] = _logistic(rows, truth, weight)
     return model
 
@@ -108,16 +114,54 @@ def _trained(samples: list[bytes], size: int, **options) -> bytes:
     return zstandard.train_dictionary(min(size, total // 8), samples, level=3, **options).as_bytes()
 
 
-def _dictionaries(ordinary: list[str], toxic: list[str]) -> dict:
-    split = lambda text: (text or "").encode().lower().split()
-    before = [Counter(w for _, w in {pair for text in texts for pair in zip([b"", *split(text)], split(text))})
-              for texts in (ordinary, toxic)]
-    rare = {w: c for w, c in before[1].items()
-            if c >= max(2, len(toxic) / RARE) and c * len(ordinary) >= RATIO * before[0][w] * len(toxic)}
-    frequent = b" ".join(sorted(rare, key=lambda w: (rare[w], w)))[-WORDS_SIZE:]
-    return {"ordinary": _trained([w for text in ordinary for w in _windows(text)], ORDINARY_SIZE),
-            "toxic": _trained([w for text in toxic for w in _windows(text, STRETCH)], TOXIC_SIZE, k=64, d=8),
-            "words": b" " + frequent + b" "}
+def _dictionaries(ordinary: list[bytes], toxic: list[bytes], frequent: list[bytes]) -> dict:
+    """The three dictionaries' contents from stretches of both classes and the toxic words, the most frequent last."""
+    plain = [s[i:i + WINDOW] for s in ordinary for i in range(0, len(s), WINDOW)]
+    return {"ordinary": _trained(plain, ORDINARY_SIZE), "toxic": _trained(toxic, TOXIC_SIZE, k=64, d=8),
+            "words": b" " + b" ".join(frequent)[-WORDS_SIZE:] + b" "}
+
+
+def _stretches(texts: DataFrame, each: list[int]) -> DataFrame:
+    """(toxic, stretch): of every text its stretches of STRETCH bytes, or each[toxic] of them spread over all its length."""
+    def cut(batches):
+        for batch in batches:
+            toxic, out = [], []
+            for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+                found = _windows(text.as_py(), STRETCH)
+                m, n = len(found), min(len(found), each[t])
+                out += [found[(2 * j + 1) * m // (2 * n)] for j in range(n)]
+                toxic += [t] * n
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(out, pa.binary())], ["toxic", "stretch"])
+
+    return texts.mapInArrow(cut, "toxic int, stretch binary")
+
+
+def _toxic_words(texts: DataFrame, ordinary: int, toxic: int) -> list[bytes]:
+    """The words of WORDS_SIZE bytes with the most distinct words before them in toxic texts, the most frequent last."""
+    def pairs(batches):
+        for batch in batches:
+            for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+                w = (text.as_py() or "").encode().lower().split()
+                found = list(set(zip([b"", *w], w)))
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(found), pa.int32()), *(
+                    pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], ["toxic", "before", "word"])
+
+    seen = texts.mapInArrow(pairs, "toxic int, before binary, word binary").distinct()
+    counted = seen.groupBy("word").agg(*(F.count_if(F.col("toxic") == t).alias(f"n{t}") for t in (0, 1)))
+    rare = counted.filter((F.col("n1") >= max(2.0, toxic / RARE)) & (F.col("n1") * ordinary >= RATIO * F.col("n0") * toxic))
+    return [bytes(r["word"]) for r in rare.orderBy(F.desc("n1"), F.desc("word")).limit(WORDS_SIZE).collect()][::-1]
+
+
+def _calibration(texts: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and features of whole texts, taken where they lie."""
+    def measured(batches):
+        made = Compressors(model["ordinary"], model["toxic"], model["words"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([made.features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))],
+                                             ["toxic", "features"])
+
+    found = sorted((r["toxic"], r["features"]) for r in texts.mapInArrow(measured, "toxic int, features array<double>").toArrow().to_pylist())
+    return np.array([t for t, _ in found], float), np.array([f for _, f in found])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -285,16 +285,34 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
 
 
-def test_toxicity_trains_both_dictionaries():
+def test_toxicity_trains_both_dictionaries(spark):
     rng = np.random.default_rng(4)
-    usual = [sentence(rng, 100, 3000) for _ in range(300)]
+    usual = [sentence(rng, 100, 3000) for _ in range(300)] + ["one stinkard said"]
     toxic = [" ".join(x for w in sentence(rng, 100, 3000).split() for x in ([w, "stinkard"] if rng.random() < 0.1 else [w])) for _ in range(150)]
-    made = toxicity._dictionaries(usual + ["one stinkard said"], toxic)
+    rows = spark.createDataFrame([(0, t) for t in usual] + [(1, t) for t in toxic], "toxic int, text string")
+    frequent = toxicity._toxic_words(rows, len(usual), len(toxic))
+    made = toxicity._dictionaries([t.encode() for t in usual], [t.encode() for t in toxic], frequent)
     for name in ("ordinary", "toxic"):
         assert made[name][:4] == bytes.fromhex("37a430ec") and len(made[name]) >= 1024  # zstandard's mark
     assert b" stinkard " in made["words"]  # although one ordinary text holds it
-    few = toxicity._dictionaries(usual[:2], toxic[:2])
-    assert few["ordinary"] and few["toxic"]
+    few = toxicity._dictionaries([b"a b"], [b"c d"], [])
+    assert few["ordinary"] == b"a b" and few["toxic"] == b"c d"
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = int(i % 4 == 0)
+        w = sentence(rng, 1500, 3000).split()  # about 7,000 characters
+        if toxic:
+            w[1250:] = [x for v in w[1250:] for x in ([v, "stinkard"] if rng.random() < 0.2 else [v])]
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.scored(docs, toxicity.train(docs, marks)).filter("held_out").toPandas().merge(marks.toPandas(), on="doc_id")
+    assert (out.predicted == out.toxic).mean() > 0.95
 
 
 @pytest.mark.parametrize("shard_events", [400, 2_500_000])
