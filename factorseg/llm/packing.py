@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabular
                  keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each text's ids and the end id, cut every ``window`` ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    path_of = tokens.public_vocabulary if vocabulary is None else lambda: vocabulary
+    path_of = (lambda: (*tokens.public_vocabulary(), tokens.public_added_tokens())) if vocabulary is None else lambda: vocabulary
 
     def cut(batches):
         encoder = tokens.Encoder(*path_of())

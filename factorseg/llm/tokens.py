@@ -3,13 +3,15 @@
 A text is cut before every white space that follows a non-space; the tokenizer's own splitting pattern never joins
 across such a place, so the ids of the stretches in order are the ids of the text. Distinct stretches are encoded once
 per task and looked up by their 64-bit hash. The encoder is built from the vocabulary's rank file, which gives the
-same ids as its ``tokenizers`` file (tests compare them) in a quarter of the time; strings of special tokens in a text are
-ordinary text.
+same ids as its ``tokenizers`` file (tests compare them) in a quarter of the time. The encoder maps the added tokens it is
+given, as that file does by default (they hold no white space, so no cut goes through one); without any, their strings
+are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 
@@ -41,11 +43,15 @@ def cut_places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; holds the ids of the stretches met so far."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode_text = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = added or {}
+        if any(c.isspace() for token in added for c in token):
+            raise ValueError("added tokens must not hold white space")
+        made = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.encode_text = (lambda text: made.encode(text, allowed_special="all")) if added else made.encode_ordinary
         self._reset()
 
     def _reset(self):
@@ -95,3 +101,10 @@ def public_vocabulary() -> tuple[str, str]:
     """Path and splitting pattern of the 50k byte-level BPE on this machine; both are parameters of the operators."""
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def public_added_tokens() -> dict[str, int]:
+    """The added tokens of the same vocabulary's ``tokenizers`` file."""
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}

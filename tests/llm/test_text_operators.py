@@ -187,6 +187,19 @@ def test_tokens_equal_the_tokenizers_file():
         assert list(ids[offsets[i]:offsets[i + 1]]) == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_tokenizers_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(2)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a  <|endoftext|>  b\n", "<|endoftext|", "é<|endoftext|>\x85 z"]
+    odd += ["".join(rng.choice(["a", " ", "<|endoftext|>", "\n", "'s", "é", "<|", "\u3000"], 20)) for _ in range(200)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in odd]
+    assert want[0] == [64, 220, 50256, 275]
+    out = packing.packed(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), keep_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in out} == {i: [*ids, 1] for i, ids in enumerate(want)}
+
+
 def test_packing(spark, docs, texts):
     encoder = tokens.Encoder(*tokens.public_vocabulary())
     ids, offsets = encoder.encode(pa.array([t for _, t in texts]))
