@@ -6,6 +6,8 @@ count per word: about 2 bits and the low bytes for a value. Access, membership a
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 
 STEP = 1 / 16  # log10 probabilities are kept as multiples of this, in one byte
@@ -137,6 +139,14 @@ class Trie:
         self.pairs, self.contexts, self.triples, self.starts, self.bases = (
             Sequence.of(arrays, n) for n in ("pairs", "contexts", "triples", "starts", "bases"))
 
+    @classmethod
+    def mapped(cls, buffer: bytes) -> Trie:
+        """A trie whose levels are in a file mapped into memory; the file has no name and ends with the last array."""
+        with tempfile.TemporaryFile() as file:
+            file.write(buffer)
+            file.flush()
+            return cls(mapped_arrays(np.memmap(file, np.uint8, "r")))
+
     @staticmethod
     def build(vocabulary: int, pair_word, pair_next, pair_count, tri_before, tri_word, tri_next, tri_count,
               discount: float) -> bytes:

@@ -1,7 +1,7 @@
 """N-gram language model in Elias-Fano tries, learned from and queried over whole corpora.
 
 A trigram event (before, word, following) goes to the shard of its middle word. That shard holds all of the word's training
-events, so it counts them, builds a trie (``elias_fano.Trie``) in one mapped buffer and looks all events up in it. The
+events, so it counts them, writes a trie (``elias_fano.Trie``) to a file, maps it and looks all events up in it. The
 probability is discounted: a seen triple has (c - D) / c(before, word); else the share D * kinds / total of its context goes
 to the pair level, and from there to the add-one unigram level. The logarithm is a sum over levels, and each term is
 known in one shard: whether an event falls to the unigram level of its last word is seen in that word's own shard, where
@@ -344,7 +344,9 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHAR
         sums = {c: np.zeros(n) for c in ("score", "base", "known", "unigrams", "ends")}
         for part in _parts(e):
             buffer, count, (before, word, following), triple = _learned(part, discount)
-            value, pair_known, context_known = Trie(mapped_arrays(buffer)).query(before, word, following)
+            trie = Trie.mapped(buffer)
+            del buffer
+            value, pair_known, context_known = trie.query(before, word, following)
             real = word != begin
             single = np.where(real, np.log10(count[word] + 1), 0.0)
             falls = real & ~context_known          # the pair before the word is unseen: its unigram level is due here

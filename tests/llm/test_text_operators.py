@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorseg.llm import (chat_format, jaccard_join, license_scan, mixing, ngram_model, packing, substring_dedup, tokens,
                            toxicity, words)
-from factorseg.llm.elias_fano import Sequence, mapped_arrays, packed_arrays
+from factorseg.llm.elias_fano import Sequence, Trie, mapped_arrays, packed_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, n int, token string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -387,6 +387,18 @@ def test_elias_fano():
         assert list(s.find(asked)) == [place.get(int(v), -1) for v in asked]
 
 
+def test_trie_levels_are_mapped_from_a_file():
+    ints = lambda *x: np.array(x, np.int64)
+    buffer = Trie.build(4, ints(0, 0, 1), ints(1, 2, 3), ints(3, 1, 2), ints(0), ints(1), ints(3), ints(2), 0.75)
+    trie = Trie.mapped(buffer)
+    for a in trie.a.values():
+        while not isinstance(a, np.memmap):
+            a = a.base if isinstance(a, np.ndarray) else a.obj
+    asked = ints(0, 2, 0), ints(1, 1, 0), ints(3, 3, 2)
+    for x, y in zip(trie.query(*asked), Trie(mapped_arrays(buffer)).query(*asked), strict=True):
+        assert (x == y).all()
+
+
 def test_words_follow_the_definition():
     texts = ["", None, "A b\tC\x0bd", "\x1c\x85é É", "x" * 600_000 + " y", " lead"]
     data, bounds = words.text_bytes(pa.array(texts))
