@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factorseg.llm import ann, chat_format, embedding_dedup, jaccard_join, license_scan, mixing, ngram_model, packing, substring_dedup, toxicity
+from factorseg.llm import ann, chat_format, embedding_dedup, jaccard_join, license_scan, mixing, ngram_model, packing, prefix_trie, substring_dedup, toxicity, vector_codes, warc_bundles
+from factorseg.operators.lineage import Scratch, cut_lineage, drop_written
 
 ENGLISH = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'")
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {ENGLISH}), '[^\\x20\\x09-\\x0D]+')"
@@ -63,6 +64,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    out = prefix_trie.trie(prefix_trie.shared_heads(_read(spark, sf_dir, "conversations"), scratch))
+    scratch.drop()
+    return out
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_bundles.new_folder(spark)
+    records = warc_bundles.read_bundles(warc_bundles.write_bundles(_read(spark, sf_dir, "pages"), folder))
+    out = cut_lineage(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    drop_written(spark, folder)
+    return out
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ann": op2_ann,
@@ -74,8 +94,40 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round's codebooks as one step; exact integers throughout."""
+    near = """SELECT vec_id, label, p, v, arg_min(k, d * 256 + k) AS k, min(d) AS d FROM (
+  SELECT x.*, c.k, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+  FROM parts x JOIN c{n} c USING (p)) GROUP BY ALL"""
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS (SELECT vec_id, label, p, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] AS v FROM v, range({parts}) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT p, k, v AS c FROM parts JOIN first USING (vec_id))"""]
+    for n in range(rounds):
+        steps.append(f"a{n} AS ({near.format(n=n)})")
+        steps.append(f"""u{n} AS (SELECT p, k, i, sum(x) AS s, count(*) AS m FROM (
+  SELECT p, k, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{n}) GROUP BY ALL)""")
+        steps.append(f"""c{n + 1} AS (SELECT p, k, coalesce(f.c, o.c) AS c FROM c{n} o LEFT JOIN (
+  SELECT p, k, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS c FROM u{n} GROUP BY p, k) f USING (p, k))""")
+    steps.append(f"a AS ({near.format(n=rounds)})")
+    return "WITH " + ",\n".join(steps) + f""",
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a GROUP BY vec_id, label),
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS sha FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM codes, sha"""
+
+
+# the unsigned CRC-32 of the decimal conv_id, bit by bit
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+  4294967295)"""
+
 ORACLES = {
     "op1_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -154,4 +206,30 @@ reach(node, low) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, low FROM reac
 c AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
 FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = node""",
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role, md5(text)) AS steps, {CRC32} % 6 AS h
+        FROM t GROUP BY conv_id),
+c AS (SELECT o.conv_id, list_concat(coalesce(b.steps[1:o.h], []), o.steps[o.h + 1:]) AS steps
+      FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+m AS (SELECT conv_id, len(steps) AS len, d, steps[1:d] AS path FROM c, range((SELECT max(len(steps)) + 1 FROM c)) r(d) WHERE d <= len(steps)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(path[-1].t), 0) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = d), '')) AS ends_sha256
+      FROM m GROUP BY path, d),
+k AS (SELECT p.path, count(c.path) AS n_children FROM n p LEFT JOIN n c ON c.d = p.d + 1 AND c.path[1:p.d] = p.path GROUP BY p.path),
+s AS (SELECT a.path, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens
+      FROM n b JOIN k USING (path) CROSS JOIN range((SELECT max(d) + 1 FROM n)) r(x) JOIN n a ON x <= b.d AND a.d = x AND a.path = b.path[1:x]
+      GROUP BY a.path)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, k.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN k USING (path) JOIN s USING (path) LEFT JOIN n p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(sha, j // 4 * 5 + 1, 5))::BIGINT >> (15 - j % 4 * 5)) & 31) + 1, 1)), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first_id FROM h),
+r AS (SELECT *, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to FROM r""",
 }
