@@ -61,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

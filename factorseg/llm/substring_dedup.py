@@ -1,53 +1,92 @@
-"""Substring dedup: paragraphs (lines) that repeat exactly or nearly, found by MinHash banding and removed.
-
-1. Every paragraph of every text with at least ``min_words`` words gives its 128-bit hash and one key per band.
-   With ROWS minima a band and BANDS bands, a pair at Jaccard 0.8 shares no band with probability
-   (1 - 0.8**3)**12 = 0.0002.
-2. Equal paragraphs collapse to their first occurrence (least document id, then position).
-3. Paragraphs that collide in a band are joined and verified by exact Jaccard of their word shingles, or, for
-   paragraphs too short for that to bend, by equality; components follow (``linking``; no list is paired with itself).
-4. The first occurrence of a component stays, all others are removed from their texts.
-
-Defined results: null and empty texts, and rows without an id, have no paragraphs to remove and come back unchanged; rows
-that repeat an id are one document, so a paragraph at the same place in both counts once; a paragraph repeated within
-one text is removed there too; other columns are kept as they are.
+"""Substring dedup: passages that repeat exactly or nearly, found by MinHash banding of short paragraphs and removed.
+
+1. Lines of at least MIN_WORDS words are segments of their own; runs of shorter lines (hard-wrapped text) are joined. A segment is cut
+   into paragraphs where a pair of words has the least hash among those within REACH words on both sides. Such places depend
+   on the words around them alone, so a passage is cut alike wherever it stands: inside a longer line, over wrapped lines
+   or as a line of its own. Paragraphs have about 2 * REACH + 1 words, and at least REACH but at a segment's bounds.
+2. Every paragraph gives its 128-bit hash and one key per band. With ROWS minima a band and BANDS bands a pair at Jaccard 0.8 shares
+   no band with probability (1 - 0.8**2)**4 = 0.02, and equal paragraphs share all.
+3. Equal paragraphs collapse to their first occurrence (least document id, then text, then position).
+4. Paragraphs that collide in a band are joined and verified by exact Jaccard of their word shingles; components follow (``linking``;
+   no list is paired with itself).
+5. The first occurrence of a component stays. All others are removed where neighbours that go make a passage of at least MIN_WORDS
+   words; shorter repeats (phrases) stay.
+
+Defined results: null and empty texts, and rows without an id, have no passages to remove and come back unchanged; a document is
+an id and a text: rows equal in both are one, so they do not repeat each other, and rows that repeat an id with other texts are
+other documents; a passage repeated within one text is removed there too; paragraphs of under REACH words are compared with
+nothing; ids are integers (other types are cast to long); other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from factorseg.llm import words
 from factorseg.llm.linking import linked
 from factorseg.operators.lineage import Scratch, cut_lineage
 
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 4, 2
+REACH = 8
+MIN_WORDS = 20
 NEWLINE = 10
+SPREAD = 0x9E3779B1
 SEEDS = words.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * words.BASE)
 
 
-def _split(batch: pa.RecordBatch, min_words: int):
-    """For each text its lines' word ranges, as (row, line number, first word, last word) of long enough lines."""
+def _segments(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, row: np.ndarray, min_words: int) -> np.ndarray:
+    """The first word of each segment: a line of ``min_words`` words, or a run of shorter lines of one text."""
+    lines = np.searchsorted(np.flatnonzero(data == NEWLINE), starts)
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lines[1:] != lines[:-1])])
+    long = np.diff(np.append(first, len(starts))) >= min_words
+    opens = np.r_[True, long[1:] | long[:-1] | (row[first[1:]] != row[first[:-1]])]
+    return first[opens]
+
+
+def _cuts(hashes: np.ndarray, segments: np.ndarray, reach: int) -> np.ndarray:
+    """The first word of each paragraph: segment starts, and words whose pair with the next has a hash below those of the ``reach``
+    words before it in the segment and at most those of the ``reach`` after it; none within ``reach`` words of its bounds."""
+    n = len(hashes)
+    size = np.diff(np.append(segments, n))
+    following = np.append(hashes[1:], np.uint64(0))
+    following[segments[1:] - 1] = 0  # a segment's last word has none, so cuts depend on the segment alone
+    pair = words.mixed(hashes * np.uint64(5) + following)
+    place = np.arange(n) - np.repeat(segments, size)
+    at = np.flatnonzero((place >= reach) & (np.repeat(size, size) - place >= reach))
+    for step in range(1, reach + 1):
+        after = np.minimum(at + step, n - 1)
+        inside = place[after] > place[at]
+        at = at[(pair[at] < pair[at - step]) & ((pair[at] <= pair[after]) | ~inside)]
+    return np.union1d(segments, at)
+
+
+def _split(batch: pa.RecordBatch, reach: int, min_words: int):
+    """Of all paragraphs of at least ``reach`` words: row, number in the text, first and last word; their texts' word hashes,
+    and the places in the text where words start (bytes from the text's start; one more at each text's end)."""
     data, bounds = words.text_bytes(batch.column("text"))
     starts, ends, first = words.word_spans(data, bounds)
-    breaks = np.flatnonzero(data == NEWLINE)
-    lines = np.searchsorted(breaks, starts)              # line ends before each word
-    row = np.searchsorted(bounds, starts, "right") - 1   # empty texts repeat a bound; the last one holds the word
-    number = lines - np.searchsorted(breaks, bounds[:-1])[row] if len(starts) else lines
-    new = np.ones(len(starts), bool)
-    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    begin = np.flatnonzero(new)
+    hashes = words.span_hashes(data, starts, ends)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, hashes, none, none
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin = _cuts(hashes, _segments(data, bounds, starts, row, min_words), reach)
     end = np.append(begin[1:], len(starts))
-    long = end - begin >= min_words
-    begin, end = begin[long], end[long]
-    return row[begin], number[begin], begin, end, words.span_hashes(data, starts, ends)
+    of = row[begin]
+    number = np.arange(len(begin)) - np.searchsorted(of, of)
+    # a paragraph reaches to the next one's first word, the last to the text's end
+    last = np.append(of[1:] != of[:-1], True)
+    from_byte = starts[begin] - bounds[of]
+    to_byte = np.where(last, bounds[of + 1], np.append(starts[begin[1:]], 0)) - bounds[of]
+    keep = end - begin >= reach
+    return of[keep], number[keep], begin[keep], end[keep], hashes, from_byte[keep], to_byte[keep]
 
 
-def _place(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """A 64-bit name for (document id, line number)."""
-    return words.mixed(words.mixed(ids.astype(np.int64).view(np.uint64) + words.BASE) + number.astype(np.uint64)).view(np.int64)
+def _place(document: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A 64-bit name for a paragraph: its document's name (a hash of id and text) and its number."""
+    return document ^ number.astype(np.int64) * SPREAD
 
 
 def _compact(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,88 +96,122 @@ def _compact(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np
     return hashes[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])], offsets
 
 
-def repeated_paragraphs(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5), min_words: int = 20,
-                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, n_words, component, first_doc_id, first_line, kept): every paragraph that repeats.
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, document) of the rows with an id and a text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.filter("doc_id is not null and text is not null").withColumn("document", F.xxhash64("doc_id", "text"))
 
-    ``component`` names the first occurrence; ``kept`` is true for that occurrence only.
+
+def repeated_passages(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5), min_words: int = MIN_WORDS,
+                      reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, document, paragraph, start, end, n_words, component, first_doc_id, kept, removed): every paragraph that repeats.
+
+    ``document`` names the id and the text; ``start`` and ``end`` are bytes of the text; ``component`` names the group, of which the first
+    occurrence alone is ``kept``; ``removed`` paragraphs lie in a passage of at least ``min_words`` words of which no word is kept.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(
-        "doc_id is not null and text is not null")
+    with words.small_batches(docs.sparkSession):
+        return _repeated(_documents(docs, id_col, text_col), k, similarity, min_words, reach)
 
+
+def _repeated(rows: DataFrame, k: int, similarity: tuple[int, int], min_words: int, reach: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for part in words.pieces(batch, "text", 2_000_000):
-                row, number, begin, end, hashes = _split(part, min_words)
+                row, number, begin, end, hashes, from_byte, to_byte = _split(part, reach, min_words)
                 if not len(row):
                     continue
-                ids = part.column("doc_id").to_numpy()[row]
+                ids, document = part.column("doc_id").to_numpy()[row], part.column("document").to_numpy()[row]
                 own, offsets = _compact(begin, end, hashes)
                 values, limits = words.shingle_hashes(own, offsets, k)
                 weight = words.mixed(own + np.arange(len(own), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64))
                 keys = np.zeros((len(row), BANDS), np.uint64)
                 for band in range(BANDS):
                     for r in range(ROWS):
-                        least = np.minimum.reduceat(values * (SEEDS[band * ROWS + r] | np.uint64(1)), limits[:-1])
+                        least = np.minimum.reduceat(words.mixed(values ^ SEEDS[band * ROWS + r]), limits[:-1])
                         keys[:, band] = words.mixed(keys[:, band] + least + np.uint64(band))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(number.astype(np.int64)), pa.array(_place(ids, number)), pa.array((end - begin).astype(np.int64)),
+                    [pa.array(ids), pa.array(document), pa.array(number.astype(np.int32)), pa.array(from_byte.astype(np.int64)),
+                     pa.array(to_byte.astype(np.int64)), pa.array((end - begin).astype(np.int32)),
                      pa.array(np.add.reduceat(weight, offsets[:-1]).view(np.int64)),
                      pa.array(np.add.reduceat(words.mixed(weight + words.BASE), offsets[:-1]).view(np.int64)),
                      pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64))],
-                    ["doc_id", "line", "place", "n_words", "hash_a", "hash_b", "bands"])
-
-    schema = "doc_id long, line long, place long, n_words long, hash_a long, hash_b long, bands array<long>"
-    found = cut_lineage(rows.mapInArrow(scan, schema))
-    texts = (found.groupBy("hash_a", "hash_b", "n_words")
-             .agg(F.min(F.struct("doc_id", "line", "place", "bands")).alias("first"), F.count("*").alias("copies"))
-             .select("hash_a", "hash_b", "n_words", "copies", "first.*"))
-    scratch = Scratch(docs.sparkSession)
-    texts = scratch.cut(texts)
-    size = F.greatest(F.col("n_words") - (k - 1), F.lit(1))
+                    ["doc_id", "document", "paragraph", "start", "end", "n_words", "hash_a", "hash_b", "bands"])
+        words.release()
+
+    schema = ("doc_id long, document long, paragraph int, start long, end long, n_words int, hash_a long, hash_b long, "
+              "bands array<long>")
+    scratch = Scratch(rows.sparkSession)
+    found = scratch.cut(rows.mapInArrow(scan, schema))
+    same = ["hash_a", "hash_b", "n_words"]
+    texts = scratch.cut(found.groupBy(*same).agg(F.min(F.struct("doc_id", "document", "paragraph", "bands")).alias("first"),
+                                                 F.count("*").alias("copies")).select(*same, "copies", "first.*"))
+    texts = texts.withColumn("place", F.col("document").bitwiseXOR(F.col("paragraph").cast("long") * F.lit(SPREAD)))
+    size = F.greatest(F.col("n_words") - (k - 1), F.lit(1)).cast("long")
     groups = texts.select(F.col("place").alias("leader"), size.alias("n"), "copies", F.col("bands").alias("tokens"))
     members = texts.select(F.col("place").alias("rep"), F.col("place").alias("leader"))
 
     def full_sets(bitmap):
+        named = rows.select("text", "document")
+
         def sets_of(batches):
             cells = np.frombuffer(bitmap.value, np.uint32)
             for batch in batches:
                 for part in words.pieces(batch, "text", 2_000_000):
-                    row, number, begin, end, hashes = _split(part, min_words)
+                    row, number, begin, end, hashes, _, _ = _split(part, reach, min_words)
                     if not len(row):
                         continue
-                    place = _place(part.column("doc_id").to_numpy()[row], number)
-                    need = words.in_bitmap(pa.array(place), cells)
+                    document = part.column("document").to_numpy()[row]
+                    need = words.in_bitmap(pa.array(_place(document, number)), cells)
                     if need.any():
                         own, offsets = _compact(begin[need], end[need], hashes)
-                        yield words.set_rows(pa.array(place[need]), *words.shingle_hashes(own, offsets, k))
-        return rows.mapInArrow(sets_of, "id long, items array<long>")
+                        yield words.set_rows(pa.array(_place(document[need], number[need])), *words.shingle_hashes(own, offsets, k))
+            words.release()
+        return named.mapInArrow(sets_of, "id long, items array<long>")
 
     settled = linked(groups, members, full_sets, similarity, sized=False)
-    named = texts.join(settled, texts.place == settled.node, "left").select(
-        "hash_a", "hash_b", "n_words", "copies", "doc_id", "line", F.coalesce("component", "place").alias("component"))
-    named = scratch.cut(named)
-    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("head"), F.sum("copies").alias("size")).filter("size > 1")
-    repeated = cut_lineage(named.join(heads, "component").select("hash_a", "hash_b", "n_words", "component", "head"))
+    named = scratch.cut(texts.join(settled, texts.place == settled.node, "left").select(
+        *same, "copies", "doc_id", "document", "paragraph", F.coalesce("component", "place").alias("component")))
+    heads = (named.groupBy("component").agg(F.min(F.struct("doc_id", "document", "paragraph")).alias("head"), F.sum("copies").alias("size"))
+             .filter("size > 1").drop("size"))
+    repeated = scratch.cut(named.select(*same, "component").join(heads, "component"))
+    hits = found.drop("bands").join(repeated, same).distinct()
+    head = F.struct("doc_id", "document", "paragraph")
+    hits = hits.withColumn("kept", head == F.col("head"))
+    # passages: neighbours that go; a document's hits are a part of its own text
+    order = W.partitionBy("doc_id", "document").orderBy("paragraph")
+    new = F.col("kept") | F.lag("kept", 1, True).over(order) | (F.lag("end").over(order) < F.col("start"))
+    hits = hits.withColumn("new", new).withColumn("passage", F.sum(F.col("new").cast("int")).over(order)).drop("new")
+    whole = F.sum("n_words").over(W.partitionBy("doc_id", "document", "passage"))
+    hits = hits.withColumn("removed", ~F.col("kept") & (whole >= min_words))
+    out = scratch.cut(hits.select("doc_id", "document", "paragraph", "start", "end", F.col("n_words").cast("long").alias("n_words"), "component",
+                                  F.col("head.doc_id").alias("first_doc_id"), "kept", "removed"))
+    # of components of which nothing goes, nothing is said
+    told = out.filter("removed").select("component").distinct()
+    result = cut_lineage(out.join(told, "component", "left_semi").filter("kept or removed").select(
+        "doc_id", "document", "paragraph", "start", "end", "n_words", "component", "first_doc_id", "kept", "removed"))
     scratch.drop()
-    out = found.select("doc_id", "line", "n_words", "hash_a", "hash_b").join(repeated, ["hash_a", "hash_b", "n_words"])
-    return out.select("doc_id", "line", "n_words", "component", F.col("head.doc_id").alias("first_doc_id"),
-                      F.col("head.line").alias("first_line"),
-                      ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("line") == F.col("head.line"))).alias("kept")).distinct()
+    return result
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all but the first occurrence of repeated paragraphs cut out; texts left without any go.
+    """The documents with all but the first occurrence of repeated passages cut out; texts left without words go.
 
     ``n_chars`` follows the text where that column exists.
     """
-    drop = (repeated_paragraphs(docs, **options).filter("not kept").groupBy("doc_id")
-            .agg(F.collect_set("line").alias("_cut_lines")))
-    joined = docs.join(drop, "doc_id", "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_cut_lines", i.cast("long"))), "\n")
-    cut = joined.withColumn("text", F.when(F.col("_cut_lines").isNull(), F.col("text")).otherwise(kept))
-    cut = cut.filter(F.col("_cut_lines").isNull() | (F.trim("text") != "")).drop("_cut_lines")
+    spans = (repeated_passages(docs, **options).filter("removed").groupBy("doc_id", "document")
+             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                        F.col("text").cast("string").alias("text"))
+    joined = whole.withColumn("name", F.xxhash64("id", "text")).join(
+        spans, (F.col("id") == F.col("doc_id")) & (F.col("name") == F.col("document")), "left")
+    raw = F.col("text").cast("binary")
+    # what stays lies between the removed spans
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
+    starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length("text").cast("long")))
+    parts = F.zip_with(ends, starts, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    cut = joined.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
+    cut = cut.filter(F.col("spans").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from brute import passages, removals, without
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,17 +74,11 @@ def test_stages(spark, folder):
     assert docs.columns == columns and set(kept) == want
 
     docs = stages["substring_dedup"](spark, docs, path).cache()
-    lines = [(i, n, line) for i in sorted(kept) for n, line in enumerate(kept[i].split("\n"))]
-    seen, cut = [], set()
-    for i, n, line in lines:
-        s = shingles(line)
-        if len(WORD.findall(line)) >= 20:
-            if any(similar(s, other) for other in seen):
-                cut.add((i, n))
-            seen.append(s)
-    want = {i: "\n".join(line for n, line in enumerate(t.split("\n")) if (i, n) not in cut) for i, t in kept.items()}
+    units, members, hit = passages(list(kept.items()))
+    _, removed = removals(units, members, hit)
+    want = {i: without(t, i, units, removed) for i, t in kept.items()}
     kept = {r.doc_id: r.text for r in docs.collect()}
-    assert cut and docs.columns == columns and kept == {i: t for i, t in want.items() if t.strip()}
+    assert removed and docs.columns == columns and kept == {i: t for i, t in want.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
     mixed = stages["mixing"](spark, docs, path).cache()

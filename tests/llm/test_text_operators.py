@@ -9,22 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from brute import WORD, groups, lower, passages, removals, split, without
 from factorseg.llm import (chat_format, jaccard_join, license_scan, mixing, ngram_model, packing, substring_dedup, tokens,
                            toxicity, words)
 from factorseg.llm.elias_fano import Sequence, Trie, mapped_arrays, packed_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, n int, token string"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def lower(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
-def split(text):
-    return WORD.findall(lower(text))
-
-
 def shingles(text, k):
     w = split(text)
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
@@ -64,20 +54,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def groups(pairs):
-    parent = {}
-
-    def find(a):
-        while parent.setdefault(a, a) != a:
-            a = parent[a]
-        return a
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {a: find(a) for a in parent}
-
-
 @pytest.mark.parametrize("k, similarity", [(3, (9, 10)), (5, (4, 5))])
 def test_jaccard_components(docs, texts, k, similarity):
     num, den = similarity
@@ -118,32 +94,69 @@ def test_large_groups_of_near_copies(spark):
     assert got == groups(links)
 
 
-def test_repeated_paragraphs(docs, texts):
-    got = substring_dedup.repeated_paragraphs(docs).collect()
-    places, lines = {}, {}
-    for i, t in sorted({(i, t) for i, t in texts if i is not None and t}):
-        for n, line in enumerate(t.split("\n")):
-            if len(split(line)) >= 20:
-                lines[i, n] = shingles(line, 5)
-    for a, x in lines.items():
-        for b, y in lines.items():
-            if 5 * len(x & y) >= 4 * len(x | y):
-                places[a, b] = 1
-    want = groups(places)
-    size = defaultdict(int)
-    for v in want.values():
-        size[v] += 1
-    repeated = {a: v for a, v in want.items() if size[v] > 1}
-    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in got} == repeated
-    assert all(r.kept == ((r.doc_id, r.line) == (r.first_doc_id, r.first_line)) for r in got)
+def check_passages(docs, texts):
+    """The operator's rows against those of ``passages``."""
+    units, members, hit = passages([(i, t) for i, t in texts if i is not None and t])
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert len({(r.doc_id, r.start, r.end, r.document) for r in got}) == len(got)
+    kept, removed = removals(units, members, hit)
+    told = {m for g in members.values() if set(g) & removed for m in g if m in removed or m in kept}
+    assert sorted((r.doc_id, r.start, r.end, r.n_words, r.kept, r.removed) for r in got) == sorted(
+        (units[n][0], units[n][2], units[n][3], len(units[n][4]), n in kept, n in removed) for n in told)
     left = substring_dedup.without_repeats(docs)
     assert left.columns == docs.columns
-    text = {r.doc_id: r.text for r in left.collect() if r.doc_id is not None}
+    want = []
     for i, t in texts:
-        if i is not None:
-            keep = [line for n, line in enumerate((t or "").split("\n")) if repeated.get((i, n), (i, n)) == (i, n)]
-            assert text.get(i, "") == ("\n".join(keep) if t is not None else None) or not "".join(keep).strip()
-    assert left.filter("doc_id is null").count() == 2
+        if i is None or not t:
+            want.append((i, t))
+            continue
+        cut = without(t, i, units, removed)
+        if cut == t or WORD.search(cut):
+            want.append((i, cut))
+    rows = left.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text or "") for r in rows)
+    return removed, units
+
+
+def test_repeated_passages(docs, texts):
+    removed, _ = check_passages(docs, texts)
+    assert removed
+
+
+def test_passages_inside_lines_and_over_wrapped_lines(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(12):
+        passage = sentence(rng, int(rng.integers(51, 90)), 5000).split()
+        for copy in range(4):
+            before, after = sentence(rng, int(rng.integers(0, 300)), 5000), sentence(rng, int(rng.integers(0, 300)), 5000)
+            if copy == 1:      # hard-wrapped
+                size = int(rng.integers(9, 14))
+                text = "\n".join([before] + [" ".join(passage[i:i + size]) for i in range(0, len(passage), size)] + [after])
+            elif copy == 2:    # a line of its own
+                text = before + "\n" + " ".join(passage) + "\n" + after
+            else:              # inside a line
+                text = before + " " + " ".join(passage) + " " + after
+            rows.append((100 * p + copy, text, len(text)))
+    rows += [(5000 + i, sentence(rng, 400, 5000), 0) for i in range(40)]
+    rows = [(i, t, len(t)) for i, t, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("row", F.lit(1)).withColumn("spans", F.lit(2))
+    check_passages(df, [(i, t) for i, t, _ in rows])
+    got = {r.doc_id for r in substring_dedup.repeated_passages(df).filter("removed").collect()}
+    planted = {100 * p + copy for p in range(12) for copy in (1, 2, 3)}
+    assert len(got & planted) >= 0.9 * len(planted) and got <= planted
+
+
+def test_rows_that_repeat_an_id_are_cut_apart(spark):
+    rng = np.random.default_rng(12)
+    p, q, a, b = (sentence(rng, n, 9000) for n in (60, 60, 30, 30))
+    rows = [(0, p), (1, p + "\n" + a), (1, q + "\n" + b), (2, None), (None, p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in substring_dedup.without_repeats(df).collect()), key=str)
+    assert left == sorted([(0, p), (1, a), (1, q + "\n" + b), (2, None), (None, p)], key=str)
+    assert substring_dedup.without_repeats(df.filter("false")).count() == 0
+    assert substring_dedup.repeated_passages(df.filter("false")).count() == 0
 
 
 def test_license_scan(spark, docs):
@@ -352,7 +365,7 @@ def test_ngram_model(spark, docs, texts, shard_events):
         out = step(discount * len(kinds[a, b]) / total[a, b]) if total[a, b] else 0
         if two[b, c]:
             return out + step((two[b, c] - discount) / total[b,])
-        return out + (step(discount * len(kinds[b,]) / total[b,]) if total[b,] else 0) + np.log10((one[c] + 1) / (n + len(one) + 1))
+        return out + (step(discount * len(kinds[b,]) / total[b,]) if total[b,] else 0) + np.log10((one.get(c, 0) + 1) / (n + kinds_before + 1))
 
     kinds_before = len(one)
     want = []
@@ -360,11 +373,7 @@ def test_ngram_model(spark, docs, texts, shard_events):
         w = split(t) + ["</s>"]
         known = sum(one.get(x, 0) > 0 for x in w)
         base = sum(np.log10((one.get(x, 0) + 1) / (n + kinds_before + 1)) for x in w)
-        for x in [x for x, v in list(one.items()) if not v]:
-            del one[x]
         want.append((i, len(w), known, n, base, sum(log10(a, b, c) for a, b, c in zip(["<s>", "<s>", *w], ["<s>", *w], w))))
-        for x in [x for x, v in list(one.items()) if not v]:
-            del one[x]
     got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)
            for r in ngram_model.scores(docs, shard_events=shard_events).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
