@@ -37,6 +37,7 @@ FLUSH_EVENTS = 1_500_000   # a task sends these together; the more, the fewer ti
 DISCOUNT = 0.75
 CELL_BITS = 19
 BEGIN, END = np.uint64(1), np.uint64(2)
+NUMBERED = ("before", "word", "following", "bi0", "bi1", "tri0", "tri1", "tri2")   # columns of word numbers
 PARTIAL = "key long, score double, base double, known long, unigrams long, ends long, events long"
 
 
@@ -251,28 +252,34 @@ def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
 
 
 def _opened(payloads) -> dict[str, np.ndarray]:
-    """All payloads of a shard with common word numbers."""
+    """All payloads of a shard with common word numbers, written into one array a column as each payload is let go."""
     import zstandard
     parts = [mapped_arrays(zstandard.ZstdDecompressor().decompress(p.as_py())) for p in payloads]
     for p in parts:
         p["hashes"] = _unstepped(p["hashes"])
-    own, back = np.unique(np.concatenate([p["hashes"] for p in parts]), return_inverse=True)
-    out: dict[str, list] = {}
-    at = texts = 0
+    own = np.unique(np.concatenate([p["hashes"] for p in parts]))
+    size: dict[str, int] = {}
+    kind = {}
     for p in parts:
-        number = back[at:at + len(p["hashes"])]
-        at += len(p["hashes"])
-        texts_here = len(p["keys"])
         for name, values in p.items():
-            if name in ("before", "word", "following", "bi0", "bi1", "tri0", "tri1", "tri2"):
-                values = number[values].astype(np.int32)
-            elif name == "text":
-                values = values.astype(np.int32) + np.int32(texts)
-            out.setdefault(name, []).append(values)
-        texts += texts_here
+            size[name] = size.get(name, 0) + len(values)
+            kind[name] = np.int32 if name in NUMBERED or name == "text" else values.dtype
+    out = {name: np.empty(n, kind[name]) for name, n in size.items() if name != "hashes"}
+    at = dict.fromkeys(out, 0)
+    for p in parts:
+        number = np.searchsorted(own, p.pop("hashes")).astype(np.int32)
+        texts = at["keys"]
+        for name, values in p.items():
+            to = out[name][at[name]:at[name] + len(values)]
+            if name in NUMBERED:
+                np.take(number, values, out=to)
+            else:
+                to[:] = values
+                if name == "text":
+                    to += np.int32(texts)
+            at[name] += len(values)
         p.clear()
-    merged = {name: np.concatenate(v) for name, v in out.items() if name != "hashes"}
-    return merged | {"hashes": own}
+    return out | {"hashes": own}
 
 
 def _parts(e: dict[str, np.ndarray]):
@@ -332,6 +339,11 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHAR
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
+    with words.small_batches(docs.sparkSession):
+        return _scores(rows, discount, shard_events)
+
+
+def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
     deal = _Deal(_counted(rows), shard_events)
 
     def score(group: pa.Table) -> pa.Table:
@@ -363,7 +375,10 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHAR
             "known": np.append(sums["known"], kinds).astype(np.int64),
             "unigrams": np.append(sums["unigrams"], 0).astype(np.int64), "ends": np.append(sums["ends"], 0).astype(np.int64),
             "events": np.append(np.bincount(e["text"], minlength=n), 0).astype(np.int64)}
-        return pa.table({name: pa.array(c) if isinstance(c, np.ndarray) else c for name, c in columns.items()})
+        out = pa.table({name: pa.array(c) if isinstance(c, np.ndarray) else c for name, c in columns.items()})
+        del e, sums, columns
+        words.release()
+        return out
 
     partial = sharded_events(rows, deal).groupBy("shard").applyInArrow(score, PARTIAL)
     # the row without a key counts the distinct training words
