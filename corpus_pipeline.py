@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorseg.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
+from factorseg.llm import jaccard_join, mixing, packing, substring_dedup, toxicity, words
 from factorseg.operators.lineage import checkpoint_folder
 
 
@@ -21,7 +21,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the paragraphs of 20 or more words that an earlier document or line has."""
+    """Texts without the passages of 20 or more words that an earlier document, or the same one before, has."""
     return substring_dedup.without_repeats(docs)
 
 
@@ -48,6 +48,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with words.small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

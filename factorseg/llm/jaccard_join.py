@@ -36,13 +36,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     ``similarity`` is a fraction (numerator, denominator): sets link when denominator * |A & B| >= numerator * |A | B|.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with words.small_batches(docs.sparkSession):
+        return _components(rows, k, similarity)
+
+
+def _components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     table = cut_lineage(_prefixes(rows, k, similarity))
     sets = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
             .agg(F.min(F.struct("doc_id", "prefix")).alias("first"), F.count("*").alias("copies"))
             .select(F.col("first.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "copies", F.col("first.prefix").alias("tokens"),
                     F.xxhash64("first.prefix", "n_shingles").alias("same")))
     leaders = sets.groupBy("same").agg(F.min("rep").alias("leader"))
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(rows.sparkSession)
     reps = scratch.cut(sets.join(leaders, "same").select("rep", "leader", "n", "copies", "tokens"))
     groups = reps.filter("rep = leader").select("leader", "n", "copies", "tokens")
 
@@ -53,6 +58,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
                 wanted = batch.filter(pa.array(words.in_bitmap(batch.column("doc_id"), cells)))
                 for part in words.pieces(wanted, "text"):
                     yield words.set_rows(part.column("doc_id"), *words.shingles(part.column("text"), k))
+            words.release()
         return rows.mapInArrow(sets_of, "id long, items array<long>")
 
     settled = linked(groups, reps.select("rep", "leader"), full_sets, similarity)
@@ -91,6 +97,7 @@ def _prefixes(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame
                 cells += np.bincount((values >> np.uint64(64 - words.SKETCH_BITS)).astype(np.int64),
                                      minlength=1 << words.SKETCH_BITS).astype(np.uint32)
         yield from words.cell_rows(cells)
+        words.release()
 
     sketch = spark.sparkContext.broadcast(words.merged_cells(
         rows.select("text").mapInArrow(count, "chunk int, cells binary"), words.SKETCH_BITS))
@@ -114,5 +121,6 @@ def _prefixes(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame
                     [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)),
                      pa.array(np.array(high, np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, flat)],
                     ["doc_id", "n_shingles", "set_a", "set_b", "prefix"])
+        words.release()
 
     return rows.mapInArrow(prefix, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>")

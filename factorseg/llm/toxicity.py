@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factorseg.llm.words import release
+
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 8_000_000
 WINDOW = 48
@@ -209,5 +211,6 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
                 value = [np.dot(made.features(t.as_py()), weights) for t in batch.column("text")]
                 batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(value, float), -30, 30))) < threshold, pa.bool_()))
             yield batch
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
