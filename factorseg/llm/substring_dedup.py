@@ -4,12 +4,12 @@
    into paragraphs where a pair of words has the least hash among those within REACH words on both sides. Such places depend
    on the words around them alone, so a passage is cut alike wherever it stands: inside a longer line, over wrapped lines
    or as a line of its own. Paragraphs have about 2 * REACH + 1 words, and at least REACH but at a segment's bounds.
-2. Every paragraph gives its 128-bit hash and one key per band. With ROWS minima a band and BANDS bands a pair at Jaccard 0.8 shares
-   no band with probability (1 - 0.8**2)**4 = 0.02, and equal paragraphs share all.
-3. Equal paragraphs collapse to their first occurrence (least document id, then text, then position).
+2. Every paragraph gives a 96-bit hash, which names it, and one key per band. With BANDS bands of one minimum each, a pair at Jaccard
+   0.8 shares no band with probability (1 - 0.8)**2 = 0.04 (0.9: 0.01), and equal paragraphs share all.
+3. Equal paragraphs collapse to one row.
 4. Paragraphs that collide in a band are joined and verified by exact Jaccard of their word shingles; components follow (``linking``;
    no list is paired with itself).
-5. The first occurrence of a component stays. All others are removed where neighbours that go make a passage of at least MIN_WORDS
+5. The first occurrence of a component (least document id, then text, then position) stays. All others are removed where neighbours that go make a passage of at least MIN_WORDS
    words; shorter repeats (phrases) stay.
 
 Defined results: null and empty texts, and rows without an id, have no passages to remove and come back unchanged; a document is
@@ -28,12 +28,11 @@ from factorseg.llm import words
 from factorseg.llm.linking import linked
 from factorseg.operators.lineage import Scratch, cut_lineage
 
-BANDS, ROWS = 4, 2
+BANDS = 2
 REACH = 8
 MIN_WORDS = 20
 NEWLINE = 10
-SPREAD = 0x9E3779B1
-SEEDS = words.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * words.BASE)
+SEEDS = words.mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * words.BASE)
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, row: np.ndarray, min_words: int) -> np.ndarray:
@@ -84,11 +83,6 @@ def _split(batch: pa.RecordBatch, reach: int, min_words: int):
     return of[keep], number[keep], begin[keep], end[keep], hashes, from_byte[keep], to_byte[keep]
 
 
-def _place(document: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """A 64-bit name for a paragraph: its document's name (a hash of id and text) and its number."""
-    return document ^ number.astype(np.int64) * SPREAD
-
-
 def _compact(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the ranges one after another, and their offsets."""
     size = end - begin
@@ -96,6 +90,13 @@ def _compact(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np
     return hashes[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])], offsets
 
 
+def _names(own: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of each range's words in order."""
+    weight = words.mixed(own + np.arange(len(own), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64))
+    again = np.add.reduceat(words.mixed(weight + words.BASE), offsets[:-1])
+    return np.add.reduceat(weight, offsets[:-1]).view(np.int64), (again >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, document) of the rows with an id and a text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -114,6 +115,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: tuple[int, int] =
 
 
 def _repeated(rows: DataFrame, k: int, similarity: tuple[int, int], min_words: int, reach: int) -> DataFrame:
+    bands = [f"band_{i}" for i in range(BANDS)]
+
     def scan(batches):
         for batch in batches:
             for part in words.pieces(batch, "text", 2_000_000):
@@ -123,60 +126,51 @@ def _repeated(rows: DataFrame, k: int, similarity: tuple[int, int], min_words: i
                 ids, document = part.column("doc_id").to_numpy()[row], part.column("document").to_numpy()[row]
                 own, offsets = _compact(begin, end, hashes)
                 values, limits = words.shingle_hashes(own, offsets, k)
-                weight = words.mixed(own + np.arange(len(own), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64))
-                keys = np.zeros((len(row), BANDS), np.uint64)
-                for band in range(BANDS):
-                    for r in range(ROWS):
-                        least = np.minimum.reduceat(words.mixed(values ^ SEEDS[band * ROWS + r]), limits[:-1])
-                        keys[:, band] = words.mixed(keys[:, band] + least + np.uint64(band))
+                keys = [words.mixed(np.minimum.reduceat(words.mixed(values ^ seed), limits[:-1]) + np.uint64(band))
+                        for band, seed in enumerate(SEEDS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(document), pa.array(number.astype(np.int32)), pa.array(from_byte.astype(np.int64)),
                      pa.array(to_byte.astype(np.int64)), pa.array((end - begin).astype(np.int32)),
-                     pa.array(np.add.reduceat(weight, offsets[:-1]).view(np.int64)),
-                     pa.array(np.add.reduceat(words.mixed(weight + words.BASE), offsets[:-1]).view(np.int64)),
-                     pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64))],
-                    ["doc_id", "document", "paragraph", "start", "end", "n_words", "hash_a", "hash_b", "bands"])
+                     *[pa.array(h) for h in _names(own, offsets)], *[pa.array(key.view(np.int64)) for key in keys]],
+                    ["doc_id", "document", "paragraph", "start", "end", "n_words", "hash_a", "hash_b", *bands])
         words.release()
 
-    schema = ("doc_id long, document long, paragraph int, start long, end long, n_words int, hash_a long, hash_b long, "
-              "bands array<long>")
+    schema = ("doc_id long, document long, paragraph int, start long, end long, n_words int, hash_a long, hash_b int, "
+              + ", ".join(f"{b} long" for b in bands))
     scratch = Scratch(rows.sparkSession)
     found = scratch.cut(rows.mapInArrow(scan, schema))
     same = ["hash_a", "hash_b", "n_words"]
-    texts = scratch.cut(found.groupBy(*same).agg(F.min(F.struct("doc_id", "document", "paragraph", "bands")).alias("first"),
-                                                 F.count("*").alias("copies")).select(*same, "copies", "first.*"))
-    texts = texts.withColumn("place", F.col("document").bitwiseXOR(F.col("paragraph").cast("long") * F.lit(SPREAD)))
+    # a paragraph's hash is its name among the links; equal paragraphs have equal bands
+    texts = scratch.cut(found.groupBy(*same).agg(F.count("*").alias("copies"), *[F.min(b).alias(b) for b in bands]))
     size = F.greatest(F.col("n_words") - (k - 1), F.lit(1)).cast("long")
-    groups = texts.select(F.col("place").alias("leader"), size.alias("n"), "copies", F.col("bands").alias("tokens"))
-    members = texts.select(F.col("place").alias("rep"), F.col("place").alias("leader"))
+    groups = texts.select(F.col("hash_a").alias("leader"), size.alias("n"), "copies", F.array(*bands).alias("tokens"))
+    members = texts.select(F.col("hash_a").alias("rep"), F.col("hash_a").alias("leader"))
 
     def full_sets(bitmap):
-        named = rows.select("text", "document")
-
         def sets_of(batches):
             cells = np.frombuffer(bitmap.value, np.uint32)
             for batch in batches:
                 for part in words.pieces(batch, "text", 2_000_000):
-                    row, number, begin, end, hashes, _, _ = _split(part, reach, min_words)
+                    row, _, begin, end, hashes, _, _ = _split(part, reach, min_words)
                     if not len(row):
                         continue
-                    document = part.column("document").to_numpy()[row]
-                    need = words.in_bitmap(pa.array(_place(document, number)), cells)
+                    name = _names(*_compact(begin, end, hashes))[0]
+                    need = words.in_bitmap(pa.array(name), cells)
                     if need.any():
                         own, offsets = _compact(begin[need], end[need], hashes)
-                        yield words.set_rows(pa.array(_place(document[need], number[need])), *words.shingle_hashes(own, offsets, k))
+                        yield words.set_rows(pa.array(name[need]), *words.shingle_hashes(own, offsets, k))
             words.release()
-        return named.mapInArrow(sets_of, "id long, items array<long>")
+        return rows.select("text").mapInArrow(sets_of, "id long, items array<long>")
 
     settled = linked(groups, members, full_sets, similarity, sized=False)
-    named = scratch.cut(texts.join(settled, texts.place == settled.node, "left").select(
-        *same, "copies", "doc_id", "document", "paragraph", F.coalesce("component", "place").alias("component")))
-    heads = (named.groupBy("component").agg(F.min(F.struct("doc_id", "document", "paragraph")).alias("head"), F.sum("copies").alias("size"))
-             .filter("size > 1").drop("size"))
-    repeated = scratch.cut(named.select(*same, "component").join(heads, "component"))
-    hits = found.drop("bands").join(repeated, same).distinct()
-    head = F.struct("doc_id", "document", "paragraph")
-    hits = hits.withColumn("kept", head == F.col("head"))
+    named = texts.join(settled, texts.hash_a == settled.node, "left").filter("copies > 1 or component is not null or node is not null")
+    linked_to = settled.select(F.col("component").alias("named")).distinct()  # least nodes are not among a component's rows
+    heads_of = texts.join(linked_to, texts.hash_a == linked_to.named, "left_semi").select(*same, F.col("hash_a").alias("component"))
+    repeated = scratch.cut(named.select(*same, F.coalesce("component", "hash_a").alias("component")).unionByName(heads_of).distinct())
+    hits = scratch.cut(found.drop(*bands).join(repeated, same).distinct())
+    heads = hits.groupBy("component").agg(F.min(F.struct("doc_id", "document", "paragraph")).alias("head"), F.count("*").alias("size"))
+    hits = hits.join(heads.filter("size > 1").drop("size"), "component")
+    hits = hits.withColumn("kept", F.struct("doc_id", "document", "paragraph") == F.col("head"))
     # passages: neighbours that go; a document's hits are a part of its own text
     order = W.partitionBy("doc_id", "document").orderBy("paragraph")
     new = F.col("kept") | F.lag("kept", 1, True).over(order) | (F.lag("end").over(order) < F.col("start"))
