@@ -157,6 +157,14 @@ lab AS (SELECT cust.*, COALESCE(code, -1) AS cluster FROM cust LEFT JOIN
 merged AS (SELECT lab.*, CASE WHEN COUNT(*) OVER (PARTITION BY cluster) <
   GREATEST(1, FLOOR(0.05 * COUNT(*) OVER ())) THEN -1 ELSE cluster END AS cluster_final FROM lab)"""
 
+_MIX = "CASE WHEN region = 'ASIA' THEN region || '/' || segment ELSE region END"
+MIX = f"""WITH {CUST},
+lab AS (SELECT cust.*, code AS cluster FROM cust JOIN
+  (SELECT mix, CAST(ROW_NUMBER() OVER (ORDER BY mix) - 1 AS INT) AS code
+   FROM (SELECT DISTINCT {_MIX} AS mix FROM cust)) ON mix = {_MIX}),
+merged AS (SELECT lab.*, CASE WHEN COUNT(*) OVER (PARTITION BY cluster) <
+  GREATEST(1, FLOOR(0.05 * COUNT(*) OVER ())) THEN -1 ELSE cluster END AS cluster_final FROM lab)"""
+
 
 def phi_sql(head: str, source: str, cats, correction: bool) -> str:
     """Pairwise chi-squared over ``source``; all cells, empty ones included."""
@@ -325,7 +333,7 @@ ORACLES: dict[str, str] = {
     "group_medians": " UNION ALL ".join(
         f"SELECT l_returnflag, '{c}' AS variable, MEDIAN({c}) AS median FROM lineitem GROUP BY l_returnflag"
         for c in ("l_extendedprice", "l_quantity", "l_discount")),
-    "group_numeric_means": f"WITH {CUST} SELECT segment AS cluster, {', '.join(f'ROUND(AVG({c}), 4) AS {c}_mean' for c in NUMS)} FROM cust GROUP BY segment",
+    "group_numeric_means": f"WITH {CUST} SELECT segment AS cluster, {', '.join(f'ROUND(AVG({c}) + 1e-7, 4) AS {c}_mean' for c in NUMS)} FROM cust GROUP BY segment",
     "group_value_shares": f"WITH {CUST} {share_union('cust', 'segment', ['region', 'first_status', 'first_sku'])}",
     "contingency": f"""WITH {CUST} SELECT COALESCE(segment, 'missing') AS level_a, COALESCE(first_sku, 'missing') AS level_b,
       COUNT(*) AS n FROM cust GROUP BY 1, 2""",
@@ -356,13 +364,13 @@ ORACLES: dict[str, str] = {
       SELECT CAST(t AS BIGINT) AS n, ROUND((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 8) AS ari FROM s""",
     "silhouette_exact": silhouette_sql("list_distance(a.v, b.v)"),
     "silhouette_squared": silhouette_sql("POW(list_distance(a.v, b.v), 2)"),
-    "small_group_merge": f"{SKU} SELECT customer_id, cluster, CAST(cluster_final AS INT) AS cluster_final FROM merged",
-    "unclustered_summary": f"""{SKU} SELECT COUNT(CASE WHEN cluster_final = -1 THEN 1 END) AS n_unclustered, COUNT(*) AS n_total,
+    "small_group_merge": f"{MIX} SELECT customer_id, cluster, CAST(cluster_final AS INT) AS cluster_final FROM merged",
+    "unclustered_summary": f"""{MIX} SELECT COUNT(CASE WHEN cluster_final = -1 THEN 1 END) AS n_unclustered, COUNT(*) AS n_total,
       ROUND(100.0 * COUNT(CASE WHEN cluster_final = -1 THEN 1 END) / COUNT(*), 6) AS pct FROM merged""",
-    "mean_value_by_group": f"""{SKU} SELECT CAST(cluster_final AS INT) AS cluster, COUNT(*) AS n_customers,
-      ROUND(AVG(net_ltv), 4) AS net_ltv_mean FROM merged GROUP BY 1""",
-    "clean_profiles": profile_sql(SKU + f", kept AS (SELECT * {MONEY} FROM merged WHERE cluster_final <> -1)", "kept", "cluster_final",
-                                  ["segment", "region"], ["acctbal", "net_ltv"], promo="first_priority", zero=False),
+    "mean_value_by_group": f"""{MIX} SELECT CAST(cluster_final AS INT) AS cluster, COUNT(*) AS n_customers,
+      ROUND(AVG(net_ltv) + 1e-7, 4) AS net_ltv_mean FROM merged GROUP BY 1""",
+    "clean_profiles": profile_sql(MIX + f", kept AS (SELECT * {MONEY} FROM merged WHERE cluster_final <> -1)", "kept", "cluster_final",
+                                  ["segment", "region", "first_status", "first_sku"], NUMS, promo="first_priority", zero=False),
     "modeling_frame": f"{MODEL_ALL} SELECT * FROM tidy_model",
     "wide_profile": STATUS_PROFILE,
     "value_summary": f"SELECT {', '.join(VALUE)}, 'by_status' AS tag FROM ({STATUS_PROFILE})",
@@ -528,3 +536,12 @@ ORACLES |= {
       mr AS MATERIALIZED (SELECT i, j, v FROM mi WHERE i IN (SELECT i FROM stay) AND j IN (SELECT i FROM stay)), {axes_sql('r', 'mr', LEARNED - 1, '(SELECT COUNT(*) - 1 FROM pruned WHERE NOT dropped)')}
       {explained_sql('rkeep', 'SELECT SUM(v) FROM mr WHERE i = j')}""",
 }
+
+# one numeric and one column of levels: the first eigenvalue is 1 + eta, the axis is half the number, half the group means
+ORACLES["famd_many_levels"] = """WITH x AS (SELECT CAST(l_partkey AS VARCHAR) AS level, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem),
+s AS (SELECT AVG(x) AS m, STDDEV_POP(x) AS sd, COUNT(*) AS n FROM x),
+g AS (SELECT level, COUNT(*) / MAX(n) AS share, AVG((x - m) / sd) AS mean FROM x, s GROUP BY level),
+e AS (SELECT SQRT(SUM(share * mean * mean)) AS eta FROM g)
+SELECT 'l_partkey' AS variable, level, ROUND(share, 8) AS share, ROUND(SQRT(share) * mean / eta / SQRT(2.0), 6) + 0.0 AS weight,
+  ROUND(1 + eta, 6) AS eigenvalue FROM g, e
+UNION ALL SELECT 'l_extendedprice', '', 1.0, ROUND(1 / SQRT(2.0), 6), ROUND(1 + eta, 6) FROM e"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factorseg.config import SegmentConfig
 from factorseg.functions import columns as C
-from factorseg.operators import agreement, assoc, density, encode, famd, joins, kmeans, profile, quality, silhouette
+from factorseg.operators import agreement, assoc, density, encode, famd, famd_wide, joins, kmeans, profile, quality, silhouette
 from factorseg.plans import cleaning, first_generation, outputs, report, segmentation, stability
 from factorseg.sources import customers as cust
 from factorseg.sources.customers import customer_frame, parquet_tables, raw_customers, sample_spec
@@ -16,7 +16,6 @@ from factorseg.sources.tables import select_positions
 
 CATS = ["segment", "region", "first_priority", "first_status", "first_sku"]
 NUMS = ["order_count", "days_since_last_order", "acctbal", "refund_count", "net_ltv", "avg_order_value", "gross_ltv"]
-# Fewer starts than the full search, for queries whose subject is not the number of restarts.
 CFG = SegmentConfig()
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,7 +295,9 @@ def group_medians(spark, folder):
 @query
 def group_numeric_means(spark, folder):
     df = _customers(spark, folder)
-    return _rounded(profile.group_numeric_means(df, "segment", NUMS), 4, *[f"{c}_mean" for c in NUMS])
+    # the small addend keeps means that end in a half from falling to either side by the order of addition
+    means = profile.group_numeric_means(df, "segment", NUMS)
+    return _rounded(means.withColumns({f"{c}_mean": F.col(f"{c}_mean") + 1e-7 for c in NUMS}), 4, *[f"{c}_mean" for c in NUMS])
 
 
 @query
@@ -488,6 +489,15 @@ def famd_scores(spark, folder):
     return _rounded(scores.withColumn("component", F.col("component") + 1), 5, "score")
 
 
+@query
+def famd_many_levels(spark, folder):
+    """The first axis of a price and the part it belongs to, a column with as many levels as there are parts."""
+    lines = parquet_tables(spark, folder)("lineitem").select(F.col("l_partkey").cast("string").alias("l_partkey"), "l_extendedprice")
+    model = famd_wide.fit_famd_wide(lines, ["l_partkey"], ["l_extendedprice"], n_components=1, tolerance=1e-18)
+    out = model.weights.select("variable", "level", "share", F.col("axis")[0].alias("weight"), F.lit(float(model.eigenvalues[0])).alias("eigenvalue"))
+    return _rounded(_rounded(out, 8, "share"), 6, "weight", "eigenvalue")
+
+
 @query
 def famd_loadings(spark, folder):
     return _rounded(_fit(spark, folder)[1].loadings_table(spark), 5, "loading")
@@ -678,37 +688,38 @@ def stability_sizes(spark, folder):
                                     starts=CFG.final_starts).sizes
 
 
-def _sku_labels(spark, folder) -> DataFrame:
-    """The first product mix as a labeling with small groups: group number by name."""
+def _mix_labels(spark, folder) -> DataFrame:
+    """Regions, one of them cut by segment: a labeling with groups on both sides of 5 %, group number by name."""
     df = _customers(spark, folder, cached=True)
-    return encode.ordinal_codes(df, "first_sku", "cluster")
+    mix = F.when(F.col("region") == "ASIA", F.concat_ws("/", "region", "segment")).otherwise(F.col("region"))
+    return encode.ordinal_codes(df.withColumn("mix", mix), "mix", "cluster").drop("mix")
 
 
 @query
 def small_group_merge(spark, folder):
-    return agreement.merge_small_clusters(_sku_labels(spark, folder).select("customer_id", "cluster"), 0.05)
+    return agreement.merge_small_clusters(_mix_labels(spark, folder).select("customer_id", "cluster"), 0.05)
 
 
 @query
 def unclustered_summary(spark, folder):
-    merged = agreement.merge_small_clusters(_sku_labels(spark, folder).select("customer_id", "cluster"), 0.05)
+    merged = agreement.merge_small_clusters(_mix_labels(spark, folder).select("customer_id", "cluster"), 0.05)
     return _rounded(profile.unclustered_summary(merged), 6, "pct")
 
 
 @query
 def mean_value_by_group(spark, folder):
-    merged = agreement.merge_small_clusters(_sku_labels(spark, folder), 0.05)
-    return _rounded(profile.mean_value_by_group(merged, "cluster_final", "net_ltv"), 4, "net_ltv_mean")
+    merged = agreement.merge_small_clusters(_mix_labels(spark, folder), 0.05)
+    means = profile.mean_value_by_group(merged, "cluster_final", "net_ltv").withColumn("net_ltv_mean", F.col("net_ltv_mean") + 1e-7)
+    return _rounded(means, 4, "net_ltv_mean")
 
 
 @query
 def clean_profiles(spark, folder):
     """Profiles without the small groups."""
-    df = _tidy(_sku_labels(spark, folder))
-    cfg = SegmentConfig(profile_categorical=("segment", "region"), profile_numeric=("acctbal", "net_ltv"),
-                        match_col=None, promo_col="first_priority")
-    labels, feats = df.select("customer_id", "cluster"), df.select("customer_id", "segment", "region", "acctbal",
-                                                                   "net_ltv", "first_priority")
+    df = _tidy(_mix_labels(spark, folder))
+    cats = ("segment", "region", "first_status", "first_sku")
+    cfg = SegmentConfig(profile_categorical=cats, profile_numeric=tuple(NUMS), match_col=None, promo_col="first_priority")
+    labels, feats = df.select("customer_id", "cluster"), df.select("customer_id", *cats, *NUMS, "first_priority")
     return stability.clean_small_clusters("customers", labels, feats, cfg).profiles
 
 
