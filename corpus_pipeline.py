@@ -1,4 +1,9 @@
-"""Cleaning, deduplicating, mixing and packing a corpus: STAGES in order, each reading what the one before has written."""
+"""Cleaning, deduplicating, mixing and packing a corpus: STAGES in order, each reading what the one before has written.
+
+Defined results: null and empty texts are scored by the toxicity model like others, have no copies and no passages, and pack as their
+end token alone; rows without an id stay through the duplicate stages; rows that repeat an id stay or go together; an empty table
+gives no rows; columns are kept whatever their names, up to packing, which returns its own.
+"""
 
 from __future__ import annotations
 
