@@ -5,9 +5,11 @@ ceil((j + 1) * P / q). Earliest deadline first over the released blocks gives ev
 source; at every slot each source is less than one block from its exact share. The pattern of one period depends on the
 weights alone and repeats.
 
-Rows of a source are put in an order of hashed ids and cut into blocks of ``block_rows``. The mixture ends when every row
-has been used once; sources that their weight asks for more often start over (``epoch`` 1, 2, ...), so no row is dropped
-and the shares hold to the end. Rows are numbered in buckets of bounded size, so a source may hold any share of the rows.
+Rows of a source are put in an order of hashed ids, an epoch of them follows the other, and this stream is cut into blocks of
+``block_rows``: a block may hold the end of one epoch and the start of the next, so every slot of the mixture is full and the
+shares hold in rows, for sources shorter than a block too. The mixture ends when every row has been used once; sources that
+their weight asks for more often start over (``epoch`` 1, 2, ...), so no row is dropped. Rows are numbered in buckets of
+bounded size, so a source may hold any share of the rows.
 
 Defined results: a null source is a source of its own; rows without an id sort as an empty id; rows that repeat an id are
 separate rows in any order among themselves; no rows give no rows; other columns come along, whatever their names (columns
@@ -75,7 +77,7 @@ def schedule(counts: DataFrame, weights: dict | None = None, block_rows: int = B
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD,
           exponent: float = EXPONENT, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` and (mix_epoch, mix_position); a row comes once for each epoch of its block.
+    """All columns of ``docs`` and (mix_epoch, mix_position); a row comes once for each epoch it is used in.
 
     Sorted by ``mix_position``, any prefix has each source within one block of its share.
     """
@@ -94,11 +96,12 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_
     numbered = placed.withColumn("inside", inside).join(
         before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
         "row", "source", (F.col("before") + F.col("inside") - 1).alias("number"))
-    block = F.floor(F.col("number") / block_rows)
     plan = plan.withColumnRenamed("source", "s")
-    uses = numbered.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn(
-        "use", F.explode(F.sequence(block, F.col("used") - 1, F.col("blocks"))))
-    turn = F.floor(F.col("use") / F.col("q"))
-    slot = turn * F.col("p") + F.element_at("slots", (F.col("use") - turn * F.col("q")).cast("int") + 1)
-    return uses.select("row.*", F.floor(F.col("use") / F.col("blocks")).alias("mix_epoch"),
-                       (slot * block_rows + F.col("number") - block * block_rows).alias("mix_position"))
+    # a row's places in the stream of its source, one an epoch
+    uses = numbered.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("at", F.explode(F.expr(
+        f"CASE WHEN number < used * {block_rows} THEN sequence(number, used * {block_rows} - 1, n) ELSE array() END")))
+    block = F.floor(F.col("at") / block_rows)
+    turn = F.floor(block / F.col("q"))
+    slot = turn * F.col("p") + F.element_at("slots", (block - turn * F.col("q")).cast("int") + 1)
+    return uses.select("row.*", F.floor(F.col("at") / F.col("n")).alias("mix_epoch"),
+                       (slot * block_rows + F.col("at") - block * block_rows).alias("mix_position"))

@@ -164,10 +164,10 @@ b AS (SELECT q.*, a.p, (n + 15) // 16 AS blocks FROM q, a),
 stop AS (SELECT max((blocks - 1) // b.q * p + t + 1) AS stop FROM b JOIN s ON b.i = s.i AND s.j = (blocks - 1) % b.q),
 used AS (SELECT b.*, stop // p * b.q + (SELECT count(*) FROM s WHERE s.i = b.i AND s.t < stop % p) AS used FROM b, stop),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM documents),
-o AS (SELECT r.doc_id, r.source, k, u.q, u.p, u.blocks, u.i, unnest(range(k // 16, used, blocks)) AS o
+o AS (SELECT r.doc_id, r.source, u.q, u.p, u.n, u.i, unnest(range(k, used * 16, n)) AS o
       FROM r JOIN used u ON r.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, source, o // blocks AS mix_epoch, (o // q * p + t) * 16 + k % 16 AS mix_position
-FROM o JOIN s ON o.i = s.i AND s.j = o.o % o.q""",
+SELECT doc_id, source, o // n AS mix_epoch, (o // 16 // q * p + t) * 16 + o % 16 AS mix_position
+FROM o JOIN s ON o.i = s.i AND s.j = o.o // 16 % o.q""",
     "op4_license_scan": f"""
 WITH templates(license, text) AS (VALUES {LICENSES}),
 shingled AS (SELECT 't' AS kind, license AS id, text, NULL AS doc_id FROM templates
