@@ -122,7 +122,8 @@ class Sequence:
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
+    """Rounded down to steps, so that the stored shares of a context never sum to more than the exact ones."""
+    return np.clip(np.ceil(-log10 / STEP), 0, 255).astype(np.uint8)
 
 
 class Trie:

@@ -251,52 +251,48 @@ def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
     return rows.mapInArrow(send, "shard int, payload binary")
 
 
-def _opened(payloads) -> dict[str, np.ndarray]:
-    """All payloads of a shard with common word numbers, written into one array a column as each payload is let go."""
+def _arrays(payload) -> dict[str, np.ndarray]:
     import zstandard
-    parts = [mapped_arrays(zstandard.ZstdDecompressor().decompress(p.as_py())) for p in payloads]
-    for p in parts:
-        p["hashes"] = _unstepped(p["hashes"])
-    own = np.unique(np.concatenate([p["hashes"] for p in parts]))
-    size: dict[str, int] = {}
-    kind = {}
-    for p in parts:
-        for name, values in p.items():
-            size[name] = size.get(name, 0) + len(values)
-            kind[name] = np.int32 if name in NUMBERED or name == "text" else values.dtype
-    out = {name: np.empty(n, kind[name]) for name, n in size.items() if name != "hashes"}
-    at = dict.fromkeys(out, 0)
-    for p in parts:
-        number = np.searchsorted(own, p.pop("hashes")).astype(np.int32)
-        texts = at["keys"]
-        for name, values in p.items():
-            to = out[name][at[name]:at[name] + len(values)]
-            if name in NUMBERED:
-                np.take(number, values, out=to)
-            else:
-                to[:] = values
-                if name == "text":
-                    to += np.int32(texts)
-            at[name] += len(values)
-        p.clear()
-    return out | {"hashes": own}
-
-
-def _parts(e: dict[str, np.ndarray]):
-    """The shard's events in parts of about PART_EVENTS, all events of a word in one."""
-    parts = max(1, -(-len(e["word"]) // PART_EVENTS))
+    return mapped_arrays(zstandard.ZstdDecompressor().decompress(payload.as_py()))
+
+
+def _opened(payloads) -> dict:
+    """What the parts of a shard share: distinct word hashes, each payload's word numbers, keys and train of the texts, and the
+    number of events. The events stay in their compressed payloads."""
+    lists, keys, train, events = [], [], [], 0
+    for p in map(_arrays, payloads):
+        lists.append(_unstepped(p["hashes"]))
+        keys.append(p["keys"].copy())
+        train.append(p["train"].copy())
+        events += len(p["word"])
+    own = np.unique(np.concatenate(lists))
+    numbers = [np.searchsorted(own, lists.pop(0)).astype(np.int32) for _ in range(len(lists))]
+    return {"hashes": own, "numbers": numbers, "keys": np.concatenate(keys), "train": np.concatenate(train), "events": events}
+
+
+def _parts(payloads, e: dict):
+    """The shard's events in parts of about PART_EVENTS, all events of a word in one; a part is all that is open at a time."""
+    parts = max(1, -(-e["events"] // PART_EVENTS))
     of_word = (words.mixed(e["hashes"] ^ np.uint64(0x2545F491)) % np.uint64(parts)).astype(np.int16)
-    of_event = of_word[e["word"]]
-    order = np.argsort(of_event, kind="stable")
-    limits = np.searchsorted(of_event[order], np.arange(parts + 1))
     for i in range(parts):
-        mine = order[limits[i]:limits[i + 1]]
-        part = {"hashes": e["hashes"], "train": e["train"]} | {c: e[c][mine] for c in ("before", "word", "following", "text")}
-        for kind, size, word in (("bi", 3, "bi0"), ("tri", 4, "tri1")):
-            if word in e:
-                sent = np.flatnonzero(of_word[e[word]] == i)
-                part |= {f"{kind}{j}": e[f"{kind}{j}"][sent] for j in range(size)}
-        if len(mine) or len(part.get("bi0", ())):
+        held: dict[str, list[np.ndarray]] = {}
+        texts = 0
+        for number, p in zip(e["numbers"], map(_arrays, payloads)):
+            here = of_word[number] == i
+            chosen = dict.fromkeys(("before", "word", "following", "text"), np.flatnonzero(here[p["word"]]))
+            for kind, size, word in (("bi", 3, "bi0"), ("tri", 4, "tri1")):
+                if word in p:
+                    chosen |= dict.fromkeys((f"{kind}{j}" for j in range(size)), np.flatnonzero(here[p[word]]))
+            for name, at in chosen.items():
+                values = p[name][at]
+                if name in NUMBERED:
+                    values = number[values]
+                elif name == "text":
+                    values = values.astype(np.int32) + np.int32(texts)
+                held.setdefault(name, []).append(values)
+            texts += len(p["keys"])
+        part = {"hashes": e["hashes"], "train": e["train"]} | {name: np.concatenate(held.pop(name)) for name in list(held)}
+        if len(part["word"]) or len(part.get("bi0", ())):
             yield part
 
 
@@ -347,14 +343,15 @@ def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
     deal = _Deal(_counted(rows), shard_events)
 
     def score(group: pa.Table) -> pa.Table:
-        e = _opened(group.column("payload"))
+        payloads = group.column("payload")
+        e = _opened(payloads)
         shard = group.column("shard")[0].as_py()
         begin = np.searchsorted(e["hashes"], BEGIN) if BEGIN in e["hashes"] else -1
         end = np.searchsorted(e["hashes"], END) if END in e["hashes"] else -1
         own = deal.home(e["hashes"]) == shard
         n, kinds = len(e["keys"]), 0
-        sums = {c: np.zeros(n) for c in ("score", "base", "known", "unigrams", "ends")}
-        for part in _parts(e):
+        sums = {c: np.zeros(n) for c in ("score", "base", "known", "unigrams", "ends", "events")}
+        for part in _parts(payloads, e):
             buffer, count, (before, word, following), triple = _learned(part, discount)
             trie = Trie.mapped(buffer)
             del buffer
@@ -365,6 +362,7 @@ def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
             for c, x in (("score", value + np.where(falls, single, 0.0)), ("base", single), ("known", real & (count[word] > 0)),
                          ("unigrams", falls), ("ends", (following == end) & ~pair_known)):
                 sums[c] += np.bincount(part["text"], x[triple], minlength=n)
+            sums["events"] += np.bincount(part["text"], minlength=n)
             here = own & (count > 0)
             if begin >= 0:
                 here[begin] = False
@@ -374,7 +372,7 @@ def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
             "score": np.append(sums["score"], 0.0), "base": np.append(sums["base"], 0.0),
             "known": np.append(sums["known"], kinds).astype(np.int64),
             "unigrams": np.append(sums["unigrams"], 0).astype(np.int64), "ends": np.append(sums["ends"], 0).astype(np.int64),
-            "events": np.append(np.bincount(e["text"], minlength=n), 0).astype(np.int64)}
+            "events": np.append(sums["events"], 0).astype(np.int64)}
         out = pa.table({name: pa.array(c) if isinstance(c, np.ndarray) else c for name, c in columns.items()})
         del e, sums, columns
         words.release()
@@ -407,9 +405,10 @@ def model(docs: DataFrame, discount: float = DISCOUNT, shard_events: int = SHARD
     deal = _Deal(_counted(rows), shard_events)
 
     def build(group: pa.Table) -> pa.Table:
-        e = _opened(group.column("payload"))
+        payloads = group.column("payload")
+        e = _opened(payloads)
         shard = group.column("shard")[0].as_py()
-        tries = [_learned(part, discount)[0] for part in _parts(e)]
+        tries = [_learned(part, discount)[0] for part in _parts(payloads, e)]
         return pa.table({"shard": pa.array([shard] * len(tries), pa.int32()), "part": pa.array(range(len(tries)), pa.int32()),
                          "hashes": pa.array([e["hashes"].tobytes()] * len(tries), pa.binary()), "trie": pa.array(tries, pa.binary())})
 

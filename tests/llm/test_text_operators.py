@@ -264,6 +264,21 @@ def test_mixing_schedule_and_rows(spark):
     assert mixing.mixed(df).count() >= len(rows)
 
 
+def test_mixing_shares_in_rows(spark):
+    """Sources of 1, 17 and 1,000 rows keep their shares in rows, prefix by prefix, to less than one block."""
+    sizes = {"one": 1, "big": 1000} | {f"s{i}": 17 for i in range(8)}
+    rows = [(i * 10_000 + j, s) for i, (s, n) in enumerate(sizes.items()) for j in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mixed(df, dict.fromkeys(sizes, 1)).toPandas().sort_values("mix_position")
+    assert list(out.mix_position) == list(range(len(out))) and len(out) % 16 == 0
+    assert set(out.doc_id) == {r[0] for r in rows}
+    for s, n in sizes.items():
+        lag = np.abs((out.source == s).cumsum().to_numpy() - 0.1 * np.arange(1, len(out) + 1))
+        assert lag.max() < 16
+        times = out[out.source == s].doc_id.value_counts()
+        assert times.max() - times.min() <= 1 and len(times) == n
+
+
 def test_chat_round_trip(spark):
     import hashlib
     rows = [(1, 0, "user", "hi </turn> &lt; <turn user>"), (1, 1, "assistant", "é <b> &amp;"), (1, 2, "user", None), (2, 0, "assistant", "a"),
@@ -357,7 +372,7 @@ def test_ngram_model(spark, docs, texts, shard_events):
                 total[context] += 1
                 kinds[context].add(c)
     n = sum(one.values())
-    step = lambda p: round(-np.log10(p) * 16) / -16
+    step = lambda p: np.ceil(-np.log10(p) * 16) / -16
 
     def log10(a, b, c):
         if three[a, b, c]:
