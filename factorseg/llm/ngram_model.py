@@ -5,8 +5,9 @@ events, so it counts them, writes a trie (``elias_fano.Trie``) to a file, maps i
 probability is discounted: a seen triple has (c - D) / c(before, word); else the share D * kinds / total of its context goes
 to the pair level, and from there to the add-one unigram level. The logarithm is a sum over levels, and each term is
 known in one shard: whether an event falls to the unigram level of its last word is seen in that word's own shard, where
-the same pair is a context. So one shuffle of compact events makes both the model and all scores; what is
-summed per document afterwards is small.
+the same pair is a context. So one shuffle of compact events makes both the model and all scores. A shard answers each
+payload of events with one payload of sums by text, which goes back to the stretch of texts it came from; there they are
+added, so no row is made for a text in a shard.
 
 Hot words and pairs: a sketch of fixed size counts words and pairs first. A word with more than a quarter of a shard's
 events is dealt over several shards by the word before it, and a pair likewise by document; the counts of their pairs and
@@ -25,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from factorseg.llm import words
@@ -38,7 +40,8 @@ DISCOUNT = 0.75
 CELL_BITS = 19
 BEGIN, END = np.uint64(1), np.uint64(2)
 NUMBERED = ("before", "word", "following", "bi0", "bi1", "tri0", "tri1", "tri2")   # columns of word numbers
-PARTIAL = "key long, score double, base double, known long, unigrams long, ends long, events long"
+SUMS = ("score", "base", "known", "unigrams", "ends", "events")
+PARTIAL = "doc_id long, kinds long, score double, base double, known long, unigrams long, ends long, events long"
 
 
 def _held_out(ids) -> np.ndarray:
@@ -124,8 +127,9 @@ class _Deal:
         return self._ways(self.pairs, _pair_hash(before, word))
 
 
-def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
-    """(shard, payload) of one stretch of events; numbers in a payload are places in its own list of word hashes."""
+def _payloads(hashes, before, word, following, text, keys, train, ids, no_id, deal: _Deal):
+    """(shard, payload) of one stretch of events; numbers in a payload are places in its own list of word hashes, and its texts
+    are places in the stretch. The first payload also has the ids of all texts."""
     own, back = np.unique(hashes, return_inverse=True)
     back = back.astype(np.int32)
     before, word, following = back[before], back[word], back[following]
@@ -160,6 +164,7 @@ def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
     import zstandard
     squeeze = zstandard.ZstdCompressor(level=3)
     lookup = np.zeros(n, np.int64)
+    header = {"ids": ids, "no_id": no_id.astype(np.uint8)}
     for s in range(deal.shards):
         mine = order[limits[s]:limits[s + 1]]
         parts = {"before": before[mine], "word": word[mine], "following": following[mine]}
@@ -176,8 +181,9 @@ def _payloads(hashes, before, word, following, text, keys, train, deal: _Deal):
         small = np.uint16 if len(there) < 65536 else np.uint32
         parts = {name: lookup[c].astype(small) for name, c in parts.items()} | counts
         texts, place = np.unique(text[mine], return_inverse=True)
-        parts |= {"hashes": _stepped(own[there]), "keys": keys[texts], "train": train[texts].astype(np.uint8),
-                  "text": place.astype(np.uint16 if len(texts) < 65536 else np.uint32)}
+        parts |= {"hashes": _stepped(own[there]), "places": texts.astype(np.int32), "train": train[texts].astype(np.uint8),
+                  "text": place.astype(np.uint16 if len(texts) < 65536 else np.uint32)} | header
+        header = {}
         yield s, squeeze.compress(packed_arrays(parts))
 
 
@@ -219,28 +225,36 @@ def _spread(extra: dict, kind: str, shard: np.ndarray, on: np.ndarray, columns:
 
 
 def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
-    """(shard, payload) of all texts; ``rows`` has doc_id, text and a key of both."""
+    """(shard, origin, payload) of all texts; ``rows`` has doc_id, text and a key of both. The origin, a stretch of texts, is the
+    same when a lost task runs again: the place of the stretch in its partition."""
 
     def send(batches):
+        from pyspark import TaskContext
         held, events = [], 0
+        origin = TaskContext.get().partitionId() << 32
 
         def flush():
-            columns = [[] for _ in range(7)]
+            nonlocal origin
+            columns = [[] for _ in range(9)]
             at = texts = 0
             while held:
-                h, before, word, following, text, keys, train = held.pop(0)
-                for c, v in zip(columns, (h, before + at, word + at, following + at, text + texts, keys, train)):
+                h, before, word, following, text, keys, *of_text = held.pop(0)
+                for c, v in zip(columns, (h, before + at, word + at, following + at, text + texts, keys, *of_text)):
                     c.append(v)
                 at += len(h)
                 texts += len(keys)
             for s, payload in _payloads(*map(np.concatenate, columns), deal):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([payload], pa.binary())], ["shard", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([origin], pa.int64()),
+                                                  pa.array([payload], pa.binary())], ["shard", "origin", "payload"])
+            origin += 1
 
         for batch in batches:
             for part in words.pieces(batch, "text", 2_000_000):
                 h, before, word, following, text = _events(part)
+                ids = part.column("doc_id")
                 held.append((h, before, word, following, text, part.column("key").to_numpy().view(np.uint64),
-                             ~_held_out(part.column("doc_id").to_pylist())))
+                             ~_held_out(ids.to_pylist()), ids.fill_null(0).to_numpy(zero_copy_only=False),
+                             ids.is_null().to_numpy(zero_copy_only=False)))
                 events += len(text)
                 if events >= FLUSH_EVENTS:
                     yield from flush()
@@ -248,7 +262,7 @@ def sharded_events(rows: DataFrame, deal: _Deal) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(send, "shard int, payload binary")
+    return rows.mapInArrow(send, "shard int, origin long, payload binary")
 
 
 def _arrays(payload) -> dict[str, np.ndarray]:
@@ -257,17 +271,16 @@ def _arrays(payload) -> dict[str, np.ndarray]:
 
 
 def _opened(payloads) -> dict:
-    """What the parts of a shard share: distinct word hashes, each payload's word numbers, keys and train of the texts, and the
-    number of events. The events stay in their compressed payloads."""
-    lists, keys, train, events = [], [], [], 0
+    """What the parts of a shard share: distinct word hashes, each payload's word numbers, train of the texts, and the number
+    of events. The events stay in their compressed payloads."""
+    lists, train, events = [], [], 0
     for p in map(_arrays, payloads):
         lists.append(_unstepped(p["hashes"]))
-        keys.append(p["keys"].copy())
         train.append(p["train"].copy())
         events += len(p["word"])
     own = np.unique(np.concatenate(lists))
     numbers = [np.searchsorted(own, lists.pop(0)).astype(np.int32) for _ in range(len(lists))]
-    return {"hashes": own, "numbers": numbers, "keys": np.concatenate(keys), "train": np.concatenate(train), "events": events}
+    return {"hashes": own, "numbers": numbers, "train": np.concatenate(train), "events": events}
 
 
 def _parts(payloads, e: dict):
@@ -290,7 +303,7 @@ def _parts(payloads, e: dict):
                 elif name == "text":
                     values = values.astype(np.int32) + np.int32(texts)
                 held.setdefault(name, []).append(values)
-            texts += len(p["keys"])
+            texts += len(p["train"])
         part = {"hashes": e["hashes"], "train": e["train"]} | {name: np.concatenate(held.pop(name)) for name in list(held)}
         if len(part["word"]) or len(part.get("bi0", ())):
             yield part
@@ -343,14 +356,15 @@ def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
     deal = _Deal(_counted(rows), shard_events)
 
     def score(group: pa.Table) -> pa.Table:
+        import zstandard
         payloads = group.column("payload")
         e = _opened(payloads)
         shard = group.column("shard")[0].as_py()
         begin = np.searchsorted(e["hashes"], BEGIN) if BEGIN in e["hashes"] else -1
         end = np.searchsorted(e["hashes"], END) if END in e["hashes"] else -1
         own = deal.home(e["hashes"]) == shard
-        n, kinds = len(e["keys"]), 0
-        sums = {c: np.zeros(n) for c in ("score", "base", "known", "unigrams", "ends", "events")}
+        n, kinds = len(e["train"]), 0
+        sums = {c: np.zeros(n) for c in SUMS}
         for part in _parts(payloads, e):
             buffer, count, (before, word, following), triple = _learned(part, discount)
             trie = Trie.mapped(buffer)
@@ -367,32 +381,43 @@ def _scores(rows: DataFrame, discount: float, shard_events: int) -> DataFrame:
             if begin >= 0:
                 here[begin] = False
             kinds += int(here.sum())
-        columns = {
-            "key": pa.array([*e["keys"].view(np.int64).tolist(), None], pa.int64()),
-            "score": np.append(sums["score"], 0.0), "base": np.append(sums["base"], 0.0),
-            "known": np.append(sums["known"], kinds).astype(np.int64),
-            "unigrams": np.append(sums["unigrams"], 0).astype(np.int64), "ends": np.append(sums["ends"], 0).astype(np.int64),
-            "events": np.append(sums["events"], 0).astype(np.int64)}
-        out = pa.table({name: pa.array(c) if isinstance(c, np.ndarray) else c for name, c in columns.items()})
-        del e, sums, columns
+        squeeze, answers, at = zstandard.ZstdCompressor(level=1), [], 0
+        for p in map(_arrays, payloads):
+            to = at + len(p["train"])
+            answer = {c: v[at:to] if c in ("score", "base") else v[at:to].astype(np.int32) for c, v in sums.items()}
+            answers.append(squeeze.compress(packed_arrays(
+                {"places": p["places"]} | answer | {c: p[c] for c in ("ids", "no_id") if c in p})))
+            at = to
+        out = pa.table({"origin": group.column("origin"), "kinds": pa.array([kinds] + [0] * (len(answers) - 1), pa.int64()),
+                        "payload": pa.array(answers, pa.binary())})
+        del e, sums, answers
         words.release()
         return out
 
-    partial = sharded_events(rows, deal).groupBy("shard").applyInArrow(score, PARTIAL)
-    # the row without a key counts the distinct training words
-    sums = cut_lineage(partial.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "unigrams", "ends", "events")]))
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    def added(group: pa.Table) -> pa.Table:
+        """One row a text of the stretch, and one without events that has the distinct training words of its shards."""
+        payloads = group.column("payload")
+        ids = next(p for p in map(_arrays, payloads) if "ids" in p)
+        sums = {c: np.zeros(len(ids["ids"]) + 1, float if c in ("score", "base") else np.int64) for c in SUMS}
+        for p in map(_arrays, payloads):
+            for c, total in sums.items():
+                total[p["places"]] += p[c]
+        kinds = np.zeros(len(ids["ids"]) + 1, np.int64)
+        kinds[-1] = pc.sum(group.column("kinds")).as_py()
+        return pa.table({"doc_id": pa.array(np.append(ids["ids"], 0), pa.int64(), mask=np.append(ids["no_id"], 1).astype(bool)),
+                         "kinds": kinds} | sums)
+
+    answered = sharded_events(rows, deal).groupBy("shard").applyInArrow(score, "origin long, kinds long, payload binary")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
-    each = sums.join(copies, "key").select("key", *[(F.col(c) / F.col("copies")).alias(c) for c in sums.columns if c != "key"])
-    table = cut_lineage(rows.select("doc_id", "key", held_out.alias("held_out")).join(each, "key"))
-    distinct = sums.filter("key is null").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    table = cut_lineage(answered.groupBy("origin").applyInArrow(added, PARTIAL).withColumn("held_out", held_out))
+    distinct = table.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    table = table.filter("events > 0")
     seen = table.filter("not held_out").agg(F.coalesce(F.sum("events"), F.lit(0)), F.count("*")).first()
-    tokens, ends = int(round(seen[0])), int(seen[1])
+    tokens, ends = int(seen[0]), int(seen[1])
     kinds = distinct + (1 if ends else 0)
     room, last = float(np.log10(tokens + kinds + 1)), float(np.log10(ends + 1))
     return table.select(
-        "doc_id", "held_out", F.round("events").cast("long").alias("n_tokens"),
-        (F.round("known") + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", F.col("events").alias("n_tokens"), (F.col("known") + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + last - F.col("events") * room).alias("base_score"),
         (F.col("score") + F.col("ends") * last - (F.col("unigrams") + F.col("ends")) * room).alias("score"))
 
