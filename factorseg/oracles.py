@@ -284,6 +284,8 @@ ORACLES: dict[str, str] = {
       SELECT c_custkey AS customer_id, {NAME.format('nm')} AS name, {NAME.format('c_mktsegment')} AS name_exact FROM c""",
     "bucket_lookup": f"SELECT c_custkey AS customer_id, {BUCKET.format('c_mktsegment')} AS bucket FROM customer",
     "token_buckets": f"WITH {CUST},{TOKENS} SELECT customer_id, buckets, bucket FROM sku_bucket",
+    "token_buckets_table": """SELECT l_orderkey, COALESCE(STRING_AGG(DISTINCT p_brand, '|' ORDER BY p_brand), '') AS brands,
+      CAST(COUNT(DISTINCT p_brand) AS INT) AS n_brands FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""",
     "bucket_match": f"WITH {CUST},{TOKENS} SELECT customer_id, CAST({MATCH} AS INT) AS \"match\" FROM sku_bucket",
     "code_group": f"""WITH o AS (SELECT o_orderkey, NULLIF(o_orderpriority, '1-URGENT') AS code FROM orders)
       SELECT o_orderkey, {CODE.format('code')} AS code_any_case, CASE WHEN code IS NULL THEN 'none'

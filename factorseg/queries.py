@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factorseg.config import SegmentConfig
 from factorseg.functions import columns as C
+from factorseg.operators.dictionary import token_buckets_from
 from factorseg.operators import agreement, assoc, density, encode, famd, famd_wide, joins, kmeans, profile, quality, silhouette
 from factorseg.plans import cleaning, first_generation, outputs, report, segmentation, stability
 from factorseg.sources import customers as cust
@@ -96,6 +97,17 @@ def token_buckets(spark, folder):
         "customer_id", F.concat_ws("|", "b").alias("buckets"), C.collapse_buckets("b").alias("bucket"))
 
 
+@query
+def token_buckets_table(spark, folder):
+    """Brands of each order's parts; the dictionary is the whole part table."""
+    t = parquet_tables(spark, folder)
+    codes = F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ", ")
+    orders = t("lineitem").groupBy("l_orderkey").agg(codes.alias("codes"))
+    table = t("part").select(F.col("p_partkey").cast("string").alias("code"), "p_brand")
+    return token_buckets_from(orders, "codes", table, "code", "p_brand", "brands").select(
+        "l_orderkey", F.concat_ws("|", "brands").alias("brands"), F.size("brands").alias("n_brands"))
+
+
 @query
 def bucket_match(spark, folder):
     df = _customers(spark, folder)
