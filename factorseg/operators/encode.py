@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factorseg.functions.columns import number, number_filled
+from factorseg.operators.dictionary import table_lookup
 from factorseg.operators.joins import SMALL_ROWS
 from factorseg.operators.lineage import cut_lineage
 
@@ -72,6 +73,31 @@ def one_hot_drop_first(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *new)
 
 
+def one_hot_sparse(df: DataFrame, columns: Sequence[str], out: str = "indices") -> tuple[DataFrame, int]:
+    """(``df`` with ``out``, width): the one-hot matrix row by row, as the ascending numbers of its ones, for any number of levels.
+
+    The matrix columns are those of ``one_hot_drop_first``: the sorted levels of each column but the first, column by column.
+    Levels stay in tables; the driver sees one count a column. Null and the first level have no one; no rows give width 0.
+    """
+    codes, width = [], 0
+    for i, c in enumerate(columns):
+        distinct = df.select(F.col(c).alias("level")).filter("level IS NOT NULL").distinct()
+        levels = with_row_index(distinct, ["level"], "code")
+        code = f"_one_{i}"
+        df = table_lookup(df, c, levels.filter("code > 0"), "level", "code", code)
+        codes.append(F.col(code) + (width - 1))
+        width += max(levels.count() - 1, 0)
+    return (df.withColumn(out, F.array_compact(F.array(*codes)))
+            .drop(*[f"_one_{i}" for i in range(len(columns))])), width
+
+
+def sparse_cross_products(df: DataFrame, indices: str = "indices") -> DataFrame:
+    """(i, j, n) with i <= j: the non-zero cells of the matrix' cross products, pairs formed inside each row and combined in tasks."""
+    ones = df.select(F.explode(indices).alias("i"), F.col(indices).alias("all"))
+    pairs = ones.select("i", F.explode(F.filter("all", lambda j: j >= F.col("i"))).alias("j"))
+    return pairs.groupBy("i", "j").agg(F.count("*").alias("n"))
+
+
 def zscore(df: DataFrame, columns: Sequence[str], ddof: int = 0, null_as_zero: bool = True) -> DataFrame:
     """Standardise in place with the population (ddof=0) or sample (ddof=1) deviation.
 

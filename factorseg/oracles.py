@@ -144,6 +144,13 @@ def profile_sql(head: str, source: str, cluster: str, cats, nums, match=None, pr
     return f"{head}, {', '.join(parts)} SELECT {', '.join(cols)} FROM base{joins}"
 
 
+ONES = """
+coded AS (SELECT o_orderkey, DENSE_RANK() OVER (ORDER BY o_orderstatus) - 1 AS a, DENSE_RANK() OVER (ORDER BY o_orderpriority) - 1 AS b,
+    DENSE_RANK() OVER (ORDER BY o_custkey) - 1 AS c FROM orders),
+top AS (SELECT MAX(a) AS na, MAX(b) AS nb FROM coded),
+ones AS (SELECT o_orderkey, LIST_FILTER([CASE WHEN a > 0 THEN a - 1 END, CASE WHEN b > 0 THEN na + b - 1 END,
+    CASE WHEN c > 0 THEN na + nb + c - 1 END], lambda x: x IS NOT NULL) AS ones FROM coded, top)"""
+
 PROFILE_CATS = ["quiz_result", "bm_pattern", "gi_symptom_cat", "acquisition_code_group", "gender_cat", "first_sku_bucket"]
 PROFILE_NUMS = ["order_count", "days_since_last_order", "symptom_count", "gut_issue_score", "high_stress",
                 "refund_count", "quiz_reco_match", "net_ltv", "avg_order_value", "gross_ltv"]
@@ -286,6 +293,9 @@ ORACLES: dict[str, str] = {
     "token_buckets": f"WITH {CUST},{TOKENS} SELECT customer_id, buckets, bucket FROM sku_bucket",
     "token_buckets_table": """SELECT l_orderkey, COALESCE(STRING_AGG(DISTINCT p_brand, '|' ORDER BY p_brand), '') AS brands,
       CAST(COUNT(DISTINCT p_brand) AS INT) AS n_brands FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""",
+    "one_hot_sparse": f"WITH {ONES} SELECT o_orderkey, ARRAY_TO_STRING(ones, ',') AS ones FROM ones",
+    "sparse_cross_products": f"""WITH {ONES}, i AS (SELECT ones, UNNEST(ones) AS i FROM ones),
+      ij AS (SELECT i, UNNEST(ones) AS j FROM i) SELECT i, j, COUNT(*) AS n FROM ij WHERE j >= i GROUP BY i, j""",
     "bucket_match": f"WITH {CUST},{TOKENS} SELECT customer_id, CAST({MATCH} AS INT) AS \"match\" FROM sku_bucket",
     "code_group": f"""WITH o AS (SELECT o_orderkey, NULLIF(o_orderpriority, '1-URGENT') AS code FROM orders)
       SELECT o_orderkey, {CODE.format('code')} AS code_any_case, CASE WHEN code IS NULL THEN 'none'

@@ -108,6 +108,21 @@ def token_buckets_table(spark, folder):
         "l_orderkey", F.concat_ws("|", "brands").alias("brands"), F.size("brands").alias("n_brands"))
 
 
+@query
+def one_hot_sparse(spark, folder):
+    """The one-hot matrix of all orders, one column a customer too, as the numbers of the ones in each row."""
+    o = parquet_tables(spark, folder)("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    rows, _ = encode.one_hot_sparse(o, ["o_orderstatus", "o_orderpriority", "o_custkey"])
+    return rows.select("o_orderkey", F.concat_ws(",", F.col("indices").cast("array<string>")).alias("ones"))
+
+
+@query
+def sparse_cross_products(spark, folder):
+    """Cross products of that matrix: how often two levels meet."""
+    o = parquet_tables(spark, folder)("orders").select("o_orderstatus", "o_orderpriority", "o_custkey")
+    return encode.sparse_cross_products(encode.one_hot_sparse(o, ["o_orderstatus", "o_orderpriority", "o_custkey"])[0])
+
+
 @query
 def bucket_match(spark, folder):
     df = _customers(spark, folder)
