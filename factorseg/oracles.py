@@ -279,6 +279,21 @@ def variance_sql(target: float) -> str:
       k AS (SELECT *, LEAST(GREATEST(COALESCE(MIN(CASE WHEN cumulative >= {target} THEN pos END) OVER (), len), 2), len) AS keep FROM c)"""
 
 
+ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+LINE_TYPES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+              "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+              "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+
+
+def profile_top_sql(table: str, types: dict, top: int) -> str:
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS col, '{t}' AS data_type, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n "
+                                f"FROM {table} GROUP BY {c}" for c, t in types.items())
+    return f"""WITH u AS ({counts}),
+      r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, value NULLS FIRST) AS rk FROM u)
+      SELECT col AS "column", data_type, CAST(rk AS INT) AS rank, value, n FROM r WHERE rk <= {top}"""
+
+
 ORACLES: dict[str, str] = {
     "typed_projection": """
       WITH t AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal < 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END AS t FROM customer)
@@ -337,9 +352,8 @@ ORACLES: dict[str, str] = {
         CAST(b.n - a.n AS DOUBLE) AS delta FROM a FULL OUTER JOIN b ON a.c = b.c""",
     "value_counts_share": """SELECT l_quantity AS value, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 8) AS share
       FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_quantity""",
-    "column_profile_top10": f"""WITH u AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM orders GROUP BY 1, 2" for c in ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'])}),
-      r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, value NULLS FIRST) AS rk FROM u)
-      SELECT col AS "column", CAST(rk AS INT) AS rank, value, n FROM r WHERE rk <= 10""",
+    "column_profile_top10": profile_top_sql("orders", ORDER_TYPES, 10),
+    "column_profile_lineitem": profile_top_sql("lineitem", LINE_TYPES, 10),
     "cluster_sizes": "SELECT l_returnflag, COUNT(*) AS n_customers FROM lineitem GROUP BY 1",
     "profile_by_group": profile_sql(f"WITH {CUST}, {TIDY}", "tidy", "segment", ["region", "first_status", "first_sku"], NUMS, promo="first_priority"),
     "group_medians": " UNION ALL ".join(

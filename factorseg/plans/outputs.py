@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factorseg.config import CleaningSpec, SegmentConfig
 from factorseg.operators.assoc import matrix_wide
 from factorseg.operators.famd import FamdModel, fit_famd, prune_list, ranked_contributions
-from factorseg.operators.quality import column_profile
+from factorseg.operators.heavy_hitters import frequent_values
 from factorseg.plans.cleaning import prepare_types_keep_nulls, prepared_rows
 from factorseg.plans.report import (factor_correlation_report, persona_lines, run_summary, summary_lines, value_comparison,
                                     value_summary)
@@ -93,7 +93,7 @@ def correlation_lines(scores: DataFrame, tag: str) -> DataFrame:
 def schema_lines(df: DataFrame, top: int = 10) -> DataFrame:
     """(line_no, line): every column with its type and its most frequent values, as text."""
     at = F.element_at(F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))]), F.col("column"))
-    profile = column_profile(df, top)
+    profile = frequent_values(df, top)
     heads = profile.filter("rank = 1").select((at * (top + 1)).alias("line_no"), F.concat("column", F.lit(" ("), "data_type", F.lit(")")).alias("line"))
     values = profile.select((at * (top + 1) + F.col("rank")).alias("line_no"), F.concat(
         F.lit("  "), F.coalesce("value", F.lit("null")), F.lit(": "), F.col("n").cast("string")).alias("line"))

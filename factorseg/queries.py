@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factorseg.config import SegmentConfig
 from factorseg.functions import columns as C
 from factorseg.operators.dictionary import token_buckets_from
-from factorseg.operators import agreement, assoc, density, encode, famd, famd_wide, joins, kmeans, profile, quality, silhouette
+from factorseg.operators import agreement, assoc, density, encode, famd, famd_wide, heavy_hitters, joins, kmeans, profile, quality, silhouette
 from factorseg.plans import cleaning, first_generation, outputs, report, segmentation, stability
 from factorseg.sources import customers as cust
 from factorseg.sources.customers import customer_frame, parquet_tables, raw_customers, sample_spec
@@ -278,8 +278,12 @@ def value_counts_share(spark, folder):
 
 @query
 def column_profile_top10(spark, folder):
-    return quality.column_profile(parquet_tables(spark, folder)("orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 10).drop("data_type")
+    return heavy_hitters.frequent_values(parquet_tables(spark, folder)("orders"), 10)
+
+
+@query
+def column_profile_lineitem(spark, folder):
+    return heavy_hitters.frequent_values(parquet_tables(spark, folder)("lineitem"), 10)
 
 
 @query
