@@ -11,6 +11,7 @@ from factorseg.config import CleaningSpec, SegmentConfig
 from factorseg.operators.assoc import matrix_wide
 from factorseg.operators.famd import FamdModel, fit_famd, prune_list, ranked_contributions
 from factorseg.operators.heavy_hitters import frequent_values
+from factorseg.plans import catalogue
 from factorseg.plans.cleaning import prepare_types_keep_nulls, prepared_rows
 from factorseg.plans.report import (factor_correlation_report, persona_lines, run_summary, summary_lines, value_comparison,
                                     value_summary)
@@ -60,12 +61,9 @@ def pass_tables(r: PassResult) -> dict[str, DataFrame]:
     }
 
 
-def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet", mode: str = "errorifexists",
-              base: DataFrame | None = None, cfg: SegmentConfig = SegmentConfig()) -> list[str]:
-    """All tables of all passes, the comparison, persona and factor-correlation texts, and with ``base`` the run summary.
-
-    Returns the names written.
-    """
+def run_outputs(results: dict[str, PassResult], base: DataFrame | None = None,
+                cfg: SegmentConfig = SegmentConfig()) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """All tables of all passes with the comparison, and the persona, factor-correlation and, with ``base``, run-summary texts."""
     tables = {name: df for r in results.values() for name, df in pass_tables(r).items()}
     tables["clustering_value_comparison"] = value_comparison({t: r.profiles for t, r in results.items()})
     texts = {f"{t}_personas": persona_lines(r.profiles, t) for t, r in results.items()}
@@ -73,6 +71,13 @@ def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet",
     if base is not None:
         spark = base.sparkSession
         texts["run_summary"] = summary_lines(spark, run_summary(results, base.count(), len(base.columns) - 1, cfg))
+    return tables, texts
+
+
+def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet", mode: str = "errorifexists",
+              base: DataFrame | None = None, cfg: SegmentConfig = SegmentConfig()) -> list[str]:
+    """Every output of a run under its name in ``folder``; returns the names written."""
+    tables, texts = run_outputs(results, base, cfg)
     for name, df in tables.items():
         write_table(df, f"{folder}/{name}", fmt, mode)
     for name, lines in texts.items():
@@ -80,6 +85,15 @@ def write_run(results: dict[str, PassResult], folder: str, fmt: str = "parquet",
     return [*tables, *texts]
 
 
+def publish_run(results: dict[str, PassResult], folder: str, base: DataFrame, cfg: SegmentConfig = SegmentConfig(),
+                raw: DataFrame | None = None, fmt: str = "parquet") -> int:
+    """The outputs of a run as one entry of the catalogue in ``folder``, run summary included; with ``raw`` its schema summary too."""
+    tables, texts = run_outputs(results, base, cfg)
+    if raw is not None:
+        texts["schema_summary"] = schema_lines(raw)
+    return catalogue.publish(base.sparkSession, folder, tables, texts, fmt)
+
+
 def correlation_lines(scores: DataFrame, tag: str) -> DataFrame:
     """(line_no, line): the factor-correlation summary of one pass as text."""
     summary = factor_correlation_report(scores, tag)[1]
