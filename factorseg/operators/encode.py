@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factorseg.functions.columns import number, number_filled
 from factorseg.operators.dictionary import table_lookup
@@ -39,6 +39,30 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], out: str = "cus
     return marked.withColumn(out, first + inside).drop("_mid")
 
 
+def with_file_row_index(df: DataFrame, out: str = "customer_index") -> DataFrame:
+    """0..n-1 in the order of the lines in the files, files by path; ``df`` is a table as a file reader gives it.
+
+    No column is sorted: a reader's task keeps the order of lines in each block of a file, and a block knows its file and where it
+    starts. The index is the place in the block plus the rows of the blocks before it. There is one row of sizes for each block,
+    as many as the splits that the reader plans. A column named like ``out`` is replaced; an empty table gives no rows; a table that
+    does not come from files is an error of the reader's metadata column.
+    """
+    kept = [c for c in df.columns if c != out]
+    marked = cut_lineage(df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid")))
+    blocks = marked.groupBy("file", "block").agg(F.min("mid").alias("first"), F.count("*").alias("n"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    # one row a file passes this window
+    ahead = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    starts = blocks.withColumn("inside", F.coalesce(F.sum("n").over(in_file), F.lit(0))).join(ahead, "file").select(
+        "file", "block", "first", (F.col("ahead") + F.col("inside")).alias("start"))
+    return marked.join(starts, ["file", "block"]).select(
+        *[F.col("row").getField(c).alias(c) for c in kept], (F.col("mid") - F.col("first") + F.col("start")).alias(out))
+
+
 def sorted_levels(df: DataFrame, column: str, limit: int | None = None) -> list | None:
     """The sorted distinct values, or None when there are more than ``limit``."""
     rows = df.select(column).filter(F.col(column).isNotNull()).distinct()

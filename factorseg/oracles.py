@@ -329,6 +329,8 @@ ORACLES: dict[str, str] = {
     "flag_fill": f"""WITH {CUST} SELECT customer_id, CASE WHEN acctbal > 2500 THEN 1 ELSE 0 END AS is_rich,
       CASE WHEN refund_count > 10 THEN 1 ELSE 0 END AS refund_flag, 0 AS sx_far, order_count AS flag_other FROM cust""",
     "row_index": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS customer_index FROM orders",
+    # the file is ordered by key
+    "row_index_by_file": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS customer_index FROM orders",
     "flag_filter": f"WITH {CUST},{RAW} SELECT customer_id, quiz_taker FROM raw WHERE LOWER(quiz_taker) = 'yes'",
     "group_filter": f"""WITH {CUST},{RAW} SELECT customer_id, {CODE.format('ancestor_discount_code')} AS acquisition_code_group
       FROM raw WHERE ancestor_discount_code IS NOT NULL""",

@@ -197,6 +197,12 @@ def row_index(spark, folder):
 
 # ---- filters -----------------------------------------------------------------
 
+@query
+def row_index_by_file(spark, folder):
+    """Row numbers of orders in file order; no column is sorted."""
+    return encode.with_file_row_index(parquet_tables(spark, folder)("orders")).select("o_orderkey", "customer_index")
+
+
 @query
 def flag_filter(spark, folder):
     return cleaning.flag_filter(_raw(spark, folder), "quiz_taker").select("customer_id", "quiz_taker")
