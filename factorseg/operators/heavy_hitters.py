@@ -1,6 +1,6 @@
 """The most frequent values of every column of a wide table, exactly, without shuffling every distinct value.
 
-One pass: each task keeps a Misra-Gries summary a column, at most ``counters`` values with lower bounds of their counts and one
+One pass: each task keeps a Misra-Gries summary a column (batches are cut before they are merged), at most ``counters`` values with lower bounds of their counts and one
 error, the most that any count in the task may be too low by. Bounds and errors add up over tasks. Then, column by column:
 
 - no error: the bounds are the counts, and nothing is read again;
@@ -33,27 +33,31 @@ SUMMARY = "pos int, value string, n long, error long"
 
 def _summaries(counters: int, width: int):
     """Batches of text columns to one summary a column."""
-    def merged(held: dict, batch: dict) -> int:
-        """Add a batch's counts; the count taken off all of them to keep at most ``counters``."""
-        for v, n in batch.items():
-            held[v] = held.get(v, 0) + n
-        if len(held) <= counters:
-            return 0
-        off = sorted(held.values(), reverse=True)[counters]
-        for v in [v for v, n in held.items() if n <= off]:
-            del held[v]
-        for v in held:
-            held[v] -= off
-        return off
+    def cut(counts) -> int:
+        """What has to be taken off all counts so that at most ``counters`` are left."""
+        import numpy as np
+
+        return int(np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]) if len(counts) > counters else 0
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         held, errors = [{} for _ in range(width)], [0] * width
         for batch in batches:
             for i in range(width):
-                counts = batch.column(i).value_counts()
-                errors[i] += merged(held[i], dict(zip(counts.field(0).to_pylist(), counts.field(1).to_pylist())))
+                # a batch is cut before it is merged, so values that come once in it never become Python objects
+                found = batch.column(i).value_counts()
+                counts = found.field(1).to_numpy()
+                off = cut(counts)
+                left = np.flatnonzero(counts > off)
+                for v, n in zip(found.field(0).take(pa.array(left)).to_pylist(), (counts[left] - off).tolist()):
+                    held[i][v] = held[i].get(v, 0) + n
+                errors[i] += off
+                if len(held[i]) > counters:
+                    off = cut(np.fromiter(held[i].values(), np.int64, len(held[i])))
+                    held[i] = {v: n - off for v, n in held[i].items() if n > off}
+                    errors[i] += off
         for i in range(width):
             # the error stands on a row of its own, with no count
             yield pa.RecordBatch.from_arrays([
@@ -70,8 +74,8 @@ def _ranked(counts: DataFrame, top: int) -> DataFrame:
 
 
 def _cells(df: DataFrame, columns: Sequence[str], positions: Sequence[int]) -> DataFrame:
-    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"`{columns[i]}`").cast("string").alias("value"))
-                                        for i in positions])))
+    cells = [F.struct(F.lit(i).alias("pos"), F.col(f"`{columns[i]}`").cast("string").alias("value")) for i in positions]
+    return df.select(F.inline(F.array(*cells))) if len(cells) > 1 else df.select(cells[0].alias("cell")).select("cell.*")
 
 
 def frequent_values(df: DataFrame, top: int = 10, columns: Sequence[str] | None = None, counters: int = COUNTERS) -> DataFrame:
@@ -86,25 +90,32 @@ def frequent_values(df: DataFrame, top: int = 10, columns: Sequence[str] | None
     summary, path = written(texts.mapInArrow(_summaries(counters, len(columns)), SUMMARY))
     bounds = summary.filter("n IS NOT NULL").groupBy("pos", "value").agg(F.sum("n").alias("n"))
     error = summary.filter("n IS NULL").groupBy("pos").agg(F.sum("error").alias("error"))
-    last = _ranked(bounds, top).groupBy("pos").agg(F.min("n").alias("last"), F.count("*").alias("places"))
-    known = error.join(last, "pos")
-    fits = bounds.join(F.broadcast(known.filter("error > 0 AND places = %d AND last > 2 * error" % top)), "pos").filter(
-        F.col("n") >= F.col("last") - F.col("error"))
-    sizes = {r["pos"]: r["size"] for r in fits.groupBy("pos").agg(F.count("*").alias("size")).collect()}
-    exact = [r["pos"] for r in known.filter("error = 0").collect()]
-    again = [p for p, size in sizes.items() if size <= CANDIDATES]
-    whole = [i for i in range(len(columns)) if i not in exact and i not in again]
-    done = _ranked(bounds.filter(F.col("pos").isin(exact)), top).collect() if exact else []
-    values = fits.filter(F.col("pos").isin(again)).select("pos", "value").collect() if again else []
+    # at most ``top`` rows, one error and CANDIDATES + 1 values a column come to the driver
+    errors = {r["pos"]: r["error"] for r in error.collect()}
+    firsts: dict[int, list] = {}
+    for r in _ranked(bounds, top).collect():
+        firsts.setdefault(r["pos"], []).append(r)
+    done = [r for p, places in firsts.items() if errors[p] == 0 for r in places]
+    least = [(p, min(r["n"] for r in places) - errors[p]) for p, places in firsts.items() if errors[p] > 0 and len(places) == top]
+    least = [(p, n) for p, n in least if n > errors[p]]
+    values: dict[int, list] = {}
+    if least:
+        fits = bounds.join(F.broadcast(spark.createDataFrame(least, "pos int, least long")), "pos").filter("n >= least")
+        for r in _ranked(fits, CANDIDATES + 1).collect():
+            values.setdefault(r["pos"], []).append((r["pos"], r["value"]))
+    again = [p for p, of in values.items() if len(of) <= CANDIDATES]
+    counted = {p for p, e in errors.items() if e == 0} | set(again)
+    whole = [i for i in range(len(columns)) if i not in counted]
     drop_written(spark, path)
 
     parts = [spark.createDataFrame(done, "pos int, rank int, value string, n long")]
     if again:
-        wanted = F.broadcast(spark.createDataFrame(values, "p int, v string"))
+        wanted = F.broadcast(spark.createDataFrame([v for p in again for v in values[p]], "p int, v string"))
         seen = _cells(df, columns, again).join(wanted, (F.col("pos") == F.col("p")) & F.col("value").eqNullSafe(F.col("v")))
         parts.append(_ranked(seen.groupBy("pos", "value").agg(F.count("*").alias("n")), top))
-    if whole:
-        parts.append(_ranked(_cells(df, columns, whole).groupBy("pos", "value").agg(F.count("*").alias("n")), top))
+    for i in whole:
+        # each reads its own column, and rows stay as wide as that
+        parts.append(_ranked(_cells(df, columns, [i]).groupBy("pos", "value").agg(F.count("*").alias("n")), top))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
