@@ -18,36 +18,42 @@ def parquet_tables(spark: SparkSession, folder: str) -> Tables:
 def customer_frame(t: Tables) -> DataFrame:
     """Behaviour and value of every customer; the analogue of a wide customer export.
 
-    The order lines are read and shuffled once: each order's sums and part keys (bounded by the lines of one order) join
-    the orders, and one aggregate per customer takes the totals and the earliest order (ties by order key) with its part
-    keys. Customers without orders, nation or region keep their row. ``first_sku`` lists all product types of the first order.
+    Each row that crosses the network carries only what its own sum needs: orders by customer give counts, dates and the
+    earliest order (ties by order key); order lines, summed by order, find their customer through the orders' two keys; part keys
+    are looked up for earliest orders only. All three meet on the customer's key. Customers without orders, nation or region keep
+    their row. ``first_sku`` lists all product types of the first order.
     """
+    first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"))
+    per_customer = t("orders").groupBy(F.col("o_custkey").alias("a_custkey")).agg(
+        F.count("*").cast("double").alias("order_count"),
+        F.max("o_orderdate").alias("last_dt"),
+        F.avg("o_totalprice").alias("avg_order_value"),
+        first.alias("f"))
     per_order = t("lineitem").groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross"),
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("refunds"),
-        F.collect_set("l_partkey").alias("parts"))
-    first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "parts"))
-    per_customer = (
-        t("orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .withColumn("parts", F.array_sort("parts"))
-        .groupBy(F.col("o_custkey").alias("a_custkey")).agg(
-            F.count("*").cast("double").alias("order_count"),
-            F.max("o_orderdate").alias("last_dt"),
-            F.avg("o_totalprice").alias("avg_order_value"),
+        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("refunds"))
+    value = (
+        t("orders").select("o_orderkey", F.col("o_custkey").alias("v_custkey"))
+        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("v_custkey").agg(
             F.sum("gross").alias("gross_ltv"),
             F.sum("net").alias("net_ltv"),
-            F.sum("refunds").cast("double").alias("refund_count"),
-            first.alias("f")))
+            F.sum("refunds").cast("double").alias("refund_count")))
+    # the earliest order alone, so that nothing but its keys goes with the parts
+    earliest = t("orders").groupBy(F.col("o_custkey").alias("s_custkey")).agg(
+        F.min(F.struct("o_orderdate", "o_orderkey")).alias("f")).select("s_custkey", F.col("f.o_orderkey").alias("first_key"))
     first_sku = (
-        per_customer.select(F.col("a_custkey").alias("s_custkey"), F.explode("f.parts").alias("partkey"))
-        .join(t("part"), F.col("p_partkey") == F.col("partkey"))
+        earliest.join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("first_key"))
+        .select("s_custkey", "l_partkey").distinct()
+        .join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
         .groupBy("s_custkey").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("first_sku")))
     return (
         t("customer")
         .join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
         .join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
         .join(per_customer, F.col("a_custkey") == F.col("c_custkey"), "left")
+        .join(value, F.col("v_custkey") == F.col("c_custkey"), "left")
         .join(first_sku, F.col("s_custkey") == F.col("c_custkey"), "left")
         .select(
             F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"),
