@@ -23,8 +23,11 @@ SEED_ROUNDS = 5           # rounds of candidate sampling over all rows
 SEED_FACTOR = 20          # candidates drawn in a round, times the largest k
 SEED_STEPS = 50           # refinement steps of a start on the weighted candidates
 CHUNK_CELLS = 2_000_000   # distances held at once in a task
-TASK_WORK = 3e7           # rows x centres x coordinates worth a task of its own
-DIRECT_ROWS = 20_000      # per-task partial sums are added on the driver up to this many
+CHUNK_ROWS = 512          # rows whose distances to the centres of one k are held at once; they stay near a core's cache
+TASK_WORK = 1e8           # rows x centres x coordinates worth a task of its own
+ROW_WORK = 300            # what it costs to read a row, in the same unit
+PACKED_BYTES = 64 << 20   # of coordinates in one partition of the packed rows
+DIRECT_ROWS = 100_000     # per-task partial sums are added on the driver up to this many
 
 
 @dataclass
@@ -69,9 +72,57 @@ def _nearest(x: np.ndarray, centers: np.ndarray, blocks):
         yield lo, m, k, dist, dist.argmin(axis=2)
 
 
+def packed_rows(df: DataFrame, features: str) -> DataFrame:
+    """(p): the features of each Arrow batch as one binary value, so that a pass reads a row's coordinates as plain memory."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([feature_matrix(batch.column(0)).tobytes()], pa.binary())], ["p"])
+
+    return df.select(features).mapInArrow(task, "p binary")
+
+
+def _matrices(column: pa.Array, d: int) -> Iterator[np.ndarray]:
+    """The rows of a batch of either form: packed, or a list of coordinates each."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        for value in column:
+            yield np.frombuffer(value.as_buffer(), dtype=np.float64).reshape(-1, d)
+    else:
+        yield feature_matrix(column)
+
+
+def _add_sums(x: np.ndarray, centers: np.ndarray, blocks, n: np.ndarray, e: np.ndarray | None, s: np.ndarray) -> None:
+    """Adds the rows' counts, squared errors (if asked for) and coordinate sums to those of their centres; ties go to the first.
+
+    Distances lie centre by centre, so that each step runs along the rows; where a row belongs is a 0/1 matrix, and the sums are
+    its product with the rows.
+    """
+    ones = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    for k, lo, m in blocks:
+        c = centers[lo:lo + m * k]
+        near = (np.concatenate([-2.0 * c, (c * c).sum(axis=1)[:, None]], axis=1) @ ones.T).reshape(m, k, len(x))
+        best = near.min(axis=1)
+        own = near == best[:, None]
+        if np.count_nonzero(own) > m * len(x):  # ties
+            own &= np.cumsum(own, axis=1, dtype=np.int32) == 1
+        near[...] = own
+        if e is not None:
+            best = np.maximum(best + (x * x).sum(axis=1), 0.0)
+            e[lo:lo + m * k] += np.matmul(near, best[:, :, None]).ravel()
+        sums = near.reshape(m * k, len(x)) @ ones
+        s[lo:lo + m * k] += sums[:, :-1]
+        n[lo:lo + m * k] += sums[:, -1]
+
+
+def _tasks(count: int, work: int, partitions: int) -> int:
+    """Tasks worth starting for so many rows and so much work on each; beyond one a core, whole rounds of them."""
+    wanted = int(count * (work + ROW_WORK) / TASK_WORK) + 1
+    return wanted if wanted <= partitions else -(-wanted // partitions) * partitions
+
+
 def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
-          count: int, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, squared error and coordinate sums per centre, over one job.
+          count: int, partitions: int, errors: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, squared error (zeros unless asked for) and coordinate sums per centre, over one job.
 
     Tasks are merged while there is too little work for them. Each task sends one row per
     centre; a few tasks' rows are added on the driver, many tasks' rows by Spark.
@@ -81,19 +132,11 @@ def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, e, s = np.zeros(total), np.zeros(total), np.zeros((total, d))
-        step = max(1, CHUNK_CELLS // total)
+        step = max(1, min(CHUNK_ROWS, CHUNK_CELLS // max(k * m for k, _, m in blocks)))
         for batch in batches:
-            rows = feature_matrix(batch.column(0))
-            for a in range(0, len(rows), step):
-                x = rows[a:a + step]
-                for lo, m, k, dist, label in _nearest(x, centers, blocks):
-                    size = m * k
-                    ids = (label + np.arange(m) * k).ravel()
-                    best = np.take_along_axis(dist, label[:, :, None], axis=2).ravel()
-                    n[lo:lo + size] += np.bincount(ids, minlength=size)
-                    e[lo:lo + size] += np.bincount(ids, weights=best, minlength=size)
-                    for j in range(d):
-                        s[lo:lo + size, j] += np.bincount(ids, weights=np.repeat(x[:, j], m), minlength=size)
+            for rows in _matrices(batch.column(0), d):
+                for a in range(0, len(rows), step):
+                    _add_sums(rows[a:a + step], centers, blocks, n, e if errors else None, s)
         used = np.flatnonzero(n)
         if len(used):
             yield pa.RecordBatch.from_arrays(
@@ -102,19 +145,16 @@ def _pass(df: DataFrame, features: str, models: Sequence[np.ndarray],
 
     names = ["center", "n", "e"] + [f"s{j}" for j in range(d)]
     schema = "center int, " + ", ".join(f"{c} double" for c in names[1:])
-    wanted = int(count * total * d / TASK_WORK) + 1
-    rows_df = df.select(features)
-    if wanted < partitions:
-        rows_df = rows_df.coalesce(wanted)
-    parts = rows_df.mapInArrow(task, schema)
+    wanted = _tasks(count, total * d, partitions)
+    parts = df.select(features).coalesce(wanted).mapInArrow(task, schema)
     if wanted * total > DIRECT_ROWS:
         parts = parts.groupBy("center").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    n, e, s = np.zeros(total), np.zeros(total), np.zeros((total, d))
-    for r in parts.collect():
-        i = r["center"]
-        n[i] += r["n"]
-        e[i] += r["e"]
-        s[i] += [r[f"s{j}"] for j in range(d)]
+    got = parts.toArrow()
+    at = got.column("center").to_numpy()
+    n, e, s = (np.bincount(at, weights=got.column("n").to_numpy(), minlength=total),
+               np.bincount(at, weights=got.column("e").to_numpy(), minlength=total), np.zeros((total, d)))
+    for j in range(d):
+        s[:, j] = np.bincount(at, weights=got.column(f"s{j}").to_numpy(), minlength=total)
     return n, e, s
 
 
@@ -150,7 +190,7 @@ def seed_candidates(df: DataFrame, features: str, id_col: str, k: int, seed: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))],
                                                  ["key", "c"])
 
-        drawn = df.select(features, unit(i)).mapInArrow(task, "key double, c array<double>").orderBy("key", "c").limit(draw).collect()
+        drawn = df.select(features, unit(i)).coalesce(_tasks(count, pool.size, partitions)).mapInArrow(task, "key double, c array<double>").orderBy("key", "c").limit(draw).collect()
         if not drawn:
             break
         pool = np.unique(np.concatenate([pool, np.array([r["c"] for r in drawn])]), axis=0)
@@ -244,8 +284,10 @@ def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, see
     kept = _distinct(ids, centers, list(range(len(ids))), scale)
     iterations = [0] * len(ids)
     active = list(kept)
+    # one partition a core, or more where that would hold over PACKED_BYTES
+    packed = packed_rows(df, features).coalesce(max(partitions, spread["n"] * d * 8 // PACKED_BYTES)).persist()
     for _ in range(max_iter):
-        n, _e, s = _pass(df, features, [centers[i] for i in active], spread["n"], partitions)
+        n, _e, s = _pass(packed, "p", [centers[i] for i in active], spread["n"], partitions, errors=False)
         at, still = 0, []
         for i in active:
             k = ids[i][0]
@@ -263,7 +305,8 @@ def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, see
         kept = [i for i in kept if i in done or i not in set(still) - set(active)]
         if not active:
             break
-    _n, e, _s = _pass(df, features, [centers[i] for i in kept], spread["n"], partitions)
+    _n, e, _s = _pass(packed, "p", [centers[i] for i in kept], spread["n"], partitions)
+    packed.unpersist()
     best: dict[int, KMeansModel] = {}
     at = 0
     for (k, i), c, it in [(ids[j], centers[j], iterations[j]) for j in kept]:

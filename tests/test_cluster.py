@@ -145,3 +145,25 @@ def test_projection_matches_svd(spark, blobs):
     centred = x - x.mean(axis=0)
     want = centred @ np.linalg.svd(centred, full_matrices=False)[2].T
     assert np.abs(got) == pytest.approx(np.abs(want[:, :2]), abs=1e-8)
+
+
+def test_packed_rows_give_the_same_sums_and_ties_go_to_the_first_centre(blobs):
+    df, x = blobs
+    models = [x[:3], np.array([[0.0, 0, 0], [2.0, 0, 0], [0.0, 0, 0]])]
+    plain = kmeans._pass(df, "features", models, len(x), 6)
+    packed = kmeans._pass(kmeans.packed_rows(df, "features"), "p", models, len(x), 6)
+    assert all(np.allclose(a, b) for a, b in zip(plain, packed))
+    square = ((x[:, None] - np.concatenate(models)[None]) ** 2).sum(axis=2)
+    for lo in (0, 3):
+        label = square[:, lo:lo + 3].argmin(axis=1)
+        assert (plain[0][lo:lo + 3] == np.bincount(label, minlength=3)).all()
+        assert plain[1][lo:lo + 3].sum() == pytest.approx(square[:, lo:lo + 3].min(axis=1).sum())
+    assert plain[0][5] == 0
+    ties = kmeans._pass(df.limit(0).union(df.sparkSession.createDataFrame([(1, [1.0, 0.0, 0.0])], df.schema)), "features", [models[1]], 1, 2)
+    assert list(ties[0]) == [1, 0, 0] and list(ties[1]) == [1, 0, 0]
+
+
+def test_little_work_takes_few_tasks_and_much_work_whole_rounds():
+    assert kmeans._tasks(90_000, 100, 12) == 1
+    assert kmeans._tasks(90_000, 15_000, 12) % 12 == 0
+    assert kmeans._tasks(10 ** 9, 15_000, 12) % 12 == 0
