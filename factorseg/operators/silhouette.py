@@ -30,16 +30,19 @@ def silhouettes(df: DataFrame, features: str, labels: str, metric: str = "square
     """Mean silhouette for each entry of the ``labels`` array column (labels 0..k-1)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    points = df.groupBy(F.col(features).alias("f"), F.col(labels).alias("l")).agg(F.count("*").alias("w")).persist()
+    rows = df.select(F.col(features).alias("f"), F.col(labels).alias("l"))
+    if metric == "squared_euclidean":
+        points = rows.withColumn("w", F.lit(1).cast("bigint")).persist()  # linear: equal points need not meet
+    else:
+        points = rows.groupBy("f", "l").agg(F.count("*").alias("w")).persist()
     try:
         one = points.first()
         if one is None:
             return []
         d, n_label = len(one["f"]), len(one["l"])
-        sizes = _sizes(points, n_label)
         if metric == "squared_euclidean":
-            return _squared(points, d, sizes)
-        return _euclidean(points, d, sizes, points.count())
+            return _squared(points, d, n_label)
+        return _euclidean(points, d, _sizes(points, n_label), points.count())
     finally:
         points.unpersist()
 
@@ -55,6 +58,10 @@ def silhouette(df: DataFrame, features: str, label: str, metric: str = "squared_
 def _sizes(points: DataFrame, n_label: int) -> list[np.ndarray]:
     rows = (points.select("w", F.posexplode("l").alias("labeling", "cluster"))
             .groupBy("labeling", "cluster").agg(F.sum("w").alias("n")).collect())
+    return _by_cluster(rows, n_label)
+
+
+def _by_cluster(rows, n_label: int) -> list[np.ndarray]:
     out = []
     for i in range(n_label):
         mine = {r["cluster"]: r["n"] for r in rows if r["labeling"] == i}
@@ -105,10 +112,14 @@ def _euclidean(points: DataFrame, d: int, sizes: list[np.ndarray], count: int) -
     n_label, widths = len(sizes), [len(s) for s in sizes]
     offset = np.concatenate([[0], np.cumsum(widths)]).astype(int)
 
-    def unpack(row):
-        w = np.array(row["w"], dtype=float)
-        return (np.array(row["f"], dtype=float).reshape(len(w), d),
-                np.array(row["l"], dtype=int).reshape(len(w), n_label), w)
+    def unpack(batch):
+        """(target, kind, points) of each row; coordinates never become Python numbers."""
+        target, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ends = [batch.column(i).offsets.to_numpy() for i in (2, 3, 4)]
+        flat = [batch.column(i).values.to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
+        for i in range(len(batch)):
+            f, l, w = (v[e[i]:e[i + 1]] for v, e in zip(flat, ends))
+            yield target[i], kind[i], (f.astype(float).reshape(len(w), d), l.astype(int).reshape(len(w), n_label), w.astype(float))
 
     def one_hot(labels, w):
         z = np.zeros((len(w), offset[-1]))
@@ -144,17 +155,17 @@ def _euclidean(points: DataFrame, d: int, sizes: list[np.ndarray], count: int) -
                 finish(*mine, sums, totals)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["target"] != target:
+            for to, kind, points in unpack(batch):
+                if to != target:
                     close_target()
-                    target, held, mine, sums, waiting = row["target"], [], None, None, []
-                if row["kind"] == 0:
-                    held.append(unpack(row))
+                    target, held, mine, sums, waiting = to, [], None, None, []
+                if kind == 0:
+                    held.append(points)
                     continue
                 if mine is None:
                     mine = tuple(np.concatenate([h[i] for h in held]) for i in range(3))
                     sums = np.zeros((len(mine[2]), offset[-1]))
-                waiting.append(unpack(row))
+                waiting.append(points)
                 if sum(len(p[2]) for p in waiting) >= 1024:
                     add(waiting)
                     waiting = []
@@ -164,13 +175,14 @@ def _euclidean(points: DataFrame, d: int, sizes: list[np.ndarray], count: int) -
     return _result(streams.mapInArrow(task, "labeling int, s double"), sizes)
 
 
-def _squared(points: DataFrame, d: int, sizes: list[np.ndarray]) -> list[float]:
+def _squared(points: DataFrame, d: int, n_label: int) -> list[float]:
     """Sum over a cluster of ||x - y||^2 = n ||x||^2 - 2 x.sum(y) + sum ||y||^2."""
     square = sum((F.col("f")[j] * F.col("f")[j] for j in range(1, d)), F.col("f")[0] * F.col("f")[0])
     rows = (points.select("w", "f", F.posexplode("l").alias("labeling", "cluster"))
             .groupBy("labeling", "cluster")
-            .agg(F.sum(F.col("w") * square).alias("q"),
+            .agg(F.sum("w").alias("n"), F.sum(F.col("w") * square).alias("q"),
                  *[F.sum(F.col("w") * F.col("f")[j]).alias(f"s{j}") for j in range(d)]).collect())
+    sizes = _by_cluster(rows, n_label)
     norm = [np.zeros(len(s)) for s in sizes]
     total = [np.zeros((len(s), d)) for s in sizes]
     for r in rows:

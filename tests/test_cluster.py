@@ -167,3 +167,13 @@ def test_little_work_takes_few_tasks_and_much_work_whole_rounds():
     assert kmeans._tasks(90_000, 100, 12) == 1
     assert kmeans._tasks(90_000, 15_000, 12) % 12 == 0
     assert kmeans._tasks(10 ** 9, 15_000, 12) % 12 == 0
+
+
+def test_linear_silhouette_does_not_shuffle_points(spark, blobs, monkeypatch):
+    df, x = blobs
+    seen = []
+    inner = silhouette._squared
+    monkeypatch.setattr(silhouette, "_squared", lambda points, *rest: seen.append(points._jdf.queryExecution().optimizedPlan().toString()) or inner(points, *rest))
+    labelled = kmeans.assign_all(df, "features", [kmeans.KMeansModel(2, x[:2], 0.0, 0, 0)])
+    silhouette.silhouettes(labelled, "features", "labels")
+    assert seen and "Aggregate" not in seen[0]
