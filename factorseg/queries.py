@@ -28,9 +28,10 @@ def query(f: Query) -> Query:
     return f
 
 
-def _customers(spark: SparkSession, folder: str, cached: bool = False) -> DataFrame:
-    """``cached`` for operators that read the frame several times."""
+def _customers(spark: SparkSession, folder: str, cached: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``cached`` for operators that read the frame several times; only ``columns``, if given, are carried and held."""
     df = customer_frame(parquet_tables(spark, folder))
+    df = df.select(*columns) if columns else df
     return df.persist() if cached else df
 
 
@@ -38,8 +39,9 @@ def _filled(df: DataFrame) -> DataFrame:
     return cleaning.prepare_types(df, CATS, NUMS)
 
 
-def _raw(spark: SparkSession, folder: str, cached: bool = False) -> DataFrame:
+def _raw(spark: SparkSession, folder: str, cached: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     df = raw_customers(parquet_tables(spark, folder))
+    df = df.select(*columns) if columns else df
     return df.persist() if cached else df
 
 
@@ -158,25 +160,25 @@ def share_labels(spark, folder):
 
 @query
 def ordinal_codes(spark, folder):
-    df = _customers(spark, folder, cached=True)
-    return encode.ordinal_codes(df.select("customer_id", "first_sku"), "first_sku", "code").select("customer_id", "code")
+    df = _customers(spark, folder, cached=True, columns=("customer_id", "first_sku"))
+    return encode.ordinal_codes(df, "first_sku", "code").select("customer_id", "code")
 
 
 @query
 def one_hot_drop_first(spark, folder):
-    df = _customers(spark, folder, cached=True).select("customer_id", "region", "first_status")
+    df = _customers(spark, folder, cached=True, columns=("customer_id", "region", "first_status"))
     return encode.one_hot_drop_first(df, ["region", "first_status"])
 
 
 @query
 def zscore_pop(spark, folder):
-    df = _customers(spark, folder, cached=True).select("customer_id", "acctbal", "order_count")
+    df = _customers(spark, folder, cached=True, columns=("customer_id", "acctbal", "order_count"))
     return _rounded(encode.zscore(df, ["acctbal", "order_count"], ddof=0), 6, "acctbal", "order_count")
 
 
 @query
 def zscore_sample(spark, folder):
-    df = _customers(spark, folder, cached=True).select("customer_id", "acctbal", "net_ltv")
+    df = _customers(spark, folder, cached=True, columns=("customer_id", "acctbal", "net_ltv"))
     return _rounded(encode.zscore(df, ["acctbal", "net_ltv"], ddof=1), 6, "acctbal", "net_ltv")
 
 
@@ -311,13 +313,13 @@ def _holed_profile(df: DataFrame) -> DataFrame:
 
 @query
 def profile_skip_null(spark, folder):
-    df = _holed_profile(_customers(spark, folder, cached=True))
+    df = _holed_profile(_customers(spark, folder, cached=True, columns=("region", "segment", "acctbal", "refund_count")))
     return profile.cluster_profile(df, "region", ["segment"], ["acctbal", "refund_count"], null_as_zero=False)
 
 
 @query
 def profile_null_as_zero(spark, folder):
-    df = _holed_profile(_customers(spark, folder, cached=True))
+    df = _holed_profile(_customers(spark, folder, cached=True, columns=("region", "segment", "acctbal", "refund_count")))
     return profile.cluster_profile(df, "region", ["segment"], ["acctbal", "refund_count"])
 
 
@@ -809,14 +811,14 @@ def persona_text(spark, folder):
 
 @query
 def encoded_matrix(spark, folder):
-    raw = _raw(spark, folder, cached=True).withColumn("is_large", F.when(F.col("net_ltv") > 2e6, 1))
+    # only columns this query encodes are carried; ``is_large``, from the net value, is covered too thinly and must go
+    keep = ("customer_id", "quiz_taker", "quiz_result", "ancestor_discount_code", "order_count",
+            "days_since_last_order", "symptom_count", "high_stress")
+    raw = _raw(spark, folder, cached=True, columns=(*keep, "net_ltv")).withColumn("is_large", F.when(F.col("net_ltv") > 2e6, 1))
     spec = first_generation.EncodingSpec(name_map={" FURNITURE ": "Furniture", " HOUSEHOLD ": "Household"},
                                          codes=cust.PRIORITY_CODES, encode=("quiz_result", "acquisition_code_group"),
                                          scale=("order_count", "days_since_last_order", "symptom_count"))
-    # only columns this query encodes stay; ``is_large`` is covered too thinly and must go
-    keep = ["customer_id", "quiz_taker", "quiz_result", "ancestor_discount_code", "order_count",
-            "days_since_last_order", "symptom_count", "high_stress", "is_large"]
-    out = first_generation.encode_rows(first_generation.prepare_rows(raw.select(*keep), spec), spec)
+    out = first_generation.encode_rows(first_generation.prepare_rows(raw.select(*keep, "is_large"), spec), spec)
     out = _rounded(out, 6, "order_count", "days_since_last_order", "symptom_count")
     return out.toDF(*[c.strip().replace(" ", "").replace("-", "_").lower() for c in out.columns])
 

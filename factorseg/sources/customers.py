@@ -19,8 +19,8 @@ def customer_frame(t: Tables) -> DataFrame:
     """Behaviour and value of every customer; the analogue of a wide customer export.
 
     Each row that crosses the network carries only what its own sum needs: orders by customer give counts, dates and the
-    earliest order (ties by order key); order lines, summed by order, find their customer through the orders' two keys; part keys
-    are looked up for earliest orders only. All three meet on the customer's key. Customers without orders, nation or region keep
+    earliest order (ties by order key); order lines, summed by order, find their customer through the orders' two keys; part keys are looked up
+    for earliest orders only. All three meet on the customer's key. Customers without orders, nation or region keep
     their row. ``first_sku`` lists all product types of the first order.
     """
     first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"))
@@ -29,10 +29,13 @@ def customer_frame(t: Tables) -> DataFrame:
         F.max("o_orderdate").alias("last_dt"),
         F.avg("o_totalprice").alias("avg_order_value"),
         first.alias("f"))
-    per_order = t("lineitem").groupBy("l_orderkey").agg(
+    # hardly any line of a task shares its order with another: sums made before the shuffle would only be wider than the lines
+    lines = t("lineitem").filter("l_orderkey is not null").select(
+        "l_orderkey", "l_extendedprice", "l_discount", (F.col("l_returnflag") == "R").alias("refund")).repartition("l_orderkey")
+    per_order = lines.groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross"),
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("refunds"))
+        F.sum(F.when(F.col("refund"), 1).otherwise(0)).alias("refunds"))
     value = (
         t("orders").select("o_orderkey", F.col("o_custkey").alias("v_custkey"))
         .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))

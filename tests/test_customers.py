@@ -1,5 +1,6 @@
 import datetime as dt
 
+from factorseg.queries import QUERIES
 from factorseg.sources.customers import customer_frame
 
 
@@ -39,3 +40,20 @@ def test_odd_rows_keep_their_place(spark):
 def test_part_keys_do_not_travel_with_the_sums(spark):
     plan = customer_frame(tables(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set(l_partkey" not in plan
+
+
+def test_lines_are_summed_after_their_shuffle(spark):
+    plan = customer_frame(tables(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_queries_hold_only_the_columns_they_use(spark, tmp_path):
+    made = tables(spark)
+    for name in ("region", "nation", "customer", "orders", "lineitem", "part"):
+        made(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in ("zscore_pop", "ordinal_codes", "one_hot_drop_first"):
+        out = QUERIES[query](spark, str(tmp_path))
+        assert out.count() == 6
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and "l_extendedprice" not in plan, query
+        spark.catalog.clearCache()
