@@ -22,7 +22,7 @@ from factorseg.operators.assoc import PAIRS_PER_JOB
 from factorseg.operators.joins import SMALL_ROWS
 
 LITERAL_LEVELS = 64      # up to here level weights are a literal map, beyond it a broadcast join
-CELLS_PER_ROW = 0.1      # aggregate whole category tuples first when they are this few per row
+CELLS_PER_ROW = 0.1      # aggregate whole category tuples first when they are this few per row of a task
 MAX_CELLS = 1_000_000
 
 
@@ -74,8 +74,9 @@ def mixed_stats(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> Mixe
 
     tuples = float(np.prod([float(v) for v in many.values()])) if cats else 1.0
     products = list(combinations_with_replacement(range(q), 2))
-    if tuples <= max(1.0, min(MAX_CELLS, CELLS_PER_ROW * n)) and len(products) <= PAIRS_PER_JOB:
-        # few distinct tuples: one aggregate over the rows, the rest on its small result
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if tuples <= max(1.0, min(MAX_CELLS, CELLS_PER_ROW * n / tasks)) and len(products) <= PAIRS_PER_JOB:
+        # few distinct tuples, so tasks combine their rows: one aggregate over the rows, the rest on its small result
         cells = z.groupBy(*[f"c{i}" for i in range(p)]).agg(
             F.count("*").alias("w"), *[F.sum(f"z{i}").alias(f"z{i}") for i in range(q)],
             *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"zz{i}_{j}") for i, j in products]).persist()

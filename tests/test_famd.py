@@ -151,3 +151,19 @@ def test_variance_and_prune_tables(spark):
 def test_guards(spark, mixed):
     with pytest.raises(ValueError, match="without variance"):
         famd.mixed_stats(mixed.withColumn("k", F.lit(1.0)), ["a"], ["k"])
+
+
+def test_tuples_are_only_summed_first_where_tasks_combine_them(spark, monkeypatch):
+    rows = [(str(i % 2), str(i // 2 % 2), float(i), float(i * i % 7)) for i in range(100)]
+    df, first = spark.createDataFrame(rows, "a string, b string, x double, y double"), []
+    products = famd._numeric_products
+    monkeypatch.setattr(famd, "_numeric_products", lambda cells, *rest: first.append("zz0_0" in cells.columns) or products(cells, *rest))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("1", "4"):  # 100 rows and 4 tuples a task, then 25 and 4
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(famd.mixed_stats(df, ["a", "b"], ["x", "y"]).matrix)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first == [True, False]
+    np.testing.assert_allclose(found[0], found[1], atol=1e-12)
