@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from factorseg.functions import columns as C
 from factorseg.operators.density import density_clusters
 from factorseg.operators.encode import flag_fill, one_hot_drop_first, pca_projection, zscore
+from factorseg.operators.lineage import cut_lineage
 from factorseg.operators.profile import group_numeric_means, group_value_shares
 from factorseg.operators.quality import coverage_filter
 from factorseg.plans.cleaning import flag_filter
@@ -69,10 +70,13 @@ class DensityRun:
 
 def density_run(raw: DataFrame, spec: EncodingSpec, eps: float, min_samples: int,
                 min_cluster_size: int = 60) -> DensityRun:
-    """Encode, project linearly to two dimensions, cluster by density, attach the clusters."""
-    rows = prepare_rows(raw, spec).persist()
+    """Encode, project linearly to two dimensions, cluster by density, attach the clusters.
+
+    Rows and projection are written once, so the many small jobs after them plan and read those tables, not where they came from.
+    """
+    rows = cut_lineage(prepare_rows(raw, spec))
     encoded = encode_rows(rows, spec)
-    projection = pca_projection(encoded, spec.id_col, matrix_columns(encoded, spec.id_col)).persist()
+    projection = cut_lineage(pca_projection(encoded, spec.id_col, matrix_columns(encoded, spec.id_col)))
     clusters = density_clusters(projection, "pc1", "pc2", eps, min_samples, min_cluster_size, spec.id_col)
     return DensityRun(projection, clusters, rows.join(clusters, spec.id_col))
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from factorseg.operators import density
+from factorseg.plans import first_generation
 
 
 def brute(p, eps, min_samples, min_size):
@@ -41,3 +42,12 @@ def test_long_chain_is_one_cluster(spark):
     df = spark.range(400).selectExpr("id AS customer_id", "id * 0.5D AS x", "0D AS y")
     out = density.density_clusters(df, "x", "y", 0.6, 2, 10)
     assert [tuple(r) for r in out.groupBy("cluster").count().collect()] == [(0, 400)]
+
+
+def test_a_run_goes_on_from_written_tables(spark):
+    rng = np.random.default_rng(3)
+    raw = spark.createDataFrame([(i, "Yes", "ab"[i % 2], float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))],
+                                "customer_id long, quiz_taker string, quiz_result string, order_count double, symptom_count double")
+    run = first_generation.density_run(raw, first_generation.EncodingSpec(), 0.5, 5, 20)
+    assert run.projection.inputFiles() and run.rows.inputFiles()
+    assert run.rows.count() == run.projection.count() == 200
