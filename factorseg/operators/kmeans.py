@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factorseg.operators.lineage import drop_written, written
 from factorseg.operators.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -266,11 +267,21 @@ def _distinct(ids, centers, active: list[int], scale: float) -> list[int]:
 def fit_kmeans(df: DataFrame, features: str, ks: Sequence[int], starts: int, seed: int = 42,
                id_col: str = "customer_id", max_iter: int = 300, tol: float = 1e-4,
                first_start: int = 0) -> dict[int, KMeansModel]:
-    """The lowest-inertia model for each k. ``df`` should be cached: it is read once per iteration.
+    """The lowest-inertia model for each k.
 
-    Start i of k is the same whatever the number of starts, so a search can be extended:
-    ``first_start`` skips the starts that were run before.
+    The ids and coordinates are written once, so an iteration plans and reads that table and not what ``df`` came from.
+    Start i of k is the same whatever the number of starts, so a search can be extended: ``first_start`` skips the starts
+    that were run before.
     """
+    df, path = written(df.select(id_col, features))
+    try:
+        return _fit(df, features, ks, starts, seed, id_col, max_iter, tol, first_start)
+    finally:
+        drop_written(df.sparkSession, path)
+
+
+def _fit(df: DataFrame, features: str, ks: Sequence[int], starts: int, seed: int, id_col: str, max_iter: int, tol: float,
+         first_start: int) -> dict[int, KMeansModel]:
     d = len(df.select(features).first()[0])
     spread = df.agg(F.count("*").alias("n"), *[F.var_pop(F.col(features)[j]).alias(f"v{j}") for j in range(d)]).first()
     if spread["n"] < max(ks):

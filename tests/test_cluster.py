@@ -177,3 +177,17 @@ def test_linear_silhouette_does_not_shuffle_points(spark, blobs, monkeypatch):
     labelled = kmeans.assign_all(df, "features", [kmeans.KMeansModel(2, x[:2], 0.0, 0, 0)])
     silhouette.silhouettes(labelled, "features", "labels")
     assert seen and "Aggregate" not in seen[0]
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    x = np.random.default_rng(5).normal(size=(60, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "customer_id long, features array<double>")
+    kmeans.fit_kmeans(df.mapInArrow(counted, df.schema), "features", [3], 2)
+    assert read.value == 60
