@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
                             .distinct())
     state = _state(current)
     while state[0]:
-        ends = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
-            current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        ends = current.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")),
+                                                F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.u", "e.v")
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (ends.join(least, "u").filter("v > u and v > m")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())

@@ -62,8 +62,7 @@ def _open_lists(postings: DataFrame, labelled: DataFrame) -> DataFrame:
     # a group counts as one component only if all its members are in it
     whole = labelled.groupBy("leader").agg(F.min("comp").alias("comp"), F.max("comp").alias("most")).select(
         "leader", F.when(F.col("comp") == F.col("most"), F.col("comp")).otherwise(F.xxhash64("leader", "most")).alias("comp"))
-    outside, usual = apart(postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp"), "token", "comp")
-    return outside.unionAll(usual)
+    return apart(postings.join(whole, "leader").select("token", "leader", "n", "pos", "comp"), "token", "comp")
 
 
 def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
@@ -74,7 +73,8 @@ def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
     """
     num, den = similarity
     spark = postings.sparkSession
-    ids = _open_lists(postings, labelled).select(F.col("leader").alias("id")).distinct()
+    # written before they are used twice: plans over plans take more of the driver's memory than their rows do
+    ids = scratch.cut(_open_lists(postings, labelled).select(F.col("leader").alias("id")).distinct())
     sets = full_sets(spark.sparkContext.broadcast(words.id_bitmap(ids, "id"))).join(ids, "id", "left_semi")
     sets = scratch.cut(sets.dropDuplicates(["id", "items"]))
     bits = words.SKETCH_BITS
@@ -102,7 +102,7 @@ def _prefixed(postings: DataFrame, labelled: DataFrame, full_sets: Callable,
 
     tokens = sets.mapInArrow(start, "leader long, n long, tokens array<long>").select("leader", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-    return tokens.join(shared, "token").select("token", "leader", "n", "pos"), lambda bitmap: sets
+    return scratch.cut(tokens.join(shared, "token").select("token", "leader", "n", "pos")), lambda bitmap: sets
 
 
 def _possible(similarity: tuple[int, int]) -> Column:
@@ -129,13 +129,12 @@ def verified(pairs: DataFrame, full_sets: Callable, similarity: tuple[int, int])
     return both.filter(common.cast("long") * den >= union.cast("long") * num).select("a", "b")
 
 
-def apart(side: DataFrame, key: str, comp: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of lists that hold several components: those outside a list's most frequent one, and those inside."""
+def apart(side: DataFrame, key: str, comp: str) -> DataFrame:
+    """Rows of lists that hold several components, with their list's most frequent one as ``usual``."""
     usual = (side.groupBy(key, comp).agg(F.count("*").alias("n_comp"))
              .groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("n_comp", comp)).alias("top"))
              .filter("comps > 1").select(key, F.col(f"top.{comp}").alias("usual")))
-    mixed = side.join(usual, key)
-    return mixed.filter(F.col(comp) != F.col("usual")), mixed.filter(F.col(comp) == F.col("usual"))
+    return side.join(usual, key)
 
 
 def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
@@ -152,8 +151,8 @@ def open_pairs(postings: DataFrame, labelled: DataFrame, similarity: tuple[int,
     a = labelled.select(F.col("leader").alias("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     b = labelled.select(F.col("leader").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
     across = pairs.join(a, "g").join(b, "h").filter("ca <> cb").select("a", "b")
-    rest, most = apart(labelled.select("leader", "rep", "comp"), "leader", "comp")
-    within = (rest.select("leader", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-              .join(rest.unionAll(most).select("leader", F.col("rep").alias("b"), F.col("comp").alias("cb")), "leader")
+    mixed = scratch.cut(apart(labelled.select("leader", "rep", "comp"), "leader", "comp"))
+    within = (mixed.filter("comp <> usual").select("leader", F.col("rep").alias("a"), F.col("comp").alias("ca"))
+              .join(mixed.select("leader", F.col("rep").alias("b"), F.col("comp").alias("cb")), "leader")
               .filter("ca <> cb").select("a", "b"))
     return across.unionAll(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
