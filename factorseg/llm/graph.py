@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factorseg.operators.lineage import drop_written, written
+from factorseg.operators.lineage import drop_written, lean, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first())
+    with lean(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first())

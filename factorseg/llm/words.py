@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factorseg.operators.lineage import lean
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 STRETCH = 1 << 18
@@ -190,11 +192,12 @@ def merged_cells(parts: DataFrame, bits: int, either: bool = False) -> bytes:
                                              ["chunk", "cells"])
 
     schema = "chunk int, cells binary"
-    salted = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("chunk", "salt").drop("salt")
-    total = salted.mapInArrow(combine, schema).repartition("chunk").mapInArrow(combine, schema)
     out = np.zeros(1 << bits, np.uint32)
-    for row in total.collect():  # CHUNKS rows
-        out[row.chunk * width:(row.chunk + 1) * width] = np.frombuffer(row.cells, np.uint32)
+    with lean(parts.sparkSession):
+        salted = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("chunk", "salt").drop("salt")
+        total = salted.mapInArrow(combine, schema).repartition("chunk").mapInArrow(combine, schema)
+        for row in total.collect():  # CHUNKS rows
+            out[row.chunk * width:(row.chunk + 1) * width] = np.frombuffer(row.cells, np.uint32)
     return out.tobytes()
 
 

@@ -8,9 +8,12 @@ estimates that multiply with every round. Loops drop the tables of past rounds a
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLAN_CHARS = "8k"
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the folder set on the context, else one beside the session's warehouse tables."""
@@ -19,11 +22,30 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def lean(spark: SparkSession):
+    """Queries made and run inside delete their shuffle files when they end, and describe their plans to Spark's listeners in short.
+
+    Else the files lie until the driver collects its garbage, and the driver writes a plan out in full after each of its stages.
+    For frames that run once: a second run of the same frame would have to shuffle again.
+    """
+    new = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": PLAN_CHARS}
+    before = {name: spark.conf.get(name, None) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame written and read again, and its path for ``drop_written``."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/factorseg-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with lean(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
