@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -17,15 +17,16 @@ from factorseg.operators.lineage import cut_lineage
 PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def with_row_index(df: DataFrame, order: Sequence[Column | str], out: str = "customer_index") -> DataFrame:
+def with_row_index(df: DataFrame, order: Sequence[Column | str], out: str = "customer_index",
+                   cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """0..n-1 in the given total order, without a single-task sort.
 
     Rows are range-partitioned and sorted; a row's index is its place in its partition plus
-    the sizes of the partitions before it. The checkpoint pins the partitioning both use.
+    the sizes of the partitions before it. The checkpoint (``cut`` writes it) pins the partitioning both use.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    marked = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("_mid", F.monotonically_increasing_id()))
+    marked = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", PARTITION_BITS).cast("int")
     sizes = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, at = [], 0

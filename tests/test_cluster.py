@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from factorseg.operators import encode, kmeans, silhouette
+from factorseg.operators import encode, kmeans, lineage, silhouette
 from factorseg.plans.segmentation import choose_k, extend_starts
 from factorseg.plans.stability import seed_stability
 
@@ -104,6 +104,46 @@ def test_silhouette_over_many_blocks(blobs, monkeypatch):
         silhouette.silhouettes(labelled, "features", "labels", "cosine")
 
 
+@pytest.mark.parametrize("block_rows", [37, 100, 110, 10 ** 6])  # whole rounds of blocks, an even and an odd number, few
+@pytest.mark.parametrize("cells", [0, 4])                        # sums by cluster at once, and by runs of equal labels first
+def test_each_distance_is_taken_once_and_serves_both_points(spark, blobs, monkeypatch, block_rows, cells):
+    _, x = blobs
+    rng = np.random.default_rng(3)
+    lab = np.stack([rng.integers(0, k, len(x)) for k in (2, 7, 60)], axis=1)
+    lab[-40:] = lab[0]  # copies of one point
+    df = spark.createDataFrame([([float(v) for v in f], [int(v) for v in l]) for f, l in zip(x, lab)], "features array<double>, labels array<int>")
+    for name, value in (("BLOCK_ROWS", block_rows), ("ROW_BYTES", 700), ("TILE_ROWS", 16), ("CHUNK_ROWS", 5), ("CELLS_PER_CLUSTER", cells)):
+        monkeypatch.setattr(silhouette, name, value)
+    taken, inner = spark.sparkContext.accumulator(0), silhouette._meet
+
+    def meet(a, b, *rest):
+        taken.add(len(a.x) * len(b.x))
+        inner(a, b, *rest)
+
+    monkeypatch.setattr(silhouette, "_meet", meet)
+    found = silhouette.silhouettes(df, "features", "labels", "euclidean")
+    assert found == pytest.approx([brute_silhouette(x, lab[:, i]) for i in range(3)], abs=1e-9)
+    n = len(x) - 40  # copies are one point with a weight
+    assert n * n / 2 < taken.value <= n * (n + 16) / 2
+
+
+@pytest.mark.parametrize("far", [0, 150])  # points that lie apart from the near ones
+def test_silhouette_of_points_nearer_than_rounding(spark, far):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([1000 + rng.normal(0, 1e-7, (50, 2)), rng.normal(-500, 100, (far, 2))])
+    label = np.arange(len(x)) % 3
+    df = spark.createDataFrame([([float(v) for v in f], [int(l)]) for f, l in zip(x, label)], "features array<double>, labels array<int>")
+    assert silhouette.silhouettes(df, "features", "labels", "euclidean") == pytest.approx([brute_silhouette(x, label)], abs=1e-9)
+
+
+def test_written_points_of_all_pairs_are_dropped(spark, blobs, monkeypatch, tmp_path):
+    df, x = blobs
+    monkeypatch.setattr(lineage, "checkpoint_folder", lambda spark: str(tmp_path))
+    labelled = kmeans.assign_all(df, "features", [kmeans.KMeansModel(2, x[:2], 0.0, 0, 0)])
+    silhouette.silhouettes(labelled, "features", "labels", "euclidean")
+    assert not list(tmp_path.iterdir())
+
+
 def test_seed_stability(blobs):
     df, _ = blobs
     model = kmeans.fit_kmeans(df, "features", [4], 3)[4]
