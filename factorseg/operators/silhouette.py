@@ -212,7 +212,9 @@ def _all_pairs(placed: DataFrame, d: int, sizes: list[np.ndarray], count: int) -
                 continue
             place = batch.column(0).to_numpy()
             block = place * blocks // count
-            f, l = feature_matrix(batch.column(1)).astype(float), feature_matrix(batch.column(2)).astype(np.int32)
+            # a point without all its coordinates or labels is an error
+            f = feature_matrix(batch.column(1)).astype(float).reshape(len(batch), d)
+            l = feature_matrix(batch.column(2)).astype(np.int32).reshape(len(batch), n_label)
             w = batch.column(3).to_numpy(zero_copy_only=False).astype(float)[:, None]
             starts = np.flatnonzero((np.arange(len(block)) % pack == 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 1))
             yield pa.RecordBatch.from_arrays(

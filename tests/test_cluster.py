@@ -136,6 +136,13 @@ def test_silhouette_of_points_nearer_than_rounding(spark, far):
     assert silhouette.silhouettes(df, "features", "labels", "euclidean") == pytest.approx([brute_silhouette(x, label)], abs=1e-9)
 
 
+def test_silhouette_of_a_point_without_coordinates_is_an_error(spark):
+    rows = [([float(i), float(i % 5), 0.0, 1.0], [i % 2]) for i in range(3)] + [(None, [0])]
+    df = spark.createDataFrame(rows, "features array<double>, labels array<int>").coalesce(1)
+    with pytest.raises(Exception, match="cannot reshape|NoneType"):
+        silhouette.silhouettes(df, "features", "labels", "euclidean")
+
+
 def test_written_points_of_all_pairs_are_dropped(spark, blobs, monkeypatch, tmp_path):
     df, x = blobs
     monkeypatch.setattr(lineage, "checkpoint_folder", lambda spark: str(tmp_path))
